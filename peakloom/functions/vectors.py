@@ -89,15 +89,15 @@ def sign_words(v: Column, dimension: int) -> Column:
 def unpack_bits(packed: Column, n_bytes: int) -> Column:
     """Bits of a binary column, least significant bit of each byte first."""
     hexed = F.hex(packed)
-
-    def bit(i):
-        byte = F.conv(F.substring(hexed, (F.floor(i / 8) * 2 + 1).cast("int"), F.lit(2)), 16, 10)
-        return F.shiftright(byte.cast("int"), (i % 8).cast("int")).bitwiseAND(F.lit(1))
-
-    return F.when(
-        F.length(packed) == n_bytes,
-        F.transform(F.sequence(F.lit(0), F.lit(n_bytes * 8 - 1)), bit),
+    byte_values = F.transform(
+        F.sequence(F.lit(0), F.lit(n_bytes - 1)),
+        lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
+    )
+    bits = F.transform(
+        byte_values,
+        lambda b: F.array(*[F.shiftright(b, k).bitwiseAND(F.lit(1)) for k in range(8)]),
     )
+    return F.when(F.length(packed) == n_bytes, F.flatten(bits))
 
 
 def bits_from_text(text: Column, n: int) -> Column:
