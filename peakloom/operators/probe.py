@@ -53,6 +53,8 @@ def run_probe(
     fit_on = _prepared(train, y, group, folds, seed).persist()
     held_out = _prepared(test, y, group, folds, seed)
     sizes = fit_on.agg(F.count("*").alias("n"), F.count_distinct("molecule").alias("m"), F.count_distinct("fold").alias("f")).first()
+    if sizes["f"] < folds:
+        raise ValueError(f"the molecules fill {sizes['f']} of {folds} folds")
     select = VarianceThresholdSelector(featuresCol="raw", outputCol="varied", varianceThreshold=MIN_VARIANCE)
     scale = StandardScaler(inputCol="varied", outputCol="features", withMean=True)
     if task == "regression":
@@ -68,10 +70,8 @@ def run_probe(
     search = CrossValidator(
         estimator=Pipeline(stages=[select, scale, model]),
         estimatorParamMaps=ParamGridBuilder().addGrid(model.regParam, sorted(strengths)).build(),
-        evaluator=evaluator, numFolds=sizes["f"], foldCol="fold", parallelism=parallelism,
+        evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism,
     )
-    if sizes["f"] < 2:
-        raise ValueError("a probe needs molecules in at least two folds")
     fitted = search.fit(fit_on)
     best = max(range(len(fitted.avgMetrics)), key=lambda i: (fitted.avgMetrics[i] if math.isfinite(fitted.avgMetrics[i]) else -math.inf))
     chosen = strengths[sorted(strengths)[best]]
