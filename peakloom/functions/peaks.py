@@ -30,7 +30,7 @@ def filled(peaks: Column, element_type: str) -> Column:
 
 
 def sorted_shifts(peaks: Column) -> Column:
-    shifts = F.array_sort(F.transform(peaks, lambda p: p["shift"]))
+    shifts = F.sort_array(F.transform(peaks, lambda p: p["shift"]))
     return F.coalesce(shifts, F.array().cast("array<double>"))
 
 

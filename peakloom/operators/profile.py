@@ -112,13 +112,11 @@ def peak_summary(records: DataFrame, by: str = "source", shift_only: bool = Fals
     if not shift_only:
         j = F.flatten(F.filter(F.transform("h_nmr_peaks", lambda p: p["j_values"]), lambda x: x.isNotNull()))
         measurements.append(("j", j))
-    tagged = F.concat(*[
-        F.coalesce(
-            F.transform(values, lambda v, kind=kind: F.struct(F.lit(kind).alias("kind"), v.alias("value"))),
-            F.array().cast("array<struct<kind:string,value:double>>"),
-        )
-        for kind, values in measurements
-    ])
+    def tag(kind, values):
+        tagged = F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+        return F.coalesce(tagged, F.array().cast("array<struct<kind:string,value:double>>"))
+
+    tagged = F.concat(*[tag(kind, values) for kind, values in measurements])
     value = {k: F.when(F.col("m.kind") == k, F.col("m.value")) for k in ("h", "c", "j")}
     aggregates = []
     for kind, total, name, unit in (
@@ -194,15 +192,17 @@ def first_rows(df: DataFrame, columns: list[str], n: int, order: list[str]) -> D
     return df.orderBy(*order).limit(n).select(*columns)
 
 
-def plot_ranges(sample: DataFrame, by: str, value: str) -> DataFrame:
-    """Values of a bounded sample within 2.5 IQR of the joint quartiles, counted per group."""
-    q = sample.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q")).select(
-        F.struct(
-            (F.col("q")[0] - F.lit(2.5) * (F.col("q")[1] - F.col("q")[0])).alias("lower"),
-            (F.col("q")[1] + F.lit(2.5) * (F.col("q")[1] - F.col("q")[0])).alias("upper"),
-        )
-    ).scalar()
-    bounded = sample.withColumn("_q", q)
+def plot_ranges(sample: DataFrame, by: str, value: str, whiskers: float = 2.5) -> DataFrame:
+    """Values of a bounded sample near the joint quartiles, counted per group.
+
+    The range reaches `whiskers` interquartile ranges beyond the quartiles. The
+    exact percentile is meant for samples of a fixed number of rows per group.
+    """
+    quartiles = sample.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    low, high = F.col("q")[0], F.col("q")[1]
+    reach = F.lit(float(whiskers)) * (high - low)
+    bounds = quartiles.select(F.struct((low - reach).alias("lower"), (high + reach).alias("upper")))
+    bounded = sample.withColumn("_q", bounds.scalar())
     inside = F.col(value).between(F.col("_q.lower"), F.col("_q.upper"))
     return bounded.groupBy(by).agg(
         F.count(value).alias("values"),

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from peakloom.operators.clean import CleaningPolicy, audit, duplicate_losers, DUPLICATE_REASON
 from peakloom.schema import CANONICAL, SCHEMA_VERSION
+from peakloom.session import cut_lineage
 from peakloom.sources import manifest as M
 
 
@@ -71,11 +72,11 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
                   overwrite: bool = False) -> dict:
     """Write the cleaned table and the removal audit, or neither.
 
-    The audit is written first and read back, so the expensive signature work
-    runs once; the cleaned copy is then one anti join against it.
+    The compact audit columns are computed once and kept in the shared scratch
+    folder; the cleaned copy is then one anti join against the removals.
     """
     spark = records.sparkSession
-    audited = audit(records, policy)
+    audited = cut_lineage(audit(records, policy))
     failed = audited.filter(F.col("_reasons").isNotNull()).select(
         "record_id", F.col("_reasons").alias("removal_reason"), F.lit(None).cast("string").alias("duplicate_of"))
     losers = duplicate_losers(audited.filter(F.col("_reasons").isNull())).select(
