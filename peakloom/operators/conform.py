@@ -161,12 +161,12 @@ def _parts(peak_text: Column) -> Column:
 
 
 def _tokenised_proton(x: Column) -> Column:
-    shift, half = X.finite_double(x[0]), X.finite_double(x[1])
-    raw = X.optional_text(x[2])
-    j = F.transform(X.j_values_from_array(_parts(x[4])), X.finite_double)
+    shift, half = X.finite_double(F.get(x, F.lit(0))), X.finite_double(F.get(x, F.lit(1)))
+    raw = X.optional_text(F.get(x, F.lit(2)))
+    j = F.transform(X.j_values_from_array(_parts(F.get(x, F.lit(4)))), X.finite_double)
     return proton(
         shift,
-        integration=X.non_negative_integer(x[3]),
+        integration=X.non_negative_integer(F.get(x, F.lit(3))),
         multiplicity_raw=raw,
         multiplicity=X.normalize_multiplicity(raw),
         j_values=j,
@@ -181,12 +181,12 @@ def _tokenised_issues(x: Column, i: Column) -> Column:
         return peak_path("h_nmr_peaks", i, suffix)
 
     short = F.coalesce(F.size(x) < 5, F.lit(True))
-    bad_j = F.exists(_parts(x[4]), lambda v: X.finite_double(v).isNull())
+    bad_j = F.exists(_parts(F.get(x, F.lit(4))), lambda v: X.finite_double(v).isNull())
     checks = present(
-        issue(X.finite_double(x[0]).isNull(), "invalid_number", at(".shift"), "must be a finite number"),
-        issue(X.unreadable_number(x[1]), "invalid_number", at(".range_half_span"), "must be a finite number"),
-        issue(X.finite_double(x[1]) < 0, "negative_half_span", at(".range_half_span"), "must not be negative"),
-        issue(X.unreadable_integer(x[3]), "invalid_integration", at(".integration"),
+        issue(X.finite_double(F.get(x, F.lit(0))).isNull(), "invalid_number", at(".shift"), "must be a finite number"),
+        issue(X.unreadable_number(F.get(x, F.lit(1))), "invalid_number", at(".range_half_span"), "must be a finite number"),
+        issue(X.finite_double(F.get(x, F.lit(1))) < 0, "negative_half_span", at(".range_half_span"), "must not be negative"),
+        issue(X.unreadable_integer(F.get(x, F.lit(3))), "invalid_integration", at(".integration"),
               "must look like a non-negative integer or 2H"),
         issue(bad_j, "invalid_j_values", at(".j_values"), "must hold finite numbers"),
     )
@@ -311,8 +311,8 @@ def conform_shifts(landing: DataFrame, source: str, prefix: str, structure=ident
     columns |= {
         "record_id": X.record_id(prefix, F.col("split"), F.col("row_index")),
         "source": F.lit(source),
-        "h_nmr_peaks": F.transform(h, proton),
-        "c_nmr_peaks": F.transform(c, carbon),
+        "h_nmr_peaks": F.transform(h, lambda s: proton(s)),
+        "c_nmr_peaks": F.transform(c, lambda s: carbon(s)),
     }
     issues = joined(
         missing, per_peak(h, unreadable("h_nmr_peaks")), per_peak(c, unreadable("c_nmr_peaks"))

@@ -1,4 +1,4 @@
 """Imports every query module, so that all queries are registered."""
 
-from peakloom.plans import cleaning, cohorts, overlaps, profiling, splits  # noqa: F401
+from peakloom.plans import cleaning, cohorts, conformance, overlaps, profiling, splits, validation  # noqa: F401
 from peakloom.plans.registry import ORACLE, QUERIES  # noqa: F401
