@@ -1,4 +1,6 @@
 """Imports every query module, so that all queries are registered."""
 
-from peakloom.plans import cleaning, cohorts, conformance, overlaps, profiling, splits, validation  # noqa: F401
+from peakloom.plans import (  # noqa: F401
+    alignment, cleaning, cohorts, conformance, overlaps, profiling, scoring, splits, validation,
+)
 from peakloom.plans.registry import ORACLE, QUERIES  # noqa: F401
