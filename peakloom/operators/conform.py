@@ -163,7 +163,7 @@ def _parts(peak_text: Column) -> Column:
 def _tokenised_proton(x: Column) -> Column:
     shift, half = X.finite_double(F.get(x, F.lit(0))), X.finite_double(F.get(x, F.lit(1)))
     raw = X.optional_text(F.get(x, F.lit(2)))
-    j = F.transform(X.j_values_from_array(_parts(F.get(x, F.lit(4)))), X.finite_double)
+    j = X.j_values_from_array(F.transform(_parts(F.get(x, F.lit(4))), X.finite_double))
     return proton(
         shift,
         integration=X.non_negative_integer(F.get(x, F.lit(3))),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.functions.text import optional_text
+from peakloom.functions.text import binary_key_text, optional_text
 from peakloom.operators.overlap import union_all
 from peakloom.operators.validate import first_invalid_property
 from peakloom.schema import CANONICAL, SCHEMA_VERSION, same_shape
@@ -61,12 +61,12 @@ def read_records(spark: SparkSession, paths: list[str], ordered: bool = False) -
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANONICAL) -> DataFrame:
-    """JSON lines; blank lines are skipped. `problem` tells why a line is unreadable.
-
-    Line numbers need no order across files: they count inside a file, which is
-    read as whole lines by position.
-    """
-    lines = spark.read.text(path).filter(F.trim("value") != "")
+    """JSON lines; blank lines are skipped. `problem` tells why a line is unreadable."""
+    lines = (
+        spark.read.text(path)
+        .select("value", F.col("_metadata.file_path").alias("input_file"))
+        .filter(F.trim("value") != "")
+    )
     parsed = F.from_json(
         "value", T.StructType([*schema.fields, T.StructField("_corrupt", T.StringType())]),
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
@@ -74,14 +74,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANONICAL)
     is_object = F.startswith(F.ltrim(F.col("value")), F.lit("{"))
     rows = lines.withColumn("_row", parsed)
     problem = F.when(~is_object, "not an object").when(F.col("_row._corrupt").isNotNull(), "invalid JSON")
-    return rows.select("_row.*", problem.alias("problem"), F.col("value").alias("line")).drop("_corrupt")
+    return rows.select("_row.*", problem.alias("problem"), F.col("value").alias("line"), "input_file").drop("_corrupt")
 
 
 def readable_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANONICAL) -> DataFrame:
     """JSON lines; the first unreadable line fails the job."""
     rows = read_jsonl(spark, path, schema)
-    stop = F.raise_error(F.concat(F.col("problem"), F.lit(": "), F.substring("line", 1, 80))).cast("boolean")
-    return rows.filter(F.when(F.col("problem").isNotNull(), stop).otherwise(True)).drop("problem", "line")
+    place = F.concat(F.col("input_file"), F.lit(": "), F.col("problem"), F.lit(": "), F.substring("line", 1, 80))
+    stop = F.raise_error(place).cast("boolean")
+    return rows.filter(F.when(F.col("problem").isNotNull(), stop).otherwise(True)).drop("problem", "line", "input_file")
 
 
 def in_memory_records(spark: SparkSession, rows: list, schema: T.StructType = CANONICAL) -> DataFrame:
@@ -222,6 +223,4 @@ def read_cohorts(spark: SparkSession, root: str, endpoints: list[str], splits: l
 
 def landing_keys(landing: DataFrame, key: str = "key") -> DataFrame:
     """Text keys for a landing table of (binary key, payload) rows."""
-    from peakloom.functions.text import binary_key_text
-
     return landing.withColumn(key, binary_key_text(F.col(key)))

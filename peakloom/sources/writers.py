@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.operators.clean import CleaningPolicy, audit, duplicate_losers, DUPLICATE_REASON
+from peakloom.operators.clean import (
+    DUPLICATE_REASON, CleaningPolicy, audit, duplicate_losers, failed_reasons,
+)
 from peakloom.schema import CANONICAL, SCHEMA_VERSION
 from peakloom.session import cut_lineage
 from peakloom.sources import manifest as M
@@ -83,10 +85,15 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
         "record_id", F.lit(DUPLICATE_REASON).alias("removal_reason"), "duplicate_of")
     removed_staging = _stage(failed.unionByName(losers), removed, overwrite, None)
     removals = spark.read.parquet(removed_staging)
-    kept = records.join(removals.select("record_id"), "record_id", "left_anti").select(*records.columns)
+    # the filter is repeated rather than joined: only duplicates need a join
+    kept = (
+        records.filter(failed_reasons(policy).isNull())
+        .join(removals.filter("duplicate_of is not null").select("record_id"), "record_id", "left_anti")
+        .select(*records.columns)
+    )
     cleaned_staging = _stage(kept, cleaned, overwrite, None)
     counts = {
-        "input_records": records.count(),
+        "input_records": audited.count(),
         "output_records": _rows(spark, cleaned_staging),
         "removed_records": removals.count(),
     }
