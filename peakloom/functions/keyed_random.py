@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import let
+
 _DIGITS = 13
 _SCALE = float(16**_DIGITS)
 
@@ -29,5 +31,8 @@ def uniform(hex_digest: Column, draw: int = 0) -> Column:
 
 def normal(hex_digest: Column, draw: int = 0) -> Column:
     """A standard normal from draws `draw` and `draw + 1` (Box-Muller)."""
-    radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(hex_digest, draw)))
-    return radius * F.cos(F.lit(2.0 * math.pi) * uniform(hex_digest, draw + 1))
+    def of(d):
+        radius = F.sqrt(F.lit(-2.0) * F.log(F.lit(1.0) - uniform(d, draw)))
+        return radius * F.cos(F.lit(2.0 * math.pi) * uniform(d, draw + 1))
+
+    return let(hex_digest, of)

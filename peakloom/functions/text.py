@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import let
 from peakloom.schema import MULTIPLICITIES, MULTIPLICITY_ALIASES, UNKNOWN_MULTIPLICITY
 
 WHITESPACE = " \t\n\r\f\x0b"
@@ -34,10 +35,9 @@ def first_text(*candidates: Column) -> Column:
 
 def normalize_multiplicity(c: Column) -> Column:
     """Vocabulary label, `<unk>` for a label outside it, null for no label."""
-    label = F.lower(strip(c))
-    label = F.coalesce(F.try_element_at(literal_map(MULTIPLICITY_ALIASES), label), label)
-    known = label.isin(*MULTIPLICITIES)
-    return F.when(known, label).when(c.isNotNull(), F.lit(UNKNOWN_MULTIPLICITY))
+    known = {**{m: m for m in MULTIPLICITIES}, **MULTIPLICITY_ALIASES}
+    label = F.try_element_at(literal_map(known), F.lower(strip(c)))
+    return F.coalesce(label, F.when(c.isNotNull(), F.lit(UNKNOWN_MULTIPLICITY)))
 
 
 def is_finite(c: Column) -> Column:
@@ -47,9 +47,8 @@ def is_finite(c: Column) -> Column:
 
 def finite_double(c: Column) -> Column:
     """The finite number written in a text column, else null."""
-    text = strip(c)
-    value = F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double"))
-    return F.when(is_finite(value), value)
+    value = let(strip(c), lambda text: F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double")))
+    return let(value, lambda v: F.when(is_finite(v), v))
 
 
 def unreadable_number(c: Column) -> Column:
@@ -59,8 +58,7 @@ def unreadable_number(c: Column) -> Column:
 
 def non_negative_integer(c: Column) -> Column:
     """Reads `0`, `2.0`, `2H`, `3.0 h`; blank and unreadable texts give null."""
-    digits = F.regexp_extract(strip(c), COUNT_TEXT, 1)
-    return F.nullif(digits, F.lit("")).try_cast("bigint")
+    return F.regexp_extract(strip(c), COUNT_TEXT, 1).try_cast("bigint")
 
 
 def unreadable_integer(c: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import let
 from peakloom.functions.text import is_finite
 
 
@@ -45,8 +46,11 @@ def rbf_expansion(x: Column, low: float, high: float, n: int, sigma: float) -> C
 def soft_bins(x: Column, low: float, high: float, n: int, sigma: float) -> Column:
     """Distance-aware label distribution over the bin centres; sums to one."""
     raw = rbf_expansion(x, low, high, n, sigma)
-    total = F.greatest(F.aggregate(raw, _d(0), lambda acc, v: acc + v), _d(1e-12))
-    return F.transform(raw, lambda v: v / total)
+    def shares(values):
+        total = F.greatest(F.aggregate(values, _d(0), lambda acc, v: acc + v), _d(1e-12))
+        return let(total, lambda t: F.transform(values, lambda v: v / t))
+
+    return let(raw, shares)
 
 
 def bin_index(x: Column, low: float, width: float, n: int) -> Column:
@@ -88,10 +92,12 @@ def sign_words(v: Column, dimension: int) -> Column:
 
 def unpack_bits(packed: Column, n_bytes: int) -> Column:
     """Bits of a binary column, least significant bit of each byte first."""
-    hexed = F.hex(packed)
-    byte_values = F.transform(
-        F.sequence(F.lit(0), F.lit(n_bytes - 1)),
-        lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
+    byte_values = let(
+        F.hex(packed),
+        lambda hexed: F.transform(
+            F.sequence(F.lit(0), F.lit(n_bytes - 1)),
+            lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("int"),
+        ),
     )
     bits = F.transform(
         byte_values,

@@ -10,10 +10,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from peakloom.functions import keyed_random as R
+from peakloom.functions.binding import let
 from peakloom.schema import UNKNOWN_MULTIPLICITY
 
+
 def _moved(peaks: Column, offset: Column) -> Column:
-    return F.transform(peaks, lambda p: p.withField("shift", p["shift"] + offset))
+    return let(offset, lambda o: F.transform(peaks, lambda p: p.withField("shift", p["shift"] + o)))
 
 
 def global_offset(shifts: Column, record_id: Column, purpose: str, low: float, high: float,
@@ -21,10 +23,12 @@ def global_offset(shifts: Column, record_id: Column, purpose: str, low: float, h
     """One offset for a whole modality that keeps every peak in range, or 0."""
     least = F.greatest(F.lit(-float(max_offset)), F.lit(float(low)) - F.array_min(shifts))
     most = F.least(F.lit(float(max_offset)), F.lit(float(high)) - F.array_max(shifts))
-    d = R.digest(seed, f"global-{purpose}", record_id)
-    offset = least + R.uniform(d, 0) * (most - least)
-    used = (R.uniform(d, 1) < probability) & (F.size(shifts) > 0)
-    return F.when(used, offset).otherwise(F.lit(0.0))
+
+    def drawn(d):
+        used = (R.uniform(d, 1) < probability) & (F.size(shifts) > 0)
+        return F.when(used, least + R.uniform(d, 0) * (most - least)).otherwise(F.lit(0.0))
+
+    return let(R.digest(seed, f"global-{purpose}", record_id), drawn)
 
 
 def global_shift(peaks: Column, record_id: Column, purpose: str, low: float, high: float,
@@ -45,14 +49,17 @@ def masked_peak(peaks: Column, record_id: Column, purpose: str, seed: int) -> Co
 def local_jitter(peaks: Column, masked: Column, record_id: Column, purpose: str, low: float, high: float,
                  sigma: float, probability: float, seed: int) -> Column:
     """Gaussian noise on all peaks but the masked one; all shifts are clamped."""
-    used = R.uniform(R.digest(seed, f"jitter-{purpose}", record_id)) < probability
+    chosen = R.uniform(R.digest(seed, f"jitter-{purpose}", record_id)) < probability
+
+    def of_record(used):
+        def moved(p, i):
+            noise = R.normal(R.digest(seed, f"noise-{purpose}", record_id, i)) * F.lit(float(sigma))
+            shift = F.when(used & (i != masked), p["shift"] + noise).otherwise(p["shift"])
+            return p.withField("shift", F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), shift)))
 
-    def moved(p, i):
-        noise = R.normal(R.digest(seed, f"noise-{purpose}", record_id, i)) * F.lit(float(sigma))
-        shift = F.when(used & (i != masked), p["shift"] + noise).otherwise(p["shift"])
-        return p.withField("shift", F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), shift)))
+        return F.transform(peaks, moved)
 
-    return F.transform(peaks, moved)
+    return let(chosen, of_record)
 
 
 def masked_annotations(h: Column, record_id: Column, probability: float, seed: int) -> Column:
@@ -61,21 +68,25 @@ def masked_annotations(h: Column, record_id: Column, probability: float, seed: i
     A multiplicity of `<unk>` is never dropped. A dropped range loses its ends
     together with the half span.
     """
-    drop_integration = R.uniform(R.digest(seed, "annotation", record_id)) < probability
-
-    def dropped(p, i):
-        d = R.digest(seed, "annotation", record_id, i)
-        keep_m = (R.uniform(d, 0) >= probability) | (p["multiplicity"] == UNKNOWN_MULTIPLICITY)
-        keep_j = R.uniform(d, 1) >= probability
-        keep_r = R.uniform(d, 2) >= probability
-        p = p.withField("integration", F.when(~drop_integration, p["integration"]))
-        p = p.withField("multiplicity", F.when(keep_m, p["multiplicity"]))
-        p = p.withField("j_values", F.when(keep_j, p["j_values"]))
-        for name in ("range_min", "range_max", "range_half_span"):
-            p = p.withField(name, F.when(keep_r, p[name]))
-        return p
-
-    return F.transform(h, dropped)
+    draw = R.uniform(R.digest(seed, "annotation", record_id))
+
+    def of_record(whole):
+        def dropped(p, i):
+            def with_draws(d):
+                keep_m = (R.uniform(d, 0) >= probability) | (p["multiplicity"] == UNKNOWN_MULTIPLICITY)
+                keep_j, keep_r = R.uniform(d, 1) >= probability, R.uniform(d, 2) >= probability
+                q = p.withField("integration", F.when(whole >= probability, p["integration"]))
+                q = q.withField("multiplicity", F.when(keep_m, p["multiplicity"]))
+                q = q.withField("j_values", F.when(keep_j, p["j_values"]))
+                for name in ("range_min", "range_max", "range_half_span"):
+                    q = q.withField(name, F.when(keep_r, p[name]))
+                return q
+
+            return let(R.digest(seed, "annotation", record_id, i), with_draws)
+
+        return F.transform(h, dropped)
+
+    return let(draw, of_record)
 
 
 def dropped_modality(h: Column, c: Column, record_id: Column, probability: float, seed: int) -> Column:

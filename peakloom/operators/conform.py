@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions import peaks as P
 from peakloom.functions import text as X
+from peakloom.functions.binding import let
 from peakloom.functions.text import is_finite
 from peakloom.operators.validate import issue, joined, peak_path, per_peak, present
 from peakloom.schema import CANONICAL, CARBON_PEAK, PROTON_PEAK
@@ -65,46 +66,57 @@ def _structure(text: Column, hook) -> tuple[dict[str, Column], Column]:
     return columns, missing
 
 
-def _rich_proton(p: Column) -> Column:
-    low, high = X.finite_double(p["range_min"]), X.finite_double(p["range_max"])
-    shift = F.coalesce(
-        X.finite_double(F.coalesce(p["centroid"], p["delta"])),
-        F.when(p["centroid"].isNull() & p["delta"].isNull(), (low + high) / F.lit(2.0)),
-    )
-    start, end = F.coalesce(low, shift), F.coalesce(high, shift)
-    raw = X.optional_text(p["category"])
-    return proton(
-        shift,
-        integration=X.non_negative_integer(p["n_h"]),
-        multiplicity_raw=raw,
-        multiplicity=X.normalize_multiplicity(raw),
-        j_values=X.j_values_from_text(p["j_values"]),
-        range_min=start,
-        range_max=end,
-        range_half_span=(end - start) / F.lit(2.0),
+def _rich_numbers(p: Column) -> Column:
+    """The parsed numbers of one raw peak."""
+    return F.struct(
+        X.finite_double(p["range_min"]).alias("low"),
+        X.finite_double(p["range_max"]).alias("high"),
+        X.finite_double(F.coalesce(p["centroid"], p["delta"])).alias("given"),
+        X.optional_text(p["category"]).alias("label"),
     )
 
 
+def _rich_proton(p: Column) -> Column:
+    def build(n, shift):
+        start, end = F.coalesce(n["low"], shift), F.coalesce(n["high"], shift)
+        return proton(
+            shift,
+            integration=X.non_negative_integer(p["n_h"]),
+            multiplicity_raw=n["label"],
+            multiplicity=X.normalize_multiplicity(n["label"]),
+            j_values=X.j_values_from_text(p["j_values"]),
+            range_min=start,
+            range_max=end,
+            range_half_span=(end - start) / F.lit(2.0),
+        )
+
+    def placed(n):
+        middle = F.when(p["centroid"].isNull() & p["delta"].isNull(), (n["low"] + n["high"]) / F.lit(2.0))
+        return let(F.coalesce(n["given"], middle), lambda shift: build(n, shift))
+
+    return let(_rich_numbers(p), placed)
+
+
 def _rich_proton_issues(p: Column, i: Column) -> Column:
     def at(suffix=""):
         return peak_path("h_nmr_peaks", i, suffix)
 
-    low, high = X.finite_double(p["range_min"]), X.finite_double(p["range_max"])
     given = F.coalesce(p["centroid"], p["delta"])
-    return present(
-        issue(p["range_min"].isNull() != p["range_max"].isNull(), "incomplete_range", at(),
-              "needs both range ends or neither"),
-        issue(X.unreadable_number(p["range_min"]), "invalid_number", at(".range_min"), "must be a finite number"),
-        issue(X.unreadable_number(p["range_max"]), "invalid_number", at(".range_max"), "must be a finite number"),
-        issue(low > high, "invalid_range", at(), "range_min must not exceed range_max"),
-        issue(X.unreadable_number(given), "invalid_number", at(".shift"), "must be a finite number"),
-        issue(given.isNull() & p["range_min"].isNull(), "missing_shift", at(),
+    low, high = p["range_min"], p["range_max"]
+    number = "must be a finite number"
+    return let(_rich_numbers(p), lambda n: present(
+        issue(low.isNull() != high.isNull(), "incomplete_range", at(), "needs both range ends or neither"),
+        issue(low.isNotNull() & n["low"].isNull(), "invalid_number", at(".range_min"), number),
+        issue(high.isNotNull() & n["high"].isNull(), "invalid_number", at(".range_max"), number),
+        issue(n["low"] > n["high"], "invalid_range", at(), "range_min must not exceed range_max"),
+        issue(given.isNotNull() & n["given"].isNull(), "invalid_number", at(".shift"), number),
+        issue(given.isNull() & low.isNull(), "missing_shift", at(),
               "needs a centroid, a delta or both range ends"),
         issue(X.unreadable_integer(p["n_h"]), "invalid_integration", at(".integration"),
               "must look like a non-negative integer or 2H"),
         issue(X.unreadable_j_text(p["j_values"]), "invalid_j_values", at(".j_values"),
               "contains no number"),
-    )
+    ))
 
 
 def _rich_carbon(p: Column, keep: bool) -> Column:
@@ -156,47 +168,60 @@ def conform_rich(
     return normalise_modalities(_canonical(landing, columns, issues))
 
 
-def _parts(peak_text: Column) -> Column:
-    return F.from_json(peak_text, "array<string>")
+def _tokenised_numbers(x: Column) -> Column:
+    """The parsed parts of one [shift, half span, label, integration, J list]."""
+    j_text = F.get(x, F.lit(4))
+    return F.struct(
+        X.finite_double(F.get(x, F.lit(0))).alias("shift"),
+        X.finite_double(F.get(x, F.lit(1))).alias("half"),
+        X.optional_text(F.get(x, F.lit(2))).alias("label"),
+        F.transform(F.from_json(j_text, "array<string>"), X.finite_double).alias("j"),
+    )
 
 
 def _tokenised_proton(x: Column) -> Column:
-    shift, half = X.finite_double(F.get(x, F.lit(0))), X.finite_double(F.get(x, F.lit(1)))
-    raw = X.optional_text(F.get(x, F.lit(2)))
-    j = X.j_values_from_array(F.transform(_parts(F.get(x, F.lit(4))), X.finite_double))
-    return proton(
-        shift,
+    return let(_tokenised_numbers(x), lambda n: proton(
+        n["shift"],
         integration=X.non_negative_integer(F.get(x, F.lit(3))),
-        multiplicity_raw=raw,
-        multiplicity=X.normalize_multiplicity(raw),
-        j_values=j,
-        range_min=shift - half,
-        range_max=shift + half,
-        range_half_span=half,
-    )
+        multiplicity_raw=n["label"],
+        multiplicity=X.normalize_multiplicity(n["label"]),
+        j_values=X.j_values_from_array(n["j"]),
+        range_min=n["shift"] - n["half"],
+        range_max=n["shift"] + n["half"],
+        range_half_span=n["half"],
+    ))
 
 
 def _tokenised_issues(x: Column, i: Column) -> Column:
     def at(suffix=""):
         return peak_path("h_nmr_peaks", i, suffix)
 
+    def checks(n):
+        bad_j = (F.get(x, F.lit(4)).isNotNull() & n["j"].isNull()) | F.exists(n["j"], lambda v: v.isNull())
+        return present(
+            issue(n["shift"].isNull(), "invalid_number", at(".shift"), "must be a finite number"),
+            issue(F.get(x, F.lit(1)).isNotNull() & n["half"].isNull(), "invalid_number",
+                  at(".range_half_span"), "must be a finite number"),
+            issue(n["half"] < 0, "negative_half_span", at(".range_half_span"), "must not be negative"),
+            issue(X.unreadable_integer(F.get(x, F.lit(3))), "invalid_integration", at(".integration"),
+                  "must look like a non-negative integer or 2H"),
+            issue(bad_j, "invalid_j_values", at(".j_values"), "must be a list of finite numbers"),
+        )
+
     short = F.coalesce(F.size(x) < 5, F.lit(True))
-    bad_j = F.exists(_parts(F.get(x, F.lit(4))), lambda v: X.finite_double(v).isNull())
-    checks = present(
-        issue(X.finite_double(F.get(x, F.lit(0))).isNull(), "invalid_number", at(".shift"), "must be a finite number"),
-        issue(X.unreadable_number(F.get(x, F.lit(1))), "invalid_number", at(".range_half_span"), "must be a finite number"),
-        issue(X.finite_double(F.get(x, F.lit(1))) < 0, "negative_half_span", at(".range_half_span"), "must not be negative"),
-        issue(X.unreadable_integer(F.get(x, F.lit(3))), "invalid_integration", at(".integration"),
-              "must look like a non-negative integer or 2H"),
-        issue(bad_j, "invalid_j_values", at(".j_values"), "must hold finite numbers"),
-    )
     incomplete = present(issue(short, "incomplete_peak", at(), "needs five parts"))
-    return F.when(short, incomplete).otherwise(checks)
+    return F.when(short, incomplete).otherwise(let(_tokenised_numbers(x), checks))
 
 
 def parse_tokenised(text: Column) -> Column:
-    """The two peak lists of a tokenised JSON text; elements stay JSON text."""
-    return F.from_json(text, "`1HNMR` array<string>, `13CNMR` array<string>")
+    """The two peak lists of a tokenised JSON text, all parts as text."""
+    return F.from_json(text, "`1HNMR` array<array<string>>, `13CNMR` array<string>")
+
+
+def _lost_list(name: str) -> Column:
+    """The text holds a list that the parser could not read as one."""
+    given = F.get_json_object("tokenized_input", f"$.{name}")
+    return given.isNotNull() & F.col("_spectra")[name].isNull()
 
 
 def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=identity_structure) -> DataFrame:
@@ -207,7 +232,7 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
     spectra = parse_tokenised(F.col("tokenized_input"))
     staged = landing.withColumn("_spectra", spectra)
     columns, missing = _structure(X.first_text(F.col("original_smiles"), F.col("smiles")), structure)
-    h = F.transform(F.col("_spectra")["1HNMR"], _parts)
+    h = F.col("_spectra")["1HNMR"]
     c = F.col("_spectra")["13CNMR"]
     row = F.col("row_index")
     columns |= {
@@ -222,7 +247,11 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
     unreadable = F.col("tokenized_input").isNull() | F.get_json_object("tokenized_input", "$").isNull()
     issues = joined(
         missing,
-        present(issue(unreadable, "invalid_json", F.lit("tokenized_input"), "must be a JSON object")),
+        present(
+            issue(unreadable, "invalid_json", F.lit("tokenized_input"), "must be a JSON object"),
+            issue(_lost_list("1HNMR"), "invalid_peak_list", F.lit("h_nmr_peaks"), "must be a list of lists"),
+            issue(_lost_list("13CNMR"), "invalid_peak_list", F.lit("c_nmr_peaks"), "must be a list"),
+        ),
         per_peak(h, _tokenised_issues),
         per_peak(c, lambda s, i: present(issue(
             X.finite_double(s).isNull(), "invalid_number", peak_path("c_nmr_peaks", i, ".shift"), "must be a finite number"))),
@@ -236,16 +265,16 @@ def _nucleus_groups(element: int) -> Column:
         F.arrays_zip(F.col("shifts"), F.col("atom_numbers"), F.col("equivalence_classes")),
         lambda a: a["atom_numbers"] == element,
     )
-    classes = F.array_distinct(F.transform(atoms, lambda a: a["equivalence_classes"]))
-    return F.transform(
-        classes,
-        lambda k: F.struct(
-            k.alias("k"),
-            F.transform(
-                F.filter(atoms, lambda a: a["equivalence_classes"].eqNullSafe(k)), lambda a: a["shifts"]
-            ).alias("members"),
-        ),
-    )
+
+    def members(found, k):
+        own = F.filter(found, lambda a: a["equivalence_classes"].eqNullSafe(k))
+        return F.struct(k.alias("k"), F.transform(own, lambda a: a["shifts"]).alias("members"))
+
+    def grouped(found):
+        classes = F.array_distinct(F.transform(found, lambda a: a["equivalence_classes"]))
+        return F.transform(classes, lambda k: members(found, k))
+
+    return let(atoms, grouped)
 
 
 def _mean(values: Column) -> Column:

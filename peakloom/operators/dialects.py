@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.operators.validate import issue, joined, peak_path, per_peak, present, record_issues
+from peakloom.functions.binding import exploded
 from peakloom.functions.text import normalize_multiplicity
+from peakloom.operators.validate import issue, joined, peak_path, per_peak, present, record_issues
 from peakloom.schema import MAX_J_VALUES, MAX_PEAKS
 
 DIALECTS = ("ranged", "tokenised", "expanded", "shift_set")
@@ -139,15 +140,27 @@ def encoder_issues() -> Column:
 
 
 def compatibility_rows(records: DataFrame, strict: bool = True) -> DataFrame:
-    """One row per record and dialect with its issue codes; reads records once."""
-    checks = F.array(*[
-        F.struct(
-            F.lit(d).alias("dialect"),
-            F.transform(dialect_issues(d, strict=strict), lambda x: x["code"]).alias("codes"),
-        )
-        for d in DIALECTS
+    """One row per record and dialect with its issue codes.
+
+    The schema rules run once per record, and the two dialects with equal rules
+    share one evaluation.
+    """
+    def codes(issues):
+        return F.transform(issues, lambda x: x["code"])
+
+    none = F.array().cast("array<string>")
+    checked = records.select(
+        "record_id",
+        (codes(record_issues()) if strict else none).alias("_schema"),
+        codes(_ranged(False)).alias("ranged"),
+        codes(_tokenised(False)).alias("tokenised"),
+        codes(_expanded()).alias("expanded"),
+    )
+    own = {"ranged": "ranged", "tokenised": "tokenised", "expanded": "expanded", "shift_set": "expanded"}
+    rows = F.array(*[
+        F.struct(F.lit(d).alias("dialect"), F.concat("_schema", own[d]).alias("codes")) for d in DIALECTS
     ])
-    return records.select("record_id", F.inline(checks))
+    return exploded(checked, "record_id", items=rows).select("record_id", "item.*")
 
 
 def compatibility_summary(records: DataFrame, strict: bool = True) -> DataFrame:
@@ -159,18 +172,11 @@ def compatibility_summary(records: DataFrame, strict: bool = True) -> DataFrame:
 
 def compatibility_issue_counts(records: DataFrame, strict: bool = True) -> DataFrame:
     """Issue occurrences, and records having the issue, per dialect and code."""
-    per_record = compatibility_rows(records, strict).select(
-        "dialect",
-        F.explode(
-            F.transform(
-                F.array_distinct("codes"),
-                lambda code: F.struct(
-                    code.alias("code"),
-                    F.size(F.filter("codes", lambda x: x == code)).alias("n"),
-                ),
-            )
-        ).alias("hit"),
+    counted = F.transform(
+        F.array_distinct("codes"),
+        lambda code: F.struct(code.alias("code"), F.size(F.filter("codes", lambda x: x == code)).alias("n")),
     )
+    per_record = exploded(compatibility_rows(records, strict), "dialect", items=counted, name="hit")
     return per_record.groupBy("dialect", F.col("hit.code").alias("code")).agg(
         F.sum("hit.n").alias("occurrences"), F.count("*").alias("records")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.text import is_finite
 from peakloom.functions.vectors import bin_index
-from peakloom.operators.ranking import average_rank, totals_before, with_value_bucket
+from peakloom.operators.ranking import average_rank, totals_before, value_buckets
 
 
 def regression_metrics(rows: DataFrame, y: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -56,11 +56,13 @@ def ranking_metrics(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = (
     value buckets whose offsets come from bucket sums, so no group is sorted in
     a single task. AUC is null where a class is absent.
     """
-    tied = rows.groupBy(*by, F.col(score).cast("double").alias("_score")).agg(
+    scored = rows.withColumn("_score", F.col(score).cast("double"))
+    tied = scored.groupBy(*by, "_score").agg(
         F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")
     )
+    bucketed = value_buckets(scored.select("_score"), "_score", buckets).transform(tied)
     ranked = totals_before(
-        with_value_bucket(tied, "_score", buckets), "_bucket", [F.col("_score")],
+        bucketed, "_bucket", [F.col("_score")],
         {"pos": F.col("p"), "neg": F.col("n")}, by,
     )
     p, n = F.col("p").cast("double"), F.col("n").cast("double")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import peaks as P
+from peakloom.functions.binding import exploded
 from peakloom.operators.overlap import union_all
 from peakloom.schema import C_RAW_AUDIT_RANGE, H_CLEAN_RANGE, MAX_PEAKS
 
@@ -84,16 +85,16 @@ def prevalence(df: DataFrame, by: list[str], flags: list[str]) -> DataFrame:
 
 
 def proton_rows(records: DataFrame, by: str) -> DataFrame:
-    return records.select(by, F.explode("h_nmr_peaks").alias("p")).filter("p is not null").select(by, "p.*")
+    return exploded(records, by, items="h_nmr_peaks").select(by, "item.*")
 
 
 def carbon_rows(records: DataFrame, by: str) -> DataFrame:
-    return records.select(by, F.explode("c_nmr_peaks").alias("p")).filter("p is not null").select(by, "p.*")
+    return exploded(records, by, items="c_nmr_peaks").select(by, "item.*")
 
 
 def j_rows(records: DataFrame, by: str) -> DataFrame:
     flat = F.flatten(F.filter(F.transform("h_nmr_peaks", lambda p: p["j_values"]), lambda j: j.isNotNull()))
-    return records.select(by, F.explode(flat).alias("j_hz")).filter("j_hz is not null")
+    return exploded(records, by, items=flat, name="j_hz")
 
 
 def peak_summary(records: DataFrame, by: str = "source", shift_only: bool = False) -> DataFrame:
@@ -133,7 +134,7 @@ def peak_summary(records: DataFrame, by: str = "source", shift_only: bool = Fals
             F.avg(v).alias(f"{name}_mean{unit}"), F.stddev_samp(v).alias(f"{name}_std{unit}"),
             F.min(v).alias(f"{name}_min{unit}"), F.max(v).alias(f"{name}_max{unit}"),
         ]
-    per_peak = records.select(by, F.explode(tagged).alias("m")).groupBy(by).agg(*aggregates)
+    per_peak = exploded(records, by, items=tagged, name="m").groupBy(by).agg(*aggregates)
     return per_record.join(per_peak, by, "left")
 
 
@@ -255,7 +256,7 @@ def duplicate_id_count(records: DataFrame, record_id: str = "record_id") -> Data
 def value_counts(records: DataFrame) -> DataFrame:
     """Counts of every source and every multiplicity label."""
     by_source = records.groupBy(F.col("source").alias("value")).agg(F.count("*").alias("n"))
-    labels = records.select(F.explode(F.transform("h_nmr_peaks", lambda p: p["multiplicity"])).alias("value"))
+    labels = exploded(records, items="h_nmr_peaks").select(F.col("item.multiplicity").alias("value"))
     by_label = labels.groupBy("value").agg(F.count("*").alias("n"))
     return by_source.select(F.lit("source").alias("field"), "value", "n").unionByName(
         by_label.select(F.lit("multiplicity").alias("field"), "value", "n")

@@ -76,12 +76,14 @@ def position_by_score(
     )
 
 
-def with_value_bucket(df: DataFrame, column: str, buckets: int = 128) -> DataFrame:
-    """Add `_bucket`, an order-preserving bucket from approximate quantiles."""
-    fitted = QuantileDiscretizer(
-        numBuckets=buckets, inputCol=column, outputCol="_bucket", relativeError=0.002
-    ).fit(df)
-    return fitted.transform(df)
+def value_buckets(rows: DataFrame, column: str, buckets: int = 128):
+    """A fitted stage that adds `_bucket`, order-preserving by approximate quantiles.
+
+    Fitting reads the column once and keeps a sketch of bounded size.
+    """
+    return QuantileDiscretizer(
+        numBuckets=buckets, inputCol=column, outputCol="_bucket", relativeError=0.003
+    ).fit(rows)
 
 
 def average_rank(by: list[str], value: str, descending: Column | bool = True) -> Column:

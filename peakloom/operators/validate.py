@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import pos_exploded
 from peakloom.functions.text import is_finite, strip
 from peakloom.schema import (
     DESCRIPTORS,
@@ -130,10 +131,8 @@ def validate(records: DataFrame) -> DataFrame:
 
 def issue_rows(records: DataFrame) -> DataFrame:
     """One row per issue."""
-    return (
-        records.select("record_id", F.posexplode(record_issues()).alias("issue_no", "issue"))
-        .select("record_id", "issue_no", "issue.*")
-    )
+    rows = pos_exploded(records, "record_id", items=record_issues(), pos="issue_no")
+    return rows.select("record_id", "issue_no", "item.*")
 
 
 def checked(records: DataFrame) -> DataFrame:

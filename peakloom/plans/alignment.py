@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import pos_exploded
 from peakloom.operators import align as A
 from peakloom.plans.profiling import rounded
 from peakloom.plans.registry import query
@@ -122,7 +123,7 @@ def coordinate_statistics(spark, sf_dir):
 def standardized_embeddings(spark, sf_dir):
     rows = cache(spark, sf_dir)
     scaled = A.standardized(rows.filter("vec_id % 4 = 0"), rows.filter("vec_id % 4 <> 0"))
-    return scaled.select("record_id", F.posexplode("embedding").alias("coordinate", "v")).select(
+    return pos_exploded(scaled, "record_id", items="embedding", pos="coordinate", name="v").select(
         "record_id", "coordinate", F.round("v", 5).alias("value"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import exploded, pos_exploded
 from peakloom.operators import augment as A
 from peakloom.plans.registry import query
 from peakloom.plans.sql import RECORDS
@@ -32,7 +33,8 @@ off as (select record_id, case when {u(key('global-h', 'record_id'), 1)} < 0.5 t
 @query("global_shift", MOVED + "select record_id, round(shift + offset_ppm, 6) as shift from pk join off using (record_id) where nucleus = 'h'")
 def global_shift(spark, sf_dir):
     moved = A.global_shift(F.col("h_nmr_peaks"), F.col("record_id"), "h", *H_BIN_RANGE, 0.3, 0.5, SEED)
-    return spectra(spark, sf_dir).select("record_id", F.inline(moved)).select("record_id", F.round("shift", 6).alias("shift"))
+    rows = exploded(spectra(spark, sf_dir), "record_id", items=moved)
+    return rows.select("record_id", F.round("item.shift", 6).alias("shift"))
 
 
 MASK = RECORDS + f""",
@@ -59,7 +61,7 @@ def local_jitter(spark, sf_dir):
     both = F.arrays_zip(F.transform(moved, lambda p: p["shift"]).alias("new"), clamped.alias("old"))
     # unmoved peaks are compared bit by bit, moved ones to five decimals
     shown = F.when(F.col("p.new") == F.col("p.old"), F.col("p.new")).otherwise(F.round("p.new", 5))
-    return staged.select("record_id", F.posexplode(both).alias("position", "p")).select(
+    return pos_exploded(staged, "record_id", items=both, name="p").select(
         "record_id", "position", shown.alias("shift"))
 
 
@@ -70,7 +72,7 @@ select record_id, i::integer as position, case when {u(key('annotation', 'record
   case when {u(key('annotation', 'record_id', 'i'), 2)} >= 0.4 then half end as half_span from pk where nucleus = 'h'""")
 def masked_annotations(spark, sf_dir):
     masked = A.masked_annotations(F.col("h_nmr_peaks"), F.col("record_id"), 0.4, SEED)
-    return spectra(spark, sf_dir).select("record_id", F.posexplode(masked).alias("position", "p")).select(
+    return pos_exploded(spectra(spark, sf_dir), "record_id", items=masked, name="p").select(
         "record_id", "position", "p.integration", "p.multiplicity", F.size("p.j_values").cast("bigint").alias("j_count"),
         F.col("p.range_half_span").alias("half_span"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions import text as X
+from peakloom.functions.binding import exploded
 from peakloom.functions.peaks import any_peak
 from peakloom.operators import conform as C
 from peakloom.plans.registry import query
@@ -81,7 +82,7 @@ select record_id, shift, integration, mtrim as multiplicity_raw, mult as multipl
   (hi - lo) / 2e0 as range_half_span from v""")
 def conform_rich_peaks(spark, sf_dir):
     records = C.conform_rich(rich_landing(spark, sf_dir), "literature", "lit", keep_carbon_properties=False)
-    return records.select("record_id", F.inline("h_nmr_peaks")).select(
+    return exploded(records, "record_id", items="h_nmr_peaks").select("record_id", "item.*").select(
         "record_id", "shift", "integration", "multiplicity_raw", "multiplicity",
         F.size("j_values").cast("bigint").alias("j_count"), "range_min", "range_max", "range_half_span")
 
@@ -98,7 +99,7 @@ def conform_rich_records(spark, sf_dir):
 @query("conform_rich_issues", RICH_SQL + "select code, count(*) as n from issues group by code")
 def conform_rich_issues(spark, sf_dir):
     records = C.conform_rich(rich_landing(spark, sf_dir), "literature", "lit", keep_carbon_properties=False)
-    return records.select(F.inline("conform_issues")).groupBy("code").agg(F.count("*").alias("n"))
+    return exploded(records, items="conform_issues").groupBy(F.col("item.code").alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("conform_simulated_carbons", RICH_SQL + """
@@ -106,7 +107,7 @@ select 'sim:' || split || ':' || o.ok as record_id, shift, integral, case when d
 from o join lp on o.ok = lp.ok where nucleus = 'c'""")
 def conform_simulated_carbons(spark, sf_dir):
     records = C.conform_rich(rich_landing(spark, sf_dir), "simulated", "sim", keep_carbon_properties=True)
-    return records.select("record_id", F.inline("c_nmr_peaks"))
+    return exploded(records, "record_id", items="c_nmr_peaks").select("record_id", "item.*")
 
 
 def tokenised_landing(spark, sf_dir) -> DataFrame:
@@ -148,7 +149,7 @@ select record_id, shift, case when defect = 2 then null else integration end as
 from good join lp using (ok) where nucleus = 'h'""")
 def conform_tokenised_protons(spark, sf_dir):
     records = C.conform_tokenised(tokenised_landing(spark, sf_dir), "tokenised", "tok")
-    return records.select("record_id", F.inline("h_nmr_peaks")).select(
+    return exploded(records, "record_id", items="h_nmr_peaks").select("record_id", "item.*").select(
         "record_id", "shift", "integration", "multiplicity_raw", "multiplicity",
         F.size("j_values").cast("bigint").alias("j_count"), "range_half_span", "range_max")
 
@@ -160,13 +161,13 @@ select code, count(*) as n from (
   union all select 'negative_half_span' from good join lp using (ok) where nucleus = 'h' and defect = 1 and line_no <> 3) group by code""")
 def conform_tokenised_issues(spark, sf_dir):
     records = C.conform_tokenised(tokenised_landing(spark, sf_dir), "tokenised", "tok")
-    return records.select(F.inline("conform_issues")).groupBy("code").agg(F.count("*").alias("n"))
+    return exploded(records, items="conform_issues").groupBy(F.col("item.code").alias("code")).agg(F.count("*").alias("n"))
 
 
 @query("conform_tokenised_carbons", TOK_SQL + """select record_id, shift from good join lp using (ok) where nucleus = 'c' and cust % 9 <> 0""")
 def conform_tokenised_carbons(spark, sf_dir):
     records = C.conform_tokenised(tokenised_landing(spark, sf_dir), "tokenised", "tok")
-    return records.select("record_id", F.inline("c_nmr_peaks")).select("record_id", "shift")
+    return exploded(records, "record_id", items="c_nmr_peaks").select("record_id", "item.*").select("record_id", "shift")
 
 
 def atom_landing(spark, sf_dir) -> DataFrame:
@@ -200,11 +201,11 @@ a as (select t.*, shift, eq_class, nucleus, line_no from t join lp using (ok) wh
 select record_id, nucleus, eq_class as equivalence_class, count(*) as members, round(avg(shift), 6) as shift, ok from a where nucleus = 'h' and cust % 103 <> 0 group by all""")
 def conform_atom_peaks(spark, sf_dir):
     landing = atom_landing(spark, sf_dir)
-    records = C.conform_atoms(landing, "atoms", "atoms")
     # the arrays of a record carry no order key, so the landing key column rides along
     keyed = C.conform_atoms(landing.withColumn("smiles", F.concat_ws("|", F.coalesce("smiles", "canonical_smiles", F.lit("")), F.col("ok").cast("string"))), "atoms", "atoms")
     good = keyed.filter(~any_peak(F.col("conform_issues"), lambda x: x["code"] == "length_mismatch"))
-    return good.select("record_id", F.split_part("smiles", F.lit("|"), F.lit(2)).cast("bigint").alias("ok"), F.inline("h_nmr_peaks")).select(
+    order = F.split_part("smiles", F.lit("|"), F.lit(2)).cast("bigint").alias("ok")
+    return exploded(good, "record_id", order, items="h_nmr_peaks").select("record_id", "ok", "item.*").select(
         "record_id", F.lit("h").alias("nucleus"), "equivalence_class", F.col("integration").alias("members"),
         F.round("shift", 6).alias("shift"), "ok")
 
@@ -239,9 +240,10 @@ def conform_shift_lists(spark, sf_dir):
         "split", F.col("ok").alias("row_index"), F.col("structure").alias("smiles"),
         F.col("h_peaks").alias("h_shift"), F.col("c_peaks").alias("c_shift"))
     records = C.conform_shifts(landing, "plain", "plain")
-    h = records.select("record_id", F.lit("h").alias("nucleus"), F.explode(F.transform("h_nmr_peaks", lambda p: p["shift"])).alias("shift"))
-    c = records.select("record_id", F.lit("c").alias("nucleus"), F.explode(F.transform("c_nmr_peaks", lambda p: p["shift"])).alias("shift"))
-    return h.unionByName(c)
+    def tagged(nucleus):
+        return F.transform(f"{nucleus}_nmr_peaks", lambda p: F.struct(F.lit(nucleus).alias("nucleus"), p["shift"].alias("shift")))
+
+    return exploded(records, "record_id", items=F.concat(tagged("h"), tagged("c"))).select("record_id", "item.*")
 
 
 @query("json_text_numbers", """select event_type, count(*) as n, sum((props->>'k')::bigint)::bigint as total from events group by event_type""")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import model_inputs as I
 from peakloom.functions import peaks as P
 from peakloom.functions import vectors as V
+from peakloom.functions.binding import exploded, pos_exploded
 from peakloom.operators import dialects as D
 from peakloom.plans.registry import query
 from peakloom.plans.sql import RECORDS
@@ -28,7 +29,7 @@ select record_id, i::integer as position, shift, coalesce(integration, 0)::doubl
 from ids""")
 def encoder_protons(spark, sf_dir):
     names = ["h_shift", "h_integration", "h_multiplicity", "h_j_values", "h_range_half_span", "h_peak_mask", "h_j_mask", "h_availability"]
-    rows = _batch(spark, sf_dir).select("record_id", F.posexplode(F.arrays_zip(*names)).alias("position", "p"))
+    rows = pos_exploded(_batch(spark, sf_dir), "record_id", items=F.arrays_zip(*names), name="p")
     bits = [F.get("p.h_availability", F.lit(k)).cast("int") * (1 << k) for k in range(4)]
     j_sum = F.aggregate("p.h_j_values", F.lit(0.0), lambda a, v: a + v)
     return rows.filter("p.h_peak_mask").select(
@@ -99,7 +100,7 @@ select record_id, shift as "centroid", range_min as "rangeMin", range_max as "ra
   integration::integer as "nH", case when n_j = 0 then 0 else n_j end::bigint as j_parts from okr""")
 def ranged_fields(spark, sf_dir):
     good = spectra(spark, sf_dir).filter(F.size(D.dialect_issues("ranged", strict=False)) == 0)
-    rows = good.select("record_id", F.inline(I.ranged_protons(F.col("h_nmr_peaks"))))
+    rows = exploded(good, "record_id", items=I.ranged_protons(F.col("h_nmr_peaks"))).select("record_id", "item.*")
     parts = F.when(F.col("j_values") == "_", 0).otherwise(F.size(F.split("j_values", "_")))
     return rows.withColumn("j_parts", parts.cast("bigint")).drop("j_values")
 
@@ -107,7 +108,7 @@ def ranged_fields(spark, sf_dir):
 @query("ranged_native_labels", RANGED_OK + """select record_id, mraw as category, count(*) as n from okr group by all""")
 def ranged_native_labels(spark, sf_dir):
     good = spectra(spark, sf_dir).filter(F.size(D.dialect_issues("ranged", native=True, strict=False)) == 0)
-    rows = good.select("record_id", F.inline(I.ranged_protons(F.col("h_nmr_peaks"), native=True)))
+    rows = exploded(good, "record_id", items=I.ranged_protons(F.col("h_nmr_peaks"), native=True)).select("record_id", "item.*")
     return rows.groupBy("record_id", "category").agg(F.count("*").alias("n"))
 
 
@@ -137,11 +138,9 @@ def tokenised_text(spark, sf_dir):
         F.round(total(j_total), 6).alias("j_sum"), F.array_min(F.transform("h", lambda p: p[2])).alias("first_label"))
 
 
-@query("scaled_carbons", RECORDS + """select record_id, round(sum(greatest(0, least(1, shift / 220))), 6) as scaled_sum from pk where nucleus = 'c' group by 1""")
+@query("scaled_carbons", RECORDS + "select record_id, greatest(0e0, least(1e0, shift / 220e0)) as scaled from pk where nucleus = 'c'")
 def scaled_carbons(spark, sf_dir):
-    rows = spectra(spark, sf_dir).filter(F.size("c_nmr_peaks") > 0)
-    scaled = I.scaled_carbon(F.col("c_nmr_peaks"))
-    return rows.select("record_id", F.round(F.aggregate(scaled, F.lit(0.0), lambda a, v: a + v), 6).alias("scaled_sum"))
+    return exploded(spectra(spark, sf_dir), "record_id", items=I.scaled_carbon(F.col("c_nmr_peaks")), name="scaled")
 
 
 @query("multiplicity_ids", """
@@ -162,8 +161,8 @@ def multiplicity_ids(spark, sf_dir):
 select l_returnflag as flag, k::integer as centre, round(sum(exp(-0.5e0 * ((l_quantity - (0e0 + k * (50e0 / 7e0))) / 4e0) ** 2)), 4) as activation
 from lineitem, (select unnest(range(8)) as k) group by all""")
 def rbf_expansion(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), F.posexplode(V.rbf_expansion(F.col("l_quantity"), 0.0, 50.0, 8, 4.0)).alias("centre", "v"))
+    flag = F.col("l_returnflag").alias("flag")
+    rows = pos_exploded(table(spark, sf_dir, "lineitem"), flag, items=V.rbf_expansion(F.col("l_quantity"), 0.0, 50.0, 8, 4.0), pos="centre", name="v")
     return rows.groupBy("flag", "centre").agg(F.round(F.sum("v"), 4).alias("activation"))
 
 
@@ -173,8 +172,8 @@ r as (select l_orderkey, l_returnflag as flag, l_quantity as q,
   (select sum(exp(-0.5e0 * ((l_quantity - k * 10e0) / 3e0) ** 2)) from (select unnest(range(6)) as k)) as t from lineitem)
 select flag, k::integer as bin, round(sum(exp(-0.5e0 * ((q - k * 10e0) / 3e0) ** 2) / greatest(t, 1e-12)), 4) as mass from r, (select unnest(range(6)) as k) group by all""")
 def soft_label_bins(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_returnflag").alias("flag"), F.posexplode(V.soft_bins(F.col("l_quantity"), 0.0, 50.0, 6, 3.0)).alias("bin", "v"))
+    flag = F.col("l_returnflag").alias("flag")
+    rows = pos_exploded(table(spark, sf_dir, "lineitem"), flag, items=V.soft_bins(F.col("l_quantity"), 0.0, 50.0, 6, 3.0), pos="bin", name="v")
     return rows.groupBy("flag", "bin").agg(F.round(F.sum("v"), 4).alias("mass"))
 
 
@@ -193,8 +192,8 @@ select vec_id, (i * 8 + k)::integer as position, ((byte >> k) & 1)::integer as b
 def unpacked_bits(spark, sf_dir):
     pairs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.hex((F.col("vec_id") * 7 + i * 13) % 251), 2, "0"))
     packed = F.unhex(F.array_join(pairs, ""))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(V.unpack_bits(packed, 8)).alias("position", "bit"))
-    return rows.filter("bit = 1")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.unpack_bits(packed, 8).alias("bits"))
+    return pos_exploded(rows, "vec_id", items="bits", name="bit").filter("bit = 1")
 
 
 @query("bit_text", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from peakloom.functions.binding import exploded
 from peakloom.functions.vectors import is_valid_vector
 from peakloom.operators import dialects as D
 from peakloom.operators import metrics as M
@@ -34,10 +35,11 @@ def validation_issues(spark, sf_dir):
 @query("validation_issue_counts", ISSUES_SQL + "select code, count(*) as occurrences, count(distinct record_id) as records from found group by code")
 def validation_issue_counts(spark, sf_dir):
     codes = F.transform(V.record_issues(), lambda x: x["code"])
-    per = spectra(spark, sf_dir).select(codes.alias("codes")).select(
-        F.explode(F.transform(F.array_distinct("codes"), lambda c: F.struct(
-            c.alias("code"), F.size(F.filter("codes", lambda x: x == c)).alias("n")))).alias("x"))
-    return per.groupBy(F.col("x.code").alias("code")).agg(F.sum("x.n").alias("occurrences"), F.count("*").alias("records"))
+    checked = spectra(spark, sf_dir).select(codes.alias("codes"))
+    counted = F.transform(F.array_distinct("codes"), lambda c: F.struct(
+        c.alias("code"), F.size(F.filter("codes", lambda x: x == c)).alias("n")))
+    return exploded(checked, items=counted).groupBy(F.col("item.code").alias("code")).agg(
+        F.sum("item.n").alias("occurrences"), F.count("*").alias("records"))
 
 
 DIALECT_SQL = ISSUES_SQL + """,
