@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import peaks as P
 from peakloom.functions.text import molecule_key
 from peakloom.schema import C_CLEAN_RANGE, H_CLEAN_RANGE, MAX_J_VALUES, MAX_PEAKS
+from peakloom.session import cut_lineage
 
 # Removal reasons in report order.
 FILTER_REASONS = (
@@ -109,9 +110,17 @@ def duplicate_losers(audited: DataFrame) -> DataFrame:
     )
 
 
-def removals(records: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:
-    """One row per removed record: record_id, removal_reason, duplicate_of."""
+def removals(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), staged: bool = False) -> DataFrame:
+    """One row per removed record: record_id, removal_reason, duplicate_of.
+
+    `staged` writes the compact audit columns to the shared scratch folder once,
+    instead of computing them for each of the four passes.
+    """
     audited = audit(records, policy)
+    return removals_of_audit(cut_lineage(audited) if staged else audited)
+
+
+def removals_of_audit(audited: DataFrame) -> DataFrame:
     failed = audited.filter(F.col("_reasons").isNotNull()).select(
         "record_id",
         F.col("_reasons").alias("removal_reason"),
@@ -123,13 +132,16 @@ def removals(records: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> D
     )
 
 
-def clean(records: DataFrame, policy: CleaningPolicy = CleaningPolicy()) -> DataFrame:
-    """The records that pass every rule and win their duplicate group."""
+def clean(records: DataFrame, policy: CleaningPolicy = CleaningPolicy(), staged: bool = False) -> DataFrame:
+    """The records that pass every rule and win their duplicate group.
+
+    The rules are tested again on the records, so only the duplicates, few in
+    number, take part in a join.
+    """
+    audited = audit(records, policy).filter(F.col("_reasons").isNull())
+    losers = duplicate_losers(cut_lineage(audited) if staged else audited)
     passing = records.filter(failed_reasons(policy).isNull())
-    losers = duplicate_losers(
-        audit(records, policy).filter(F.col("_reasons").isNull())
-    ).select("record_id")
-    return passing.join(losers, "record_id", "left_anti")
+    return passing.join(losers.select("record_id"), "record_id", "left_anti")
 
 
 def reason_counts(removed: DataFrame) -> DataFrame:

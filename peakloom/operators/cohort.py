@@ -14,14 +14,17 @@ from peakloom.functions.text import numeric_label, seeded_digest
 from peakloom.operators.ranking import position_by_score
 
 RELEASE = ["endpoint", "split"]
+# The two splits of a released endpoint.
+SPLITS = ("train_val", "test")
 
 
 def cross_split_keys(labels: DataFrame, key: str = "key") -> DataFrame:
     """(endpoint, key) that occur in more than one split of the endpoint."""
+    bit = F.coalesce(*[F.when(F.col("split") == s, F.lit(1 << i)) for i, s in enumerate(SPLITS)])
     return (
         labels.groupBy("endpoint", key)
-        .agg(F.min("split").alias("_a"), F.max("split").alias("_b"))
-        .filter("_a <> _b")
+        .agg(F.bit_or(bit).alias("_splits"))
+        .filter(F.bit_count("_splits") > 1)
         .select("endpoint", key)
     )
 
@@ -90,7 +93,7 @@ def training_pool(records: DataFrame, labels: DataFrame, key: str = "key") -> Da
 
 
 def fraction_split(keys: DataFrame, key: str, fraction: float, seed: int,
-                   names: tuple[str, str] = ("train_val", "test")) -> DataFrame:
+                   names: tuple[str, str] = SPLITS) -> DataFrame:
     """Assign each distinct key to one of two splits by its seeded digest.
 
     The first split gets `fraction` of the keys, rounded half to even, and at

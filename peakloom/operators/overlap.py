@@ -41,12 +41,26 @@ def matched_keys(table: DataFrame, candidates: DataFrame, key: str) -> DataFrame
     return _some_key(candidates, key).distinct().join(_some_key(table, key), key, "left_semi")
 
 
+def _keys_with_first_match(benchmark: DataFrame, comparisons: list[DataFrame], key: str) -> DataFrame:
+    """Per key: benchmark records and the first comparison table that has it.
+
+    One aggregation over the tagged union; there is no join that a key with very
+    many records could unbalance.
+    """
+    own = benchmark.select(key, F.lit(1).alias("_own"), F.lit(None).cast("int").alias("_table"))
+    listed = [
+        _some_key(df, key).withColumns({"_own": F.lit(0), "_table": F.lit(i)})
+        for i, df in enumerate(comparisons)
+    ]
+    return union_all([own, *listed]).groupBy(key).agg(
+        F.sum("_own").alias("records"), F.min("_table").alias("first_table")
+    ).filter("records > 0")
+
+
 def attribution(benchmark: DataFrame, comparisons: dict[str, DataFrame], key: str) -> DataFrame:
     """Removed molecules per comparison; each counts for the first that has it."""
-    own = _some_key(benchmark, key).distinct()
     counts = (
-        first_listed(list(comparisons.values()), key)
-        .join(own, key, "left_semi")
+        _keys_with_first_match(benchmark, list(comparisons.values()), key)
         .groupBy("first_table")
         .agg(F.count("*").alias("n"))
     )
@@ -62,14 +76,11 @@ def decontamination_counts(
     benchmark: DataFrame, comparisons: list[DataFrame], key: str
 ) -> DataFrame:
     """Input, kept and removed records, and removed molecules, in one row."""
-    listed = first_listed(comparisons, key).select(key, F.lit(True).alias("hit"))
-    per_key = benchmark.groupBy(key).agg(F.count("*").alias("n"))
-    flagged = per_key.join(listed, key, "left")
-    hit = F.coalesce("hit", F.lit(False))
-    return flagged.agg(
-        F.sum("n").alias("input_records"),
-        F.sum(F.when(~hit, F.col("n")).otherwise(0)).alias("output_records"),
-        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("removed_records"),
+    hit = F.col("first_table").isNotNull()
+    return _keys_with_first_match(benchmark, comparisons, key).agg(
+        F.sum("records").alias("input_records"),
+        F.sum(F.when(~hit, F.col("records")).otherwise(0)).alias("output_records"),
+        F.sum(F.when(hit, F.col("records")).otherwise(0)).alias("removed_records"),
         F.count_if(hit).alias("removed_molecules"),
     )
 

@@ -18,11 +18,14 @@ def totals_before(
     order: list[Column],
     weights: dict[str, Column],
     by: tuple[str, ...] = (),
+    below: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add `<name>_before` and `<name>_total` for every weight.
 
     `bucket` must order like `order`. `_before` sums the rows strictly earlier
-    within the group, `_total` sums the whole group.
+    within the group, `_total` sums the whole group. `below` keeps only rows
+    with `<name>_before` under a bound, which may use the totals: buckets that
+    start beyond it are left out before anything is sorted.
     """
     weighted = df.withColumns({f"_w_{name}": w for name, w in weights.items()})
     sums = weighted.groupBy(*by, bucket).agg(
@@ -41,8 +44,11 @@ def totals_before(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    return (
-        weighted.join(offsets, [*by, bucket])
+    joined = weighted.join(offsets, [*by, bucket])
+    for n, bound in (below or {}).items():
+        joined = joined.filter(F.col(f"_o_{n}") < bound)
+    summed = (
+        joined
         .withColumns({
             f"{n}_before": F.col(f"_o_{n}")
             + F.coalesce(F.sum(f"_w_{n}").over(inside), F.lit(0))
@@ -50,6 +56,9 @@ def totals_before(
         })
         .drop(*[f"_w_{n}" for n in weights], *[f"_o_{n}" for n in weights])
     )
+    for n, bound in (below or {}).items():
+        summed = summed.filter(F.col(f"{n}_before") < bound)
+    return summed
 
 
 def position_by_score(
@@ -58,21 +67,24 @@ def position_by_score(
     ties: list[Column],
     by: tuple[str, ...] = (),
     digits: int = 3,
+    at_most: Column | None = None,
 ) -> DataFrame:
     """Add `position` (1-based) and `group_size` in order of a hex score.
 
     Hex digests are uniform, so their first digits are balanced buckets.
+    `at_most` keeps the first positions only; it may use `group_size`.
     """
     scored = df.withColumn("_score", score).withColumn(
         "_bucket", F.substring("_score", 1, digits)
     )
     ranked = totals_before(
-        scored, "_bucket", [F.col("_score"), *ties], {"_n": F.lit(1)}, by
+        scored, "_bucket", [F.col("_score"), *ties], {"group_size": F.lit(1)}, by,
+        None if at_most is None else {"group_size": at_most},
     )
     return (
-        ranked.withColumn("position", F.col("_n_before") + 1)
-        .withColumnRenamed("_n_total", "group_size")
-        .drop("_n_before", "_score", "_bucket")
+        ranked.withColumn("position", F.col("group_size_before") + 1)
+        .drop("group_size_before", "_score", "_bucket")
+        .withColumnRenamed("group_size_total", "group_size")
     )
 
 

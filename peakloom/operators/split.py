@@ -28,9 +28,10 @@ def lowest_records(records: DataFrame, key: str, n_records: int, seed: int) -> D
         .withColumn("_bucket", F.substring("_score", 1, 3))
     )
     ranked = totals_before(
-        per_key, "_bucket", [F.col("_score"), F.col(key).desc()], {"_n": F.col("_records")}
+        per_key, "_bucket", [F.col("_score"), F.col(key).desc()], {"_n": F.col("_records")},
+        below={"_n": F.lit(n_records)},
     )
-    return ranked.filter(F.col("_n_before") < n_records).select(key)
+    return ranked.select(key)
 
 
 def shared_holdout(
@@ -57,7 +58,9 @@ def representatives(rows: DataFrame, key: str, *carried: str) -> DataFrame:
 
 def first_keys(keys: DataFrame, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
     """Take the first keys in score order, then the next ones, and so on."""
-    ranked = position_by_score(keys, seeded_score(F.col(key), seed), [F.col(key)])
+    ranked = position_by_score(
+        keys, seeded_score(F.col(key), seed), [F.col(key)], at_most=F.lit(sum(sizes.values()))
+    )
     wanted, split = 0, None
     for name, size in sizes.items():
         wanted += size
@@ -163,11 +166,11 @@ def mix_sources(records: DataFrame, weights: dict[str, float], size: int, seed:
     whole_cycles = repeated.filter(F.col("copy_no") <= full)
     order = R.digest(seed, "mix", F.col(source), F.col("record_id"))
     last_cycle = position_by_score(
-        repeated.filter(F.col("copy_no") > full), order, [F.col("record_id")], by=(source,), digits=2
+        repeated.filter(F.col("copy_no") > full), order, [F.col("record_id")], by=(source,), digits=2,
+        at_most=F.col("_quota") - full * F.col("_n"),
     )
-    cut = last_cycle.filter(F.col("position") <= F.col("_quota") - full * F.col("_n"))
     columns = [*records.columns, "copy_no"]
-    return whole_cycles.select(*columns).unionByName(cut.select(*columns))
+    return whole_cycles.select(*columns).unionByName(last_cycle.select(*columns))
 
 
 def shuffled(records: DataFrame, seed: int, record_id: str = "record_id") -> DataFrame:

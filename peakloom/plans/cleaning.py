@@ -47,13 +47,13 @@ removed as (
 
 @query("clean_removals", AUDIT_SQL + "select * from removed")
 def clean_removals(spark, sf_dir):
-    return C.removals(spectra(spark, sf_dir), POLICY)
+    return C.removals(spectra(spark, sf_dir), POLICY, staged=True)
 
 
 @query("clean_kept", AUDIT_SQL + """select record_id, source, n_h, n_c from audit
 where record_id not in (select record_id from removed)""")
 def clean_kept(spark, sf_dir):
-    return C.clean(spectra(spark, sf_dir), POLICY).select(
+    return C.clean(spectra(spark, sf_dir), POLICY, staged=True).select(
         "record_id", "source",
         F.size("h_nmr_peaks").cast("bigint").alias("n_h"), F.size("c_nmr_peaks").cast("bigint").alias("n_c"))
 
@@ -61,7 +61,7 @@ def clean_kept(spark, sf_dir):
 @query("clean_reason_counts", AUDIT_SQL + """select reason, count(*) as records
 from (select unnest(string_split(removal_reason, ';')) as reason from removed) group by reason""")
 def clean_reason_counts(spark, sf_dir):
-    return C.reason_counts(C.removals(spectra(spark, sf_dir), POLICY))
+    return C.reason_counts(C.removals(spectra(spark, sf_dir), POLICY, staged=True))
 
 
 @query("clean_reconciliation", AUDIT_SQL + """select (select count(*) from recs) as input_records,
@@ -70,4 +70,4 @@ count(*) filter (where duplicate_of is not null) as duplicate_records,
 (select count(*) from recs) - count(*) as output_records from removed""")
 def clean_reconciliation(spark, sf_dir):
     records = spectra(spark, sf_dir)
-    return C.reconciliation(records, C.removals(records, POLICY))
+    return C.reconciliation(records, C.removals(records, POLICY, staged=True))

@@ -11,7 +11,7 @@ from peakloom.functions.peaks import any_peak
 from peakloom.operators import conform as C
 from peakloom.plans.registry import query
 from peakloom.plans.sql import LINE_PEAKS
-from peakloom.plans.views import line_peaks, table
+from peakloom.plans.views import collected, line_peaks, table
 
 ORDER_SQL = "with " + LINE_PEAKS + """,
 o as (select ok, source, mol_key, case when ok % 10 = 0 then 'test' else 'train' end as split from recs where not is_dup)
@@ -27,9 +27,7 @@ def _orders(spark, sf_dir):
 
 
 def _peak_lists(flat, h, c):
-    return flat.groupBy("ok").agg(
-        F.sort_array(F.collect_list(F.when(F.col("nucleus") == "h", h))).alias("h_peaks"),
-        F.sort_array(F.collect_list(F.when(F.col("nucleus") == "c", c))).alias("c_peaks"))
+    return collected(flat, "ok", h, c)
 
 
 def rich_landing(spark, sf_dir) -> DataFrame:
@@ -175,7 +173,7 @@ def atom_landing(spark, sf_dir) -> DataFrame:
     flat = line_peaks(spark, sf_dir)
     number = F.when(F.col("line_no") == 7, 8).when(F.col("nucleus") == "h", 1).otherwise(6)
     atom = F.struct(F.col("w"), F.col("shift"), number.alias("z"), F.col("eq_class").alias("k"), F.col("integral"), F.col("width"), F.col("defect"))
-    grouped = flat.groupBy("ok").agg(F.sort_array(F.collect_list(atom)).alias("a"))
+    grouped = flat.repartition("ok").groupBy("ok").agg(F.sort_array(F.collect_list(atom)).alias("a"))
     empty = F.array().cast("array<struct<w:double,shift:double,z:int,k:bigint,integral:double,width:double,defect:bigint>>")
     atoms = F.coalesce("a", empty)
     k = F.transform(atoms, lambda a: a["k"])

@@ -211,7 +211,7 @@ def raw_landing(spark, sf_dir):
     """Raw peak lists per order, before any canonical rule."""
     flat = line_peaks(spark, sf_dir)
     raw = F.struct("shift", "integration", "n_j", "line_no", "w")
-    peaks = flat.groupBy("ok").agg(
+    peaks = flat.repartition("ok").groupBy("ok").agg(
         F.collect_list(F.when(F.col("nucleus") == "h", raw)).alias("h_peaks"),
         F.collect_list(F.when(F.col("nucleus") == "c", raw)).alias("c_peaks"))
     orders = order_copies(spark, sf_dir).filter("kind = 'rec'")

@@ -51,7 +51,7 @@ def cleaned_pair(spark, sf_dir):
 def filtered_copy(spark, sf_dir):
     path = scratch_path(spark, "kept")
     records = spectra(spark, sf_dir)
-    writers.write_filtered(records, C.removals(records, POLICY), path, keep=False, step="clean", inputs=["orders", "lineitem"])
+    writers.write_filtered(records, C.removals(records, POLICY, staged=True), path, keep=False, step="clean", inputs=["orders", "lineitem"])
     return spark.read.parquet(path).groupBy("source").agg(F.count("*").alias("records"))
 
 

@@ -73,9 +73,11 @@ def order_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collected(flat: DataFrame, key: str, h: Column, c: Column) -> DataFrame:
     """The proton and carbon structs of each key as sorted arrays.
 
-    A record is one row, so its peaks have to fit one row.
+    A record is one row, so its peaks have to fit one row. The flat rows are
+    spread by key first: lists gain nothing from partial aggregation, and the
+    lists are then built in all tasks.
     """
-    return flat.groupBy(key).agg(
+    return flat.repartition(key).groupBy(key).agg(
         F.sort_array(F.collect_list(F.when(F.col("nucleus") == "h", h))).alias("h_peaks"),
         F.sort_array(F.collect_list(F.when(F.col("nucleus") == "c", c))).alias("c_peaks"),
     )

@@ -28,6 +28,8 @@ def scratch_root(spark: SparkSession) -> str:
     Only where none is configured (tests, a laptop) is a local one chosen.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        configured = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):

@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from peakloom.operators.clean import (
-    DUPLICATE_REASON, CleaningPolicy, audit, duplicate_losers, failed_reasons,
-)
+from peakloom.operators.clean import CleaningPolicy, audit, failed_reasons, reason_counts, removals_of_audit
 from peakloom.schema import CANONICAL, SCHEMA_VERSION
 from peakloom.session import cut_lineage
 from peakloom.sources import manifest as M
@@ -79,11 +77,7 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
     """
     spark = records.sparkSession
     audited = cut_lineage(audit(records, policy))
-    failed = audited.filter(F.col("_reasons").isNotNull()).select(
-        "record_id", F.col("_reasons").alias("removal_reason"), F.lit(None).cast("string").alias("duplicate_of"))
-    losers = duplicate_losers(audited.filter(F.col("_reasons").isNull())).select(
-        "record_id", F.lit(DUPLICATE_REASON).alias("removal_reason"), "duplicate_of")
-    removed_staging = _stage(failed.unionByName(losers), removed, overwrite, None)
+    removed_staging = _stage(removals_of_audit(audited), removed, overwrite, None)
     removals = spark.read.parquet(removed_staging)
     # the filter is repeated rather than joined: only duplicates need a join
     kept = (
@@ -99,11 +93,7 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
     }
     if counts["input_records"] != counts["output_records"] + counts["removed_records"]:
         raise RuntimeError(f"the row counts do not add up: {counts}")
-    reasons = {
-        r["reason"]: r["n"]
-        for r in removals.select(F.explode(F.split("removal_reason", ";")).alias("reason"))
-        .groupBy("reason").agg(F.count("*").alias("n")).collect()
-    }
+    reasons = {r["reason"]: r["records"] for r in reason_counts(removals).collect()}
     for staging, target in ((removed_staging, removed), (cleaned_staging, cleaned)):
         _publish(spark, staging, target)
         M.write_manifest(spark, target, M.extended(
