@@ -76,8 +76,8 @@ def _rich_numbers(p: Column) -> Column:
     )
 
 
-def _rich_proton(p: Column) -> Column:
-    def build(n, shift):
+def _rich_proton(p: Column, n: Column) -> Column:
+    def build(shift):
         start, end = F.coalesce(n["low"], shift), F.coalesce(n["high"], shift)
         return proton(
             shift,
@@ -90,21 +90,18 @@ def _rich_proton(p: Column) -> Column:
             range_half_span=(end - start) / F.lit(2.0),
         )
 
-    def placed(n):
-        middle = F.when(p["centroid"].isNull() & p["delta"].isNull(), (n["low"] + n["high"]) / F.lit(2.0))
-        return let(F.coalesce(n["given"], middle), lambda shift: build(n, shift))
+    middle = F.when(p["centroid"].isNull() & p["delta"].isNull(), (n["low"] + n["high"]) / F.lit(2.0))
+    return let(F.coalesce(n["given"], middle), build)
 
-    return let(_rich_numbers(p), placed)
 
-
-def _rich_proton_issues(p: Column, i: Column) -> Column:
+def _rich_proton_issues(p: Column, n: Column, i: Column) -> Column:
     def at(suffix=""):
         return peak_path("h_nmr_peaks", i, suffix)
 
     given = F.coalesce(p["centroid"], p["delta"])
     low, high = p["range_min"], p["range_max"]
     number = "must be a finite number"
-    return let(_rich_numbers(p), lambda n: present(
+    return present(
         issue(low.isNull() != high.isNull(), "incomplete_range", at(), "needs both range ends or neither"),
         issue(low.isNotNull() & n["low"].isNull(), "invalid_number", at(".range_min"), number),
         issue(high.isNotNull() & n["high"].isNull(), "invalid_number", at(".range_max"), number),
@@ -116,7 +113,12 @@ def _rich_proton_issues(p: Column, i: Column) -> Column:
               "must look like a non-negative integer or 2H"),
         issue(X.unreadable_j_text(p["j_values"]), "invalid_j_values", at(".j_values"),
               "contains no number"),
-    ))
+    )
+
+
+def _with_numbers(peaks: Column, numbers_of) -> Column:
+    """Each raw peak beside its parsed numbers, for building and for checking."""
+    return F.transform(peaks, lambda p: F.struct(p.alias("raw"), numbers_of(p).alias("n")))
 
 
 def _rich_carbon(p: Column, keep: bool) -> Column:
@@ -153,19 +155,22 @@ def conform_rich(
     j_values), c_peaks (delta_ppm, integral, intensity, width_ppm).
     """
     columns, missing = _structure(X.first_text(F.col("smiles"), F.col("smiles_canonical")), structure)
-    h, c = F.col("h_peaks"), F.col("c_peaks")
+    staged = landing.withColumn("_h", _with_numbers(F.col("h_peaks"), _rich_numbers))
+    h, c = F.col("_h"), F.col("c_peaks")
     columns |= {
         "record_id": X.record_id(prefix, F.col("split"), F.col("key")),
         "source": F.lit(source),
         "nmr_frequency": X.optional_text(F.col("nmr_frequency")),
         "nmr_solvent": X.optional_text(F.col("nmr_solvent")),
-        "h_nmr_peaks": F.transform(h, _rich_proton),
+        "h_nmr_peaks": F.transform(h, lambda z: _rich_proton(z["raw"], z["n"])),
         "c_nmr_peaks": F.transform(c, lambda p: _rich_carbon(p, keep_carbon_properties)),
     }
     issues = joined(
-        missing, per_peak(h, _rich_proton_issues), per_peak(c, _rich_carbon_issues(keep_carbon_properties))
+        missing,
+        per_peak(h, lambda z, i: _rich_proton_issues(z["raw"], z["n"], i)),
+        per_peak(c, _rich_carbon_issues(keep_carbon_properties)),
     )
-    return normalise_modalities(_canonical(landing, columns, issues))
+    return normalise_modalities(_canonical(staged, columns, issues))
 
 
 def _tokenised_numbers(x: Column) -> Column:
@@ -179,8 +184,8 @@ def _tokenised_numbers(x: Column) -> Column:
     )
 
 
-def _tokenised_proton(x: Column) -> Column:
-    return let(_tokenised_numbers(x), lambda n: proton(
+def _tokenised_proton(x: Column, n: Column) -> Column:
+    return proton(
         n["shift"],
         integration=X.non_negative_integer(F.get(x, F.lit(3))),
         multiplicity_raw=n["label"],
@@ -189,28 +194,26 @@ def _tokenised_proton(x: Column) -> Column:
         range_min=n["shift"] - n["half"],
         range_max=n["shift"] + n["half"],
         range_half_span=n["half"],
-    ))
+    )
 
 
-def _tokenised_issues(x: Column, i: Column) -> Column:
+def _tokenised_issues(x: Column, n: Column, i: Column) -> Column:
     def at(suffix=""):
         return peak_path("h_nmr_peaks", i, suffix)
 
-    def checks(n):
-        bad_j = (F.get(x, F.lit(4)).isNotNull() & n["j"].isNull()) | F.exists(n["j"], lambda v: v.isNull())
-        return present(
-            issue(n["shift"].isNull(), "invalid_number", at(".shift"), "must be a finite number"),
-            issue(F.get(x, F.lit(1)).isNotNull() & n["half"].isNull(), "invalid_number",
-                  at(".range_half_span"), "must be a finite number"),
-            issue(n["half"] < 0, "negative_half_span", at(".range_half_span"), "must not be negative"),
-            issue(X.unreadable_integer(F.get(x, F.lit(3))), "invalid_integration", at(".integration"),
-                  "must look like a non-negative integer or 2H"),
-            issue(bad_j, "invalid_j_values", at(".j_values"), "must be a list of finite numbers"),
-        )
-
+    bad_j = (F.get(x, F.lit(4)).isNotNull() & n["j"].isNull()) | F.exists(n["j"], lambda v: v.isNull())
+    checks = present(
+        issue(n["shift"].isNull(), "invalid_number", at(".shift"), "must be a finite number"),
+        issue(F.get(x, F.lit(1)).isNotNull() & n["half"].isNull(), "invalid_number",
+              at(".range_half_span"), "must be a finite number"),
+        issue(n["half"] < 0, "negative_half_span", at(".range_half_span"), "must not be negative"),
+        issue(X.unreadable_integer(F.get(x, F.lit(3))), "invalid_integration", at(".integration"),
+              "must look like a non-negative integer or 2H"),
+        issue(bad_j, "invalid_j_values", at(".j_values"), "must be a list of finite numbers"),
+    )
     short = F.coalesce(F.size(x) < 5, F.lit(True))
     incomplete = present(issue(short, "incomplete_peak", at(), "needs five parts"))
-    return F.when(short, incomplete).otherwise(let(_tokenised_numbers(x), checks))
+    return F.when(short, incomplete).otherwise(checks)
 
 
 def parse_tokenised(text: Column) -> Column:
@@ -230,9 +233,11 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
     Landing columns: id, row_index, split, original_smiles, smiles, tokenized_input.
     """
     spectra = parse_tokenised(F.col("tokenized_input"))
-    staged = landing.withColumn("_spectra", spectra)
+    staged = landing.withColumn("_spectra", spectra).withColumn(
+        "_h", _with_numbers(F.col("_spectra")["1HNMR"], _tokenised_numbers)
+    )
     columns, missing = _structure(X.first_text(F.col("original_smiles"), F.col("smiles")), structure)
-    h = F.col("_spectra")["1HNMR"]
+    h = F.col("_h")
     c = F.col("_spectra")["13CNMR"]
     row = F.col("row_index")
     columns |= {
@@ -241,7 +246,7 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
             F.concat(F.lit("row-"), row.cast("string")),
         ),
         "source": F.lit(source),
-        "h_nmr_peaks": F.transform(h, _tokenised_proton),
+        "h_nmr_peaks": F.transform(h, lambda z: _tokenised_proton(z["raw"], z["n"])),
         "c_nmr_peaks": F.transform(c, lambda s: carbon(X.finite_double(s))),
     }
     unreadable = F.col("tokenized_input").isNull() | F.get_json_object("tokenized_input", "$").isNull()
@@ -252,7 +257,7 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
             issue(_lost_list("1HNMR"), "invalid_peak_list", F.lit("h_nmr_peaks"), "must be a list of lists"),
             issue(_lost_list("13CNMR"), "invalid_peak_list", F.lit("c_nmr_peaks"), "must be a list"),
         ),
-        per_peak(h, _tokenised_issues),
+        per_peak(h, lambda z, i: _tokenised_issues(z["raw"], z["n"], i)),
         per_peak(c, lambda s, i: present(issue(
             X.finite_double(s).isNull(), "invalid_number", peak_path("c_nmr_peaks", i, ".shift"), "must be a finite number"))),
     )

@@ -26,13 +26,16 @@ def issue(condition: Column, code: str, path: Column, message: str) -> Column:
     )
 
 
+def no_issues() -> Column:
+    return F.array().cast(f"array<{ISSUE_TYPE}>")
+
+
 def present(*maybe_issues: Column) -> Column:
     return F.filter(F.array(*maybe_issues), lambda x: x.isNotNull())
 
 
 def joined(*issue_arrays: Column) -> Column:
-    empty = F.array().cast(f"array<{ISSUE_TYPE}>")
-    return F.concat(*[F.coalesce(a, empty) for a in issue_arrays])
+    return F.concat(*[F.coalesce(a, no_issues()) for a in issue_arrays])
 
 
 def peak_path(modality: str, i: Column, suffix: str = "") -> Column:
@@ -62,7 +65,35 @@ def _list_numbers(values: Column, base: Column) -> Column:
     return F.filter(found, lambda x: x.isNotNull())
 
 
+def _all_finite(values: Column) -> Column:
+    return F.coalesce(values.isNull() | F.forall(values, is_finite), F.lit(False))
+
+
+def _proton_is_clean(p: Column) -> Column:
+    """A quick test that no rule is broken; most peaks need no more."""
+    low, high, half, shift = p["range_min"], p["range_max"], p["range_half_span"], p["shift"]
+    expected = (high - low) / F.lit(2.0)
+    ranged = (
+        is_finite(low) & is_finite(high) & shift.between(low, high)
+        & (half.isNull() | (is_finite(half) & (half >= 0) & (F.abs(half - expected) <= F.lit(1e-8))))
+    )
+    unranged = low.isNull() & high.isNull() & (half.isNull() | (is_finite(half) & (half >= 0)))
+    clean = (
+        is_finite(shift)
+        & (p["integration"].isNull() | (p["integration"] >= 0))
+        & (p["multiplicity"].isNull() | p["multiplicity"].isin(*MULTIPLICITIES, UNKNOWN_MULTIPLICITY))
+        & (F.coalesce(ranged, F.lit(False)) | unranged)
+        & _all_finite(p["j_values"])
+        & _all_finite(p["member_shifts"])
+    )
+    return F.coalesce(clean, F.lit(False))
+
+
 def _proton_issues(p: Column, i: Column) -> Column:
+    return F.when(~_proton_is_clean(p), _located_proton_issues(p, i)).otherwise(no_issues())
+
+
+def _located_proton_issues(p: Column, i: Column) -> Column:
     def at(suffix=""):
         return peak_path("h_nmr_peaks", i, suffix)
 
@@ -104,15 +135,20 @@ def _proton_issues(p: Column, i: Column) -> Column:
 
 
 def _carbon_issues(p: Column, i: Column) -> Column:
-    return present(
+    extra = ("integral", "intensity", "width")
+    clean = is_finite(p["shift"])
+    for name in extra:
+        clean = clean & (p[name].isNull() | is_finite(p[name]))
+    found = present(
         issue(_bad_number(p["shift"], False), "invalid_number",
               peak_path("c_nmr_peaks", i, ".shift"), NUMBER_MESSAGE),
         *[
             issue(_bad_number(p[name], True), "invalid_number",
                   peak_path("c_nmr_peaks", i, f".{name}"), NUMBER_MESSAGE)
-            for name in ("integral", "intensity", "width")
+            for name in extra
         ],
     )
+    return F.when(~F.coalesce(clean, F.lit(False)), found).otherwise(no_issues())
 
 
 def record_issues() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peakloom.operators import cohort as C
 from peakloom.plans.registry import query
 from peakloom.plans.sql import DOCS
-from peakloom.plans.views import doc_records, prop_labels
+from peakloom.plans.views import doc_records, pool_records, prop_labels
 from peakloom.sources.readers import WORKBOOK_COLUMNS, select_workbook_rows, workbook_counts
 
 CLEANED = DOCS + """,
@@ -61,13 +61,13 @@ def fraction_split(spark, sf_dir):
 
 
 @query("split_unsplit_release", DOCS + """,
-m as (select distinct key from labs where endpoint = 'en' and key in (select key from docs where doc_id % 2 = 1)),
+m as (select distinct key from labs where endpoint = 'en' and key in (select key from pool)),
 r as (select key, row_number() over (order by sha256('7:' || key), key) as p, count(*) over () as n from m)
 select l.key, l.label, l.row_no, case when p <= least(greatest(round_even(n * 0.8e0, 0), 1), n - 1) then 'train_val' else 'test' end as split
 from labs l join r on l.key = r.key where endpoint = 'en'""")
 def split_unsplit_release(spark, sf_dir):
     unsplit = prop_labels(spark, sf_dir).filter("endpoint = 'en'").select("key", "label", "row_no")
-    records = doc_records(spark, sf_dir).filter("doc_id % 2 = 1")
+    records = pool_records(spark, sf_dir)
     return C.split_labels(unsplit, records, "key", 0.8, 7)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peakloom.operators import overlap as O
 from peakloom.plans.registry import query
 from peakloom.plans.sql import DOCS, POOLS
-from peakloom.plans.views import doc_records, pools, prop_labels, table
+from peakloom.plans.views import doc_records, pool_records, pools, prop_labels, table
 
 HITS = POOLS + """,
 hits as (select key, min(o) as o from (select key, 0 as o from pool_a union all select key, 1 from pool_b) group by key)
@@ -96,12 +96,12 @@ def held_out_overlap(spark, sf_dir):
 
 INDEX = DOCS + """,
 idx as (select key, substr(key, 1, 2) as connectivity, arg_min(lang, doc_id) as representative, count(*) as record_count
-  from docs where doc_id % 4 <> 3 group by key)
+  from pool group by key)
 """
 
 
 def _index(spark, sf_dir):
-    return O.identity_index(doc_records(spark, sf_dir).filter("doc_id % 4 <> 3"), "key", "lang", "doc_id")
+    return O.identity_index(pool_records(spark, sf_dir), "key", "lang", "doc_id")
 
 
 @query("identity_index", INDEX + "select * from idx")

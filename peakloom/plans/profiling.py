@@ -141,7 +141,7 @@ def multiplicity_top_pivot(spark, sf_dir):
 
 COHORTS = RECORDS + """,
 pc as (select record_id, count(*) filter (where nucleus = 'h') as n_h, count(*) filter (where nucleus = 'c') as n_c from pk group by 1),
-rs as (select r.*, case when ok % 3 = 0 then 'ames' else 'logp' end as endpoint, case when ok % 5 = 0 then 'test' else 'train_val' end as split,
+rs as (select r.*, case when ok % 3 = 0 then 'toxicity' else 'logp' end as endpoint, case when ok % 5 = 0 then 'test' else 'train_val' end as split,
   coalesce(n_h, 0) as n_h, coalesce(n_c, 0) as n_c from recs r left join pc on r.record_id = pc.record_id)
 """
 
@@ -149,7 +149,7 @@ rs as (select r.*, case when ok % 3 = 0 then 'ames' else 'logp' end as endpoint,
 def _cohort_records(spark, sf_dir):
     ok = F.split_part("record_id", F.lit("-"), F.lit(2)).cast("bigint")
     return spectra(spark, sf_dir).withColumns({
-        "endpoint": F.when(ok % 3 == 0, "ames").otherwise("logp"),
+        "endpoint": F.when(ok % 3 == 0, "toxicity").otherwise("logp"),
         "split": F.when(ok % 5 == 0, "test").otherwise("train_val"),
     })
 

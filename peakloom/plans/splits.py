@@ -87,14 +87,14 @@ def source_strata(spark, sf_dir):
 
 
 @query("stratified_quota", POOLS + f""",
-ps as (select key, source as src, count(*) as n from pools where cust % 3 = 0 group by 1, 2),
+ps as (select key, source as src, count(*) as n from pools group by 1, 2),
 mol as (select key, sum(n)::bigint as records, string_agg(case when n > 1 then 'many' else src end, ';' order by src) as stratum from ps group by key),
 tot as (select sum(records) as t from mol),
 r as (select mol.*, row_number() over (partition by stratum order by {score_sql(7)}, key) as p, count(*) over (partition by stratum) as n from mol),
 q as (select *, round_even(n * 2000e0 / t, 0) as a, round_even(n * 1000e0 / t, 0) as b from r, tot)
 select key, records, stratum, case when p <= a then 'train' else 'eval' end as split from q where p <= a + b""")
 def stratified_quota(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter("o_custkey % 3 = 0").select(
+    orders = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("C"), F.col("o_custkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("source"))
     per_source = orders.groupBy("key", "source").agg(F.count("*").alias("n"))
     mix = F.sort_array(F.collect_list(F.struct("source", "n")))
@@ -143,16 +143,17 @@ WEIGHTS = {"1-URGENT": 0.5, "2-HIGH": 0.3, "5-LOW": 0.2}
 
 
 @query("source_mixture", """
-with p as (select 'o-' || o_orderkey as record_id, o_orderpriority as source from orders where o_custkey % 10 = 0),
-q(source, quota) as (values ('1-URGENT', 1500), ('2-HIGH', 900), ('5-LOW', 600)),
+with p as (select 'o-' || o_orderkey as record_id, o_orderpriority as source from orders),
+w(source, weight) as (values ('1-URGENT', 0.5e0), ('2-HIGH', 0.3e0), ('5-LOW', 0.2e0)),
+q as (select source, cast(round_even(weight * (select count(*) from p), 0) as bigint) as quota from w),
 n as (select source, count(*) as n, quota from p join q using (source) group by all),
 c as (select p.*, n.n, n.quota, unnest(range(1, cast(ceil(quota / n.n) as bigint) + 1)) as copy_no from p join n using (source)),
 r as (select *, row_number() over (partition by source, copy_no order by sha256('42:mix:' || source || ':' || record_id), record_id) as k from c)
 select record_id, source, copy_no from r where copy_no <= quota // n or k <= quota - (quota // n) * n""")
 def source_mixture(spark, sf_dir):
-    records = table(spark, sf_dir, "orders").filter("o_custkey % 10 = 0").select(
+    records = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("o-"), F.col("o_orderkey").cast("string")).alias("record_id"), F.col("o_orderpriority").alias("source"))
-    return S.mix_sources(records, WEIGHTS, 3000, 42)
+    return S.mix_sources(records, WEIGHTS, records.count(), 42)
 
 
 @query("shuffled_order", """select record_id, row_number() over (order by sha256('42:shuffle:' || record_id), record_id) as position

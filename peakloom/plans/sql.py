@@ -67,7 +67,8 @@ labs as (
     substr(hk, 1, 2) || '-' || hk as key,
     case when doc_id % 4 < 2 then cast(doc_id % 2 as varchar) else (doc_id % 2) || '.00' end as label,
     doc_id as row_no
-  from dk where doc_id % 3 <> 0)
+  from dk where doc_id % 3 <> 0),
+pool as (select * from docs where source not in ('src1', 'src7', 'src13'))
 """
 
 SCORES = """

@@ -144,6 +144,14 @@ def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Sources whose documents are not in the record pool that labels are matched to.
+OUTSIDE_SOURCES = ("src1", "src7", "src13")
+
+
+def pool_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_records(spark, sf_dir).filter(~F.col("source").isin(*OUTSIDE_SOURCES))
+
+
 def prop_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """External labels on document identities; copies of a text disagree in part."""
     docs = table(spark, sf_dir, "documents").filter(F.col("doc_id") % 3 != 0)

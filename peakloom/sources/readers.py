@@ -202,7 +202,9 @@ def read_metric_tables(spark: SparkSession, root: str, file_name: str, required:
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"the metric tables lack {missing}")
-    folder = F.url_decode(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2))
+    # the path is percent-encoded, but a plus sign in it is a plus sign
+    encoded = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    folder = F.url_decode(F.replace(encoded, F.lit("+"), F.lit("%2B")))
     return df.select("*", folder.alias("representation"))
 
 

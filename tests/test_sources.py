@@ -89,6 +89,36 @@ def test_embedding_and_property_guards(spark, tmp_path):
         R.read_properties(spark, str(tmp_path / "p"), [])
 
 
+def test_metric_tables_name_their_directory(spark, tmp_path):
+    for name in ("model a", "b+c"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "m.csv").write_text("probe,seed\nlinear,42\n")
+    found = R.read_metric_tables(spark, str(tmp_path), "m.csv", ["probe", "seed"])
+    assert sorted((r.representation, r.seed) for r in found.collect()) == [("b+c", 42), ("model a", 42)]
+    with pytest.raises(ValueError, match="lack"):
+        R.read_metric_tables(spark, str(tmp_path), "m.csv", ["auc"])
+
+
+def test_cohort_tables_are_tagged(spark, tmp_path):
+    for e in ("x", "y"):
+        spark.range(2).write.parquet(str(tmp_path / e / "test.parquet"))
+    rows = R.read_cohorts(spark, str(tmp_path), ["x", "y"], ["test"]).groupBy("endpoint", "split").count()
+    assert sorted(map(tuple, rows.collect())) == [("x", "test", 2), ("y", "test", 2)]
+
+
+def test_split_manifest_and_rejections(spark, tmp_path):
+    rows = [{"split": "train", "record_id": "a", "molecule_id": "m", "source": "s"},
+            {"split": "validation", "record_id": "a", "molecule_id": "n", "source": "s"},
+            {"split": "other", "record_id": "b", "molecule_id": "m", "source": "s"}]
+    path = str(tmp_path / "m.json")
+    M.write_text(spark, path, json.dumps({"seed": 1, "records": rows}, indent=1))
+    read = R.read_split_manifest(spark, path)
+    assert {r.issue: r.rows for r in A.manifest_issues(read).collect()} == {
+        "invalid_row": 1, "repeated_record": 1, "repeated_molecule": 1}
+    W.write_rejections(read.select("record_id"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).count() == 3
+
+
 def test_eight_decimals(spark):
     df = spark.createDataFrame([(99.22496494748484, 1), (99.22496494748728, 2), (None, 3)], "x double, n int")
     assert [r.x for r in W.eight_decimals(df).collect()] == ["99.22496495", "99.22496495", None]
