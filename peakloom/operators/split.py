@@ -93,13 +93,16 @@ def source_strata(records: DataFrame, key: str, source: str = "source") -> DataF
     )
 
 
-def stratified_quota(molecules: DataFrame, key: str, sizes: dict[str, int], seed: int) -> DataFrame:
+def stratified_quota(
+    molecules: DataFrame, key: str, sizes: dict[str, int], seed: int, total_records: int | None = None
+) -> DataFrame:
     """Proportional quotas per stratum, in score order.
 
     Each quota is molecules of the stratum times wanted size over all records,
-    rounded half to even.
+    rounded half to even. Give the number of records where it is known; else it
+    is summed from the molecules in one more pass.
     """
-    total = molecules.agg(F.sum("records")).scalar()
+    total = molecules.agg(F.sum("records")).scalar() if total_records is None else F.lit(total_records)
     ranked = position_by_score(
         molecules, seeded_score(F.col(key), seed), [F.col(key)], by=("stratum",), digits=2
     )

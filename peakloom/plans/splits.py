@@ -101,7 +101,7 @@ def stratified_quota(spark, sf_dir):
     molecules = per_source.groupBy("key").agg(
         F.sum("n").alias("records"),
         F.array_join(F.transform(mix, lambda x: F.when(x["n"] > 1, "many").otherwise(x["source"])), ";").alias("stratum"))
-    return S.stratified_quota(molecules, "key", {"train": 2000, "eval": 1000}, 7)
+    return S.stratified_quota(molecules, "key", {"train": 2000, "eval": 1000}, 7, orders.count())
 
 
 @query("grouped_holdout", DOCS + f""",
