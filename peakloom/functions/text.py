@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from peakloom.functions.binding import let
 from peakloom.schema import MULTIPLICITIES, MULTIPLICITY_ALIASES, UNKNOWN_MULTIPLICITY
 
-WHITESPACE = " \t\n\r\f\x0b"
+# Every character that counts as white space, also outside ASCII.
+WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # Number shapes accepted by the source readers.
 DECIMAL_TEXT = r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?$"
 COUNT_TEXT = r"^(\d+)(?:\.0+)?\s*[Hh]?$"

@@ -249,7 +249,8 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
         "h_nmr_peaks": F.transform(h, lambda z: _tokenised_proton(z["raw"], z["n"])),
         "c_nmr_peaks": F.transform(c, lambda s: carbon(X.finite_double(s))),
     }
-    unreadable = F.col("tokenized_input").isNull() | F.get_json_object("tokenized_input", "$").isNull()
+    is_object = F.startswith(X.strip(F.col("tokenized_input")), F.lit("{"))
+    unreadable = ~F.coalesce(is_object, F.lit(False)) | F.get_json_object("tokenized_input", "$").isNull()
     issues = joined(
         missing,
         present(

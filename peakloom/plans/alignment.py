@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.binding import pos_exploded
 from peakloom.operators import align as A
-from peakloom.plans.profiling import rounded
 from peakloom.plans.registry import query
 from peakloom.plans.sql import CACHE, DOCS
 from peakloom.plans.views import cache, doc_records, prop_labels, representations, table

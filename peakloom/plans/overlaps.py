@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from peakloom.operators import overlap as O
 from peakloom.plans.registry import query
 from peakloom.plans.sql import DOCS, POOLS
-from peakloom.plans.views import doc_records, pool_records, pools, prop_labels, table
+from peakloom.plans.views import doc_records, pool_records, pools, prop_labels
 
 HITS = POOLS + """,
 hits as (select key, min(o) as o from (select key, 0 as o from pool_a union all select key, 1 from pool_b) group by key)

@@ -8,7 +8,7 @@ from peakloom.functions.text import display_name
 from peakloom.operators import profile as P
 from peakloom.plans.registry import query
 from peakloom.plans.sql import DOCS, RECORDS, SCORES
-from peakloom.plans.views import doc_records, line_peaks, order_copies, prop_labels, scores, spectra, table
+from peakloom.plans.views import line_peaks, order_copies, prop_labels, scores, spectra, table
 
 PER_RECORD = RECORDS + """,
 pc as (select record_id, count(*) filter (where nucleus = 'h') as n_h, count(*) filter (where nucleus = 'c') as n_c from pk group by 1),

@@ -10,8 +10,8 @@ from peakloom.operators import dialects as D
 from peakloom.operators import metrics as M
 from peakloom.operators import validate as V
 from peakloom.plans.registry import query
-from peakloom.plans.sql import CACHE, DOCS, LONG_METRICS, RECORDS
-from peakloom.plans.views import cache, doc_records, long_metrics, spectra, table
+from peakloom.plans.sql import DOCS, LONG_METRICS, RECORDS
+from peakloom.plans.views import doc_records, long_metrics, spectra, table
 
 # Every rule that the derived records can break, one row per issue.
 ISSUES_SQL = RECORDS + """,

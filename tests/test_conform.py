@@ -79,6 +79,7 @@ def test_tokenised(spark):
 
 
 TOKENISED_CASES = [
+    ("[1, 2]", "invalid_json"), (None, "invalid_json"), ('{"1HNMR": 5}', "invalid_peak_list"),
     ("{broken", "invalid_json"), ('{"1HNMR": [[1.0, 0.1]]}', "incomplete_peak"),
     ('{"1HNMR": [[1.0, -0.1, null, "1H", []]]}', "negative_half_span"),
     ('{"1HNMR": [["x", 0.1, null, "1H", []]]}', "invalid_number"),

@@ -2,7 +2,6 @@ import json
 
 from conftest import c_peak, h_peak, record
 from peakloom.plans.rebuild import KEY, rebuild
-from peakloom.session import scratch_path
 from peakloom.sources import manifest
 
 

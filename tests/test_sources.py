@@ -1,9 +1,8 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
-from conftest import c_peak, h_peak, record
+from conftest import record
 from peakloom.operators import align as A
 from peakloom.schema import SIDECAR
 from peakloom.session import scratch_path
