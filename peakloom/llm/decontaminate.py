@@ -71,17 +71,16 @@ def winnowed(grams: Column, width: int) -> Column:
 
 def prints(word_list: Column, whole: tuple[int, ...], only_whole: bool = False) -> Column:
     """Fingerprints `(pos, hash, n)` of a word list: winnowed k-grams, and all runs of the lengths in `whole`."""
+    def placed(n: int) -> Callable[[Column, Column], Column]:
+        return lambda h, i: F.struct(i.alias("pos"), h.alias("hash"), F.lit(n).alias("n"))
+
     def build(h: Column) -> Column:
-        parts = [] if only_whole else [
-            F.transform(winnowed(gram_hashes(h, K), WINDOW - K + 1),
-                        lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.lit(0).alias("n")))
-        ]
-        parts += [
-            F.transform(gram_hashes(h, n),
-                        lambda x, i, n=n: F.struct(i.alias("pos"), x.alias("hash"), F.lit(n).alias("n")))
-            for n in whole
+        kept = [] if only_whole else [winnowed(gram_hashes(h, K), WINDOW - K + 1)]
+        parts = [
+            F.transform(k, lambda x: F.struct(x["pos"].alias("pos"), x["hash"].alias("hash"), F.lit(0).alias("n")))
+            for k in kept
         ]
-        return F.concat(*parts)
+        return F.concat(*parts, *[F.transform(gram_hashes(h, n), placed(n)) for n in whole])
 
     return let(F.transform(word_list, lambda w: F.xxhash64(w)), build)
 

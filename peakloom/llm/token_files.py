@@ -59,7 +59,8 @@ def _choices(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
         count, width = PACKINGS[at]
         while length < count:  # running maximum over `count` values, grown by doubling where it can
             step = min(length, count - length)
-            running[: n - step] = np.maximum(running[: n - step], running[step:])
+            if n > step:
+                running[: n - step] = np.maximum(running[: n - step], running[step:])
             length += step
         chosen[(running <= width) & (left >= count)] = at + FIRST_SELECTOR
     return chosen
