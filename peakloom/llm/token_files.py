@@ -19,6 +19,7 @@ IDs before each part. Both are written by Spark's committing Parquet writer.
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from peakloom.llm.bpe import byte_symbols
 from peakloom.llm.common import WordCache, list_array, texts_of
 
 BLOCK = 512
@@ -163,6 +165,11 @@ class Tokenizer:
     library encodes each new word. Texts with characters outside long-settled
     ranges go to the library whole, since pattern engines may know different
     Unicode versions there, and so do texts that hold a special token.
+
+    No word of the pattern reaches across a space unless other white space
+    comes before that space and white space or the end after it. Where that
+    does not occur, a text is cut at its spaces, and what stands between two
+    spaces is looked up as a whole, with the space before it.
     """
 
     SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -175,6 +182,8 @@ class Tokenizer:
         r"\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
     )
 
+    BRIDGE = regex.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
+
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs one task per core
         from tokenizers import Tokenizer as Library
@@ -183,15 +192,28 @@ class Tokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.words = WordCache(self._ids)
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.words = WordCache(self._word, 100_000)
+        self.runs = WordCache(lambda run: self._pieces(" " + run))
+
+    def _word(self, word: str) -> bytes:
+        """IDs of one word by the library's model, which works on one symbol per byte."""
+        symbols = word.encode().decode("latin-1").translate(self.symbols)
+        return array("I", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
+
+    def _pieces(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.PIECES.findall(text)))
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         if (not text.isascii() and self.UNSETTLED.search(text)) or any(t in text for t in self.special):
             return np.frombuffer(self._ids(text), "<u4")
-        return np.frombuffer(b"".join(map(self.words.__getitem__, self.PIECES.findall(text))), "<u4")
+        if self.BRIDGE.search(text):
+            return np.frombuffer(self._pieces(text), "<u4")
+        first, *runs = text.split(" ")
+        return np.frombuffer(b"".join([self._pieces(first), *map(self.runs.__getitem__, runs)]), "<u4")
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}

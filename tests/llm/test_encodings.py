@@ -19,6 +19,12 @@ ODD = ["", " ", "a", "it's  we'll\n\n x", "É\u0301 cafe\u0301 Σίσυφος Ο
        "a<|endoftext|>b<|startoftext|>", "<|endoftext|>", "İstanbul ẞ ŉ", "\ufffd\u0378\u0e01\u0905", "\t\r\n a \v\f"]
 
 
+@given(st.text(st.sampled_from("ab, .\n\t '\u3000\u00a0s1"), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_white_space_runs_equal_library(text):
+    assert OWN.encode(text).tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.lists(st.one_of(st.integers(0, 1), st.integers(0, 70_000), st.integers(0, 2**64 - 1)), max_size=60)))
 @settings(max_examples=150, deadline=None)
 def test_simple8b_round_trip(lists):
