@@ -43,12 +43,10 @@ PARTS = "doc_id long, n_tokens long, part int, before long, payload binary"
 
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs, at least one."""
-    bits = np.ones(len(values), dtype=np.uint8)
-    for b in range(1, 64):
-        over = values >= np.uint64(1 << b)
-        if not over.any():
-            break
-        bits[over] = b + 1
+    bits = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
+    large = values >= np.uint64(1 << 53)  # a double may round these up
+    if large.any():
+        bits[large] = 32 + np.frexp((values[large] >> np.uint64(32)).astype(np.float64))[1]
     return bits
 
 
@@ -193,8 +191,8 @@ class Tokenizer:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.symbols = dict(enumerate(byte_symbols()))
-        self.words = WordCache(self._word, 100_000)
-        self.runs = WordCache(lambda run: self._pieces(" " + run))
+        self.words = WordCache(self._word, 50_000)
+        self.runs = WordCache(lambda run: self._pieces(" " + run), 400_000)
 
     def _word(self, word: str) -> bytes:
         """IDs of one word by the library's model, which works on one symbol per byte."""
