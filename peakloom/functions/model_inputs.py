@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from peakloom.functions import peaks as P
+from peakloom.functions.binding import let
 from peakloom.functions.text import literal_map
 from peakloom.operators.dialects import ranged_multiplicity, tokenised_multiplicity
 from peakloom.schema import MAX_J_VALUES, MAX_PEAKS, MULTIPLICITIES, UNKNOWN_MULTIPLICITY
@@ -30,8 +31,14 @@ def tokenised_index(label: Column) -> Column:
 
 
 def padded(values: Column, width: int, zero) -> Column:
-    """The list extended by `zero` to exactly `width` entries."""
-    return F.slice(F.concat(values, F.array_repeat(zero, width)), 1, width)
+    """The list extended by `zero` to exactly `width` entries; a longer list fails the job."""
+    def extended(v: Column) -> Column:
+        size = F.size(v)
+        stop = F.raise_error(F.concat(size.cast("string"), F.lit(f" entries where at most {width} fit")))
+        fitting = F.concat(v, F.array_repeat(zero, F.greatest(F.lit(width) - size, F.lit(0))))
+        return F.when(size <= width, fitting).otherwise(stop)
+
+    return let(values, extended)
 
 
 def mask(n: Column, width: int) -> Column:
@@ -41,8 +48,8 @@ def mask(n: Column, width: int) -> Column:
 def encoder_columns(width: int = MAX_PEAKS, j_width: int = MAX_J_VALUES) -> dict[str, Column]:
     """Fixed-width arrays, masks and availability flags of one record.
 
-    Only for records without encoder issues: longer lists are not cut silently
-    but rejected before.
+    Only for records without encoder issues: a longer list fails the job, it is
+    never cut.
     """
     h, c = F.col("h_nmr_peaks"), F.col("c_nmr_peaks")
     zero = F.lit(0.0)
@@ -75,7 +82,7 @@ def encoder_columns(width: int = MAX_PEAKS, j_width: int = MAX_J_VALUES) -> dict
 def sequence_columns(width: int) -> dict[str, Column]:
     """One shift sequence, protons first: shifts, counts, types and padding mask.
 
-    Not for records whose sequence is longer than `width`.
+    A sequence longer than `width` fails the job.
     """
     h = P.expanded_proton_shifts(F.col("h_nmr_peaks"))
     c = F.transform("c_nmr_peaks", lambda p: p["shift"])
@@ -97,9 +104,15 @@ def scaled_carbon(c: Column) -> Column:
     )
 
 
+def plain_number(v: Column) -> Column:
+    """A double as text; values from 0.0001 up to a thousandth without an exponent."""
+    small = (F.abs(v) < 1e-3) & (F.abs(v) >= 1e-4)
+    return F.when(small, F.rtrim(v.cast("decimal(38,24)").cast("string"), F.lit("0"))).otherwise(v.cast("string"))
+
+
 def j_text(j_values: Column) -> Column:
     """`7.2_2.1`, or `_` for no values."""
-    joined = F.array_join(F.transform(j_values, lambda v: v.cast("string")), "_")
+    joined = F.array_join(F.transform(j_values, plain_number), "_")
     return F.coalesce(F.nullif(joined, F.lit("")), F.lit("_"))
 
 

@@ -125,7 +125,9 @@ def row_identifier(identifier: Column, row_index: Column) -> Column:
 
 
 def record_id(*parts) -> Column:
-    return F.concat_ws(":", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    """Parts joined by colons; null if any part is, so that such records fail validation and never share an ID."""
+    texts = [F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts]
+    return F.concat(texts[0], *[x for t in texts[1:] for x in (F.lit(":"), t)])
 
 
 def display_name(value: Column, names: dict[str, str]) -> Column:

@@ -54,8 +54,12 @@ def key_mismatches(records: DataFrame, sidecar: DataFrame, key: str) -> DataFram
 
 
 def usable_pairs(records: DataFrame, sidecar: DataFrame, status: str = "rdkit_status") -> DataFrame:
-    """Records with their side-table columns, only where the status is ok."""
-    return records.join(sidecar.filter(F.col(status) == "ok").drop(status), "record_id")
+    """Records with their side-table columns, only where the status is ok.
+
+    A column that both tables have is taken from the records.
+    """
+    shared = [c for c in sidecar.columns if c in records.columns and c != "record_id"]
+    return records.join(sidecar.filter(F.col(status) == "ok").drop(status, *shared), "record_id")
 
 
 def paired_issues(sidecar: DataFrame, status: str = "rdkit_status") -> DataFrame:
@@ -69,8 +73,13 @@ def paired_issues(sidecar: DataFrame, status: str = "rdkit_status") -> DataFrame
 
 
 def with_descriptors(rows: DataFrame, descriptors: DataFrame) -> DataFrame:
-    """Left join of one descriptor row per record; a record may have many rows."""
-    return rows.join(descriptors.dropDuplicates(["record_id"]), "record_id", "left")
+    """Left join of one descriptor row per record; a record may have many rows.
+
+    Of several descriptor rows the smallest, compared column by column, is taken.
+    """
+    others = [c for c in descriptors.columns if c != "record_id"]
+    single = descriptors.groupBy("record_id").agg(F.min(F.struct(*others)).alias("_first")).select("record_id", "_first.*")
+    return rows.join(single, "record_id", "left")
 
 
 def with_targets(records: DataFrame, labels: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from peakloom.functions import peaks as P
 from peakloom.functions import text as X
 from peakloom.functions.binding import let
 from peakloom.functions.text import is_finite
-from peakloom.operators.validate import issue, joined, peak_path, per_peak, present
+from peakloom.operators.validate import issue, joined, peak_path, per_peak, present, record_issues
 from peakloom.schema import CANONICAL, CARBON_PEAK, PROTON_PEAK
 
 STRUCTURE_CODE = "missing_structure"
@@ -358,12 +358,15 @@ def conform_shifts(landing: DataFrame, source: str, prefix: str, structure=ident
 def route(conformed: DataFrame, quarantine: tuple[str, ...] = (STRUCTURE_CODE,)) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): structure failures are set aside, other issues abort.
 
-    Rejected rows carry record_id, source_smiles and reason.
+    What conversion produced is validated here too, so a record that breaks a
+    rule of the schema is never accepted. Rejected rows carry record_id,
+    source_smiles and reason.
     """
+    conformed = conformed.withColumn("conform_issues", joined(F.col("conform_issues"), record_issues()))
     codes = F.transform("conform_issues", lambda x: x["code"])
     fatal = F.filter("conform_issues", lambda x: ~x["code"].isin(*quarantine))
     message = F.concat(
-        F.col("record_id"), F.lit(": "),
+        F.coalesce("record_id", F.lit("<no ID>")), F.lit(": "),
         F.concat_ws("; ", F.transform(fatal, lambda x: F.concat(x["path"], F.lit(" "), x["message"]))),
     )
     checked = conformed.filter(

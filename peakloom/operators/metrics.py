@@ -49,14 +49,22 @@ def classification_metrics(rows: DataFrame, y: str, predicted: str, by: tuple[st
     )
 
 
+SCORES_PER_BUCKET = 20_000
+
+
 def ranking_metrics(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = (), buckets: int = 128) -> DataFrame:
     """Exact ROC-AUC with ties and average precision per group.
 
     Rows are reduced to one per distinct score. Scores are then ordered inside
     value buckets whose offsets come from bucket sums, so no group is sorted in
-    a single task. AUC is null where a class is absent.
+    a single task; `buckets` is the least number of them, and there are more
+    where there are many distinct scores. AUC is null where a class is absent.
+    A null group is a group; a null score fails the job.
     """
-    scored = rows.withColumn("_score", F.col(score).cast("double"))
+    lost = F.raise_error(F.lit("a row has no score")).cast("double")
+    scored = rows.withColumn("_score", F.coalesce(F.col(score).cast("double"), lost))
+    distinct = scored.agg(F.approx_count_distinct("_score").alias("n")).first()["n"]
+    buckets = max(buckets, min(8192, distinct // SCORES_PER_BUCKET))
     tied = scored.groupBy(*by, "_score").agg(
         F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")
     )

@@ -15,12 +15,20 @@ from peakloom.functions.text import seeded_score
 from peakloom.functions.vectors import bin_index
 
 
-def with_blocks(rows: DataFrame, record_id: str, block_size: int, seed: int, digits: int = 2) -> DataFrame:
+BUCKET_ROWS = 4096
+
+
+def with_blocks(rows: DataFrame, record_id: str, block_size: int, seed: int, digits: int | None = None) -> DataFrame:
     """Add `block_id` and `block_row`; a block never exceeds `block_size` rows.
 
     Rows are spread over hash buckets, then cut into consecutive blocks inside
-    each bucket. `digits` hex digits give 16**digits buckets.
+    each bucket. `digits` hex digits give 16**digits buckets; by default the
+    fewest that leave at most about BUCKET_ROWS rows in a bucket.
     """
+    if digits is None:
+        n, digits = rows.count(), 1
+        while 16**digits * BUCKET_ROWS < n:
+            digits += 1
     score = seeded_score(F.col(record_id).cast("string"), seed)
     spread = rows.withColumn("_score", score).withColumn("_bucket", F.substring("_score", 1, digits))
     inside = Window.partitionBy("_bucket").orderBy("_score", record_id)

@@ -7,6 +7,8 @@ each bucket its offset, and the ordering inside a bucket runs in parallel.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.feature import QuantileDiscretizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,17 +27,20 @@ def totals_before(
     `bucket` must order like `order`. `_before` sums the rows strictly earlier
     within the group, `_total` sums the whole group. `below` keeps only rows
     with `<name>_before` under a bound, which may use the totals: buckets that
-    start beyond it are left out before anything is sorted.
+    start beyond it are left out before anything is sorted. A null group is a
+    group like any other; a row without a bucket (no key or score) fails the job.
     """
-    weighted = df.withColumns({f"_w_{name}": w for name, w in weights.items()})
+    lost = F.raise_error(F.lit("a row has no key or score to order by")).cast("boolean")
+    placed = df.filter(F.when(F.col(bucket).isNull(), lost).otherwise(True))
+    weighted = placed.withColumns({f"_w_{name}": w for name, w in weights.items()})
     sums = weighted.groupBy(*by, bucket).agg(
         *[F.sum(f"_w_{name}").alias(f"_b_{name}") for name in weights]
     )
     whole = Window.partitionBy(*by)
     earlier = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select(
-        *by,
-        bucket,
+        *[F.col(c).alias(f"_g_{c}") for c in by],
+        F.col(bucket).alias("_g_bucket"),
         *[F.coalesce(F.sum(f"_b_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in weights],
         *[F.sum(f"_b_{n}").over(whole).alias(f"{n}_total") for n in weights],
     )
@@ -44,7 +49,9 @@ def totals_before(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    joined = weighted.join(offsets, [*by, bucket])
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
+    matched = reduce(lambda a, b: a & b, same, F.col(bucket) == F.col("_g_bucket"))
+    joined = weighted.join(offsets, matched).drop("_g_bucket", *[f"_g_{c}" for c in by])
     for n, bound in (below or {}).items():
         joined = joined.filter(F.col(f"_o_{n}") < bound)
     summed = (
@@ -102,13 +109,15 @@ def average_rank(by: list[str], value: str, descending: Column | bool = True) ->
     """Rank with ties averaged inside small comparison groups.
 
     `descending` may be a column that differs between groups (errors rank
-    upward, scores downward). A group holds one row per compared method.
+    upward, scores downward). A group holds one row per compared method; a
+    method without a value has no rank and counts for nobody else's.
     """
     signed = (
         F.when(descending, -F.col(value)).otherwise(F.col(value))
         if isinstance(descending, Column)
         else (-F.col(value) if descending else F.col(value))
     )
-    ordered = Window.partitionBy(*by).orderBy(signed)
+    ordered = Window.partitionBy(*by).orderBy(signed.asc_nulls_last())
     tied = Window.partitionBy(*by, value)
-    return F.rank().over(ordered) + (F.count("*").over(tied) - 1) / F.lit(2.0)
+    averaged = F.rank().over(ordered) + (F.count("*").over(tied) - 1) / F.lit(2.0)
+    return F.when(F.col(value).isNotNull(), averaged)

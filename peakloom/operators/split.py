@@ -6,6 +6,8 @@ partitioning or retries.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,16 +155,27 @@ def starved_shards(blocks: DataFrame, block: str, world_size: int, workers: int)
 def mix_sources(records: DataFrame, weights: dict[str, float], size: int, seed: int, source: str = "source") -> DataFrame:
     """A mixture of `size` rows with a weighted quota per source.
 
-    Sources smaller than their quota are cycled; the last cycle is cut by a
-    seeded order. `copy_no` tells the cycles apart.
+    Quotas add up to `size`: shares are rounded down, and the largest
+    remainders get one more (the first listed among equals). Sources smaller
+    than their quota are cycled; the last cycle is cut by a seeded order.
+    `copy_no` tells the cycles apart. A source with a quota and no rows fails
+    the job.
     """
     weight_sum = sum(weights.values())
-    quotas = [(name, int(round(size * w / weight_sum))) for name, w in weights.items()]
+    shares = {name: size * w / weight_sum for name, w in weights.items()}
+    whole = {name: math.floor(s + 1e-9) for name, s in shares.items()}
+    by_remainder = sorted(shares, key=lambda name: whole[name] - shares[name])
+    more = set(by_remainder[: size - sum(whole.values())])
+    quotas = [(name, n + (name in more)) for name, n in whole.items()]
     quota = records.sparkSession.createDataFrame(quotas, f"{source} string, _quota long")
-    sizes = records.groupBy(source).agg(F.count("*").alias("_n")).join(F.broadcast(quota), source)
+    counts = records.groupBy(source).agg(F.count("*").alias("_n"))
+    absent = F.raise_error(F.concat(F.lit("no rows of source "), F.col(source))).cast("bigint")
+    sizes = quota.join(counts, source, "left").filter("_quota > 0").select(
+        source, "_quota", F.coalesce("_n", absent).alias("_n")
+    )
     copies = F.sequence(F.lit(1).cast("bigint"), F.ceil(F.col("_quota") / F.col("_n")))
     repeated = (
-        records.join(sizes.filter("_quota > 0"), source)
+        records.join(F.broadcast(sizes), source)  # one row per listed source
         .withColumn("copy_no", F.explode(copies))
     )
     full = F.floor(F.col("_quota") / F.col("_n"))

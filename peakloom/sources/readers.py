@@ -60,11 +60,18 @@ def read_records(spark: SparkSession, paths: list[str], ordered: bool = False) -
     return union_all(parts)
 
 
+#: File, block of the file and line within the block: together the order of the lines.
+LINE_ORDER = ("input_file", "block_start", "line_order")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANONICAL) -> DataFrame:
     """JSON lines; blank lines are skipped. `problem` tells why a line is unreadable."""
     lines = (
         spark.read.text(path)
-        .select("value", F.col("_metadata.file_path").alias("input_file"))
+        .select(
+            "value", F.col("_metadata.file_path").alias("input_file"),
+            F.col("_metadata.file_block_start").alias("block_start"), F.monotonically_increasing_id().alias("line_order"),
+        )
         .filter(F.trim("value") != "")
     )
     parsed = F.from_json(
@@ -74,15 +81,19 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANONICAL)
     is_object = F.startswith(F.ltrim(F.col("value")), F.lit("{"))
     rows = lines.withColumn("_row", parsed)
     problem = F.when(~is_object, "not an object").when(F.col("_row._corrupt").isNotNull(), "invalid JSON")
-    return rows.select("_row.*", problem.alias("problem"), F.col("value").alias("line"), "input_file").drop("_corrupt")
+    return rows.select("_row.*", problem.alias("problem"), F.col("value").alias("line"), *LINE_ORDER).drop("_corrupt")
 
 
-def readable_jsonl(spark: SparkSession, path: str, schema: T.StructType = CANONICAL) -> DataFrame:
-    """JSON lines; the first unreadable line fails the job."""
+def readable_jsonl(
+    spark: SparkSession, path: str, schema: T.StructType = CANONICAL, ordered: bool = False
+) -> DataFrame:
+    """JSON lines; the first unreadable line fails the job. `ordered` keeps the columns of LINE_ORDER."""
     rows = read_jsonl(spark, path, schema)
     place = F.concat(F.col("input_file"), F.lit(": "), F.col("problem"), F.lit(": "), F.substring("line", 1, 80))
     stop = F.raise_error(place).cast("boolean")
-    return rows.filter(F.when(F.col("problem").isNotNull(), stop).otherwise(True)).drop("problem", "line", "input_file")
+    return rows.filter(F.when(F.col("problem").isNotNull(), stop).otherwise(True)).drop(
+        "problem", "line", *(() if ordered else LINE_ORDER)
+    )
 
 
 def in_memory_records(spark: SparkSession, rows: list, schema: T.StructType = CANONICAL) -> DataFrame:
@@ -96,8 +107,9 @@ def in_memory_records(spark: SparkSession, rows: list, schema: T.StructType = CA
 def read_any(spark: SparkSession, path: str, max_records: int | None = None) -> DataFrame:
     """Choose the reader by suffix; optionally the first records in file order."""
     if path.rstrip("/").endswith((".jsonl", ".json")):
-        df = readable_jsonl(spark, path)
-        return df if max_records is None else df.limit(max_records)
+        if max_records is None:
+            return readable_jsonl(spark, path)
+        return readable_jsonl(spark, path, ordered=True).orderBy(*LINE_ORDER).limit(max_records).drop(*LINE_ORDER)
     if max_records is None:
         return read_records(spark, [path])
     return read_records(spark, [path], ordered=True).orderBy(*ROW_ORDER).limit(max_records).drop(*ROW_ORDER)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from peakloom.functions.vectors import is_valid_vector
 from peakloom.operators.clean import CleaningPolicy, audit, failed_reasons, reason_counts, removals_of_audit
 from peakloom.schema import CANONICAL, SCHEMA_VERSION
 from peakloom.session import cut_lineage
@@ -161,10 +162,15 @@ def write_rejections(rejected: DataFrame, target: str, overwrite: bool = False)
 
 def write_embeddings(embedded: DataFrame, target: str, dimension: int, metadata: dict, rejected: int = 0,
                      overwrite: bool = False) -> int:
-    """An embedding cache of one fixed dimension with its metadata."""
+    """An embedding cache of one fixed dimension with its metadata.
+
+    A null vector, another length, a component that is null or not finite, or
+    only zeros fail the job.
+    """
     spark = embedded.sparkSession
-    wrong = F.raise_error(F.concat(F.lit("wrong dimension for "), "record_id")).cast("boolean")
-    checked = embedded.filter(F.when(F.size("embedding") != dimension, wrong).otherwise(True))
+    wrong = F.raise_error(F.concat(F.lit("unusable vector of "), F.coalesce("record_id", F.lit("<null>")))).cast("boolean")
+    sound = F.coalesce(is_valid_vector(F.col("embedding"), dimension), F.lit(False))
+    checked = embedded.filter(F.when(sound, True).otherwise(wrong))
     staging = _stage(checked.select("record_id", F.col("embedding").cast("array<float>").alias("embedding")),
                      target, overwrite, None)
     n = _rows(spark, staging)
