@@ -13,6 +13,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import WordCache, list_array, texts_of
+from peakloom.llm.common import TOGETHER, WordCache, encode_runs, list_array, texts_of
 
 LONG = 400
 NO_RANK = 1 << 30
@@ -36,6 +37,11 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+def normalised(text: str) -> str:
+    """Composed and lower-cased; characters are mapped one by one, so sigma gets no final form."""
+    return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 class WordBpe:
     """A tokenizer file of the kind: lower case, words with an end mark, byte-level pairs."""
 
@@ -52,11 +58,12 @@ class WordBpe:
         self.rank, self.merged = {}, []
         for n, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.rank[vocab[a], vocab[b]] = n
+            self.rank[vocab[a] << 20 | vocab[b]] = n
             self.merged.append(vocab[a + b])
         marks = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.words = WordCache(lambda w: np.array(self.merge(w.encode()), dtype="<u4").tobytes())
+        self.words = WordCache(self._word, 50_000)
+        self.runs = WordCache(self._run)
 
     def merge(self, word: bytes) -> list[int]:
         """IDs of one word."""
@@ -64,7 +71,7 @@ class WordBpe:
         if len(parts) > LONG:
             return self.merge_long(parts)
         rank = self.rank.get
-        ranks = [rank(p, NO_RANK) for p in zip(parts, parts[1:], strict=False)]
+        ranks = [rank(a << 20 | b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
         while ranks:
             least = min(ranks)
             if least == NO_RANK:
@@ -73,45 +80,57 @@ class WordBpe:
             parts[at] = self.merged[least]
             del parts[at + 1], ranks[at]
             if at:
-                ranks[at - 1] = rank((parts[at - 1], parts[at]), NO_RANK)
+                ranks[at - 1] = rank(parts[at - 1] << 20 | parts[at], NO_RANK)
             if at < len(ranks):
-                ranks[at] = rank((parts[at], parts[at + 1]), NO_RANK)
+                ranks[at] = rank(parts[at] << 20 | parts[at + 1], NO_RANK)
         return parts
 
     def merge_long(self, parts: list[int]) -> list[int]:
         """The same merges in the same order, with linked parts and a heap of boundaries."""
         n = len(parts)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get((parts[i], parts[i + 1]))) is not None]
+        heap = [(r, i) for i in range(n - 1) if (r := self.rank.get(parts[i] << 20 | parts[i + 1])) is not None]
         heapq.heapify(heap)
         gone = [False] * n
         while heap:
             r, i = heapq.heappop(heap)
             j = after[i]
-            if gone[i] or j < 0 or self.rank.get((parts[i], parts[j])) != r:
+            if gone[i] or j < 0 or self.rank.get(parts[i] << 20 | parts[j]) != r:
                 continue
             parts[i], gone[j], after[i] = self.merged[r], True, after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for left, right in ((before[i], i), (i, after[i])):
-                if left >= 0 and right >= 0 and (s := self.rank.get((parts[left], parts[right]))) is not None:
+                if left >= 0 and right >= 0 and (s := self.rank.get(parts[left] << 20 | parts[right])) is not None:
                     heapq.heappush(heap, (s, left))
         return [p for p, g in zip(parts, gone, strict=True) if not g]
 
-    def _plain(self, text: str) -> bytes:
-        # the lower-casing maps characters one by one: no final form of sigma
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return b"".join(map(self.words.__getitem__, self.WORDS.findall(text)))
+    def _word(self, word: str) -> bytes:
+        return array("I", self.merge(word.encode())).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """IDs of a normalised text without spaces; letters alone, or before one mark, need no pattern."""
+        if run.isalpha():
+            return self._word(run)
+        if run[-1:] in (".", ",") and run[:-1].isalpha():
+            return self._word(run[:-1]) + self.words[run[-1]]
+        return b"".join(map(self.words.__getitem__, self.WORDS.findall(run)))
 
     def encode(self, text: str) -> np.ndarray:
         """IDs of a text; the strings of special tokens become their IDs."""
-        if self.cut is None or not self.cut.search(text):
-            return np.frombuffer(self._plain(text), "<u4")
-        pieces = [
-            np.array([self.special[p]], "<u4").tobytes() if p in self.special else self._plain(p)
-            for p in self.cut.split(text)
-        ]
-        return np.frombuffer(b"".join(pieces), "<u4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """IDs of each text. Words hold no space, so texts are cut at spaces and each distinct run is encoded once."""
+        pieces = [self.cut.split(t) if self.cut is not None and self.cut.search(t) else [t] for t in texts]
+        flat = [None if p in self.special else normalised(p) for parts in pieces for p in parts]
+        ids = iter(encode_runs(flat, self.runs.__getitem__))
+        found = []
+        for parts in pieces:
+            of_parts = [np.array([self.special[p]], "<u4") if p in self.special else x
+                        for p, x in zip(parts, [next(ids) for _ in parts], strict=True)]
+            found.append(of_parts[0] if len(of_parts) == 1 else np.concatenate(of_parts))
+        return found
 
     def decode(self, ids) -> str:
         """The tokens of the IDs, joined by one space; IDs that the file lacks are skipped."""
@@ -133,8 +152,9 @@ def bpe_encode(text: Column, path: str) -> Column:
     """IDs of each whole text as array<int>; empty for a null or empty text."""
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
-        coder = loaded(path)
-        lists = [coder.encode(t) for t in texts_of(column)]
+        coder, lists = loaded(path), []
+        for begin in range(0, len(column), TOGETHER):
+            lists += coder.encode_all(texts_of(column.slice(begin, TOGETHER)))
         flat = np.concatenate(lists).astype(np.int32) if lists else np.zeros(0, np.int32)
         return list_array(flat, [len(x) for x in lists])
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +69,30 @@ def list_array(values: np.ndarray, lengths: Sequence[int] | np.ndarray) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
+#: Texts that are cut and encoded together.
+TOGETHER = 4096
+
+
+def encode_runs(texts: Sequence[str | None], run_ids: Callable[[str], bytes]) -> list[np.ndarray]:
+    """IDs of each text, put together from the IDs of what stands between its spaces.
+
+    `run_ids` gives the little-endian 32-bit IDs of one run. It is asked once
+    per distinct run of these texts; the IDs are then gathered for all runs at
+    once. A null text has no runs, an empty one has one empty run.
+    """
+    lists = pc.split_pattern(pa.array(texts, type=pa.large_string()), " ")
+    coded = lists.flatten().dictionary_encode()
+    known = list(map(run_ids, coded.dictionary.to_pylist()))
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    codes = coded.indices.to_numpy()
+    n = size[codes]
+    ends = np.concatenate([[0], np.cumsum(n)])
+    at = np.repeat((np.cumsum(size) - size)[codes] - ends[:-1], n) + np.arange(ends[-1])
+    ids = np.frombuffer(b"".join(known), "<u4")[at]
+    runs = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return np.split(ids, ends[np.cumsum(runs)][:-1])
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 

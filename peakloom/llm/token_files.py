@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import byte_symbols
-from peakloom.llm.common import WordCache, list_array, texts_of
+from peakloom.llm.common import TOGETHER, WordCache, encode_runs, list_array, texts_of
 
 BLOCK = 512
 #: Fixed values: (IDs per word, bits per ID) of selectors 2 to 15.
@@ -192,7 +192,7 @@ class Tokenizer:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.symbols = dict(enumerate(byte_symbols()))
         self.words = WordCache(self._word, 50_000)
-        self.runs = WordCache(lambda run: self._pieces(" " + run), 400_000)
+        self.runs = WordCache(self._run)
 
     def _word(self, word: str) -> bytes:
         """IDs of one word by the library's model, which works on one symbol per byte."""
@@ -205,13 +205,32 @@ class Tokenizer:
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _run(self, run: str) -> bytes:
+        """IDs of a run with the space before it; letters alone, or before one mark, need no pattern."""
+        if run.isalpha():
+            return self._word(" " + run)
+        if run[-1:] in (".", ",") and run[:-1].isalpha():
+            return self._word(" " + run[:-1]) + self.words[run[-1]]
+        return self._pieces(" " + run)
+
     def encode(self, text: str) -> np.ndarray:
-        if (not text.isascii() and self.UNSETTLED.search(text)) or any(t in text for t in self.special):
-            return np.frombuffer(self._ids(text), "<u4")
-        if self.BRIDGE.search(text):
-            return np.frombuffer(self._pieces(text), "<u4")
-        first, *runs = text.split(" ")
-        return np.frombuffer(b"".join([self._pieces(first), *map(self.runs.__getitem__, runs)]), "<u4")
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """IDs of each text."""
+        heads, tails = [], []
+        for text in texts:
+            tail = None
+            if (not text.isascii() and self.UNSETTLED.search(text)) or any(t in text for t in self.special):
+                head = self._ids(text)
+            elif self.BRIDGE.search(text):
+                head = self._pieces(text)
+            else:
+                start, space, rest = text.partition(" ")
+                head, tail = self._pieces(start), rest if space else None
+            heads.append(np.frombuffer(head, "<u4"))
+            tails.append(tail)
+        return [np.concatenate(x) for x in zip(heads, encode_runs(tails, self.runs.__getitem__), strict=True)]
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -244,9 +263,9 @@ def write_token_files(
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, number, before = tokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                rows = batch.slice(begin, 512)
-                ids = [np.append(tok.encode(t), np.uint32(end_id)) for t in texts_of(rows.column(1))]
+            for begin in range(0, batch.num_rows, TOGETHER):
+                rows = batch.slice(begin, TOGETHER)
+                ids = [np.append(x, np.uint32(end_id)) for x in tok.encode_all(texts_of(rows.column(1)))]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(sizes), pa.array(np.full(len(ids), number, np.int32)),
