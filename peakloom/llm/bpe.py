@@ -17,6 +17,7 @@ from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -62,6 +63,7 @@ class WordBpe:
             self.merged.append(vocab[a + b])
         marks = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
+        self.names = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], type=pa.string())
         self.words = WordCache(self._word, 50_000)
         self.runs = WordCache(self._run)
 
@@ -138,6 +140,16 @@ class WordBpe:
         return " ".join([t for t in map(get, ids) if t is not None])
 
 
+    def decode_all(self, lists: pa.ListArray) -> pa.Array:
+        """Text of each ID list, joined by Arrow; lists with a null or unknown ID one by one."""
+        ids = lists.flatten()
+        tokens = self.names.take(pc.if_else(pc.and_(pc.greater_equal(ids, 0), pc.less(ids, len(self.names))), ids, None))
+        if lists.null_count or tokens.null_count:
+            return pa.array([self.decode(x) if x else "" for x in lists.to_pylist()], type=pa.string())
+        sizes = pc.list_value_length(lists).to_numpy()
+        return pc.binary_join(list_array(tokens, sizes), " ")
+
+
 _LOADED: dict[str, WordBpe] = {}
 
 
@@ -165,7 +177,6 @@ def bpe_decode(ids: Column, path: str) -> Column:
     """Text of each ID list; a null list is the empty text, null IDs are skipped."""
     @F.arrow_udf("string")
     def decode(column: pa.Array) -> pa.Array:
-        coder = loaded(path)
-        return pa.array([coder.decode(x) if x else "" for x in column.to_pylist()], type=pa.string())
+        return loaded(path).decode_all(column)
 
     return decode(ids)

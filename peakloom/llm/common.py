@@ -62,15 +62,15 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def list_array(values: np.ndarray, lengths: Sequence[int] | np.ndarray) -> pa.Array:
+def list_array(values: np.ndarray | pa.Array, lengths: Sequence[int] | np.ndarray) -> pa.Array:
     """An Arrow list column from its flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)
     np.cumsum(lengths, out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+    return pa.ListArray.from_arrays(pa.array(offsets), values if isinstance(values, pa.Array) else pa.array(values))
 
 
 #: Texts that are cut and encoded together.
-TOGETHER = 4096
+TOGETHER = 1024
 
 
 def encode_runs(texts: Sequence[str | None], run_ids: Callable[[str], bytes]) -> list[np.ndarray]:

@@ -110,3 +110,5 @@ def test_bpe_columns(spark):
     rows = coded.withColumn("back", bpe.bpe_decode(F.col("ids"), WORD)).collect()
     assert [r.back for r in rows] == ["", "", "hello</w> world</w>", "hello</w> world</w>"] and rows[0].ids == []
     assert coded.limit(0).collect() == []
+    lists = spark.createDataFrame([([320, None, 10**6, -1, 320],), (None,), ([],)], "ids array<int>")
+    assert [r[0] for r in lists.select(bpe.bpe_decode(F.col("ids"), WORD)).collect()] == ["a</w> a</w>", "", ""]
