@@ -127,16 +127,18 @@ def dialect_issues(dialect: str, native: bool = False, strict: bool = True) -> C
     return joined(record_issues(), own) if strict else own
 
 
-def encoder_issues() -> Column:
-    """Size issues that keep a record out of the fixed-width encoder batch."""
+def encoder_size_issues() -> Column:
+    """Lists that are too long for the fixed-width encoder batch."""
     def of_peak(p, i):
         return present(issue(F.size(p["j_values"]) > MAX_J_VALUES, "too_many_j_values",
                              _h(i, ".j_values"), f"at most {MAX_J_VALUES} J values per peak"))
 
-    return joined(
-        record_issues(), present(*_too_many_peaks()),
-        per_peak(F.col("h_nmr_peaks"), of_peak),
-    )
+    return joined(present(*_too_many_peaks()), per_peak(F.col("h_nmr_peaks"), of_peak))
+
+
+def encoder_issues() -> Column:
+    """Everything that keeps a record out of the fixed-width encoder batch."""
+    return joined(record_issues(), encoder_size_issues())
 
 
 def compatibility_rows(records: DataFrame, strict: bool = True) -> DataFrame:

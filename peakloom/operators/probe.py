@@ -2,7 +2,9 @@
 
 Each candidate parameter is fitted on the cluster; folds keep every row of a
 molecule together. Predictions are scored with the exact metrics of this
-package. The mapping of the grids to Spark's regularisation is nominal.
+package. A ridge penalty is divided by the number of rows and multiplied by the
+label's deviation, which Spark's solver divides by; folds have slightly other
+deviations than the whole, and logistic penalties are mapped by row number.
 """
 
 from __future__ import annotations
@@ -50,9 +52,13 @@ def run_probe(
     """One result row: cohort sizes, chosen parameter, CV score and test metrics."""
     if task not in ("regression", "classification"):
         raise ValueError("task must be regression or classification")
+    folds = min(folds, train.select(group).distinct().count())
     fit_on = _prepared(train, y, group, folds, seed).persist()
     held_out = _prepared(test, y, group, folds, seed)
-    sizes = fit_on.agg(F.count("*").alias("n"), F.count_distinct("molecule").alias("m"), F.count_distinct("fold").alias("f")).first()
+    sizes = fit_on.agg(
+        F.count("*").alias("n"), F.count_distinct("molecule").alias("m"), F.count_distinct("fold").alias("f"),
+        F.stddev_pop("label").alias("sd"),
+    ).first()
     if sizes["f"] < folds:
         raise ValueError(f"the molecules fill {sizes['f']} of {folds} folds")
     select = VarianceThresholdSelector(featuresCol="raw", outputCol="varied", varianceThreshold=MIN_VARIANCE)
@@ -60,7 +66,8 @@ def run_probe(
     if task == "regression":
         values = grid or RIDGE_ALPHAS
         model = LinearRegression(elasticNetParam=0.0, standardization=False, solver="normal")
-        strengths = {v / sizes["n"]: v for v in values}
+        # the normal solver divides the penalty by the label's deviation
+        strengths = {v * sizes["sd"] / sizes["n"]: v for v in values}
         evaluator = RegressionEvaluator(metricName="r2")
     else:
         values = grid or LOGISTIC_CS
@@ -73,6 +80,7 @@ def run_probe(
         evaluator=evaluator, numFolds=folds, foldCol="fold", parallelism=parallelism,
     )
     fitted = search.fit(fit_on)
+    fit_on.unpersist()
     best = max(range(len(fitted.avgMetrics)), key=lambda i: (fitted.avgMetrics[i] if math.isfinite(fitted.avgMetrics[i]) else -math.inf))
     chosen = strengths[sorted(strengths)[best]]
     scored = fitted.transform(held_out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from peakloom.functions import model_inputs as I
@@ -9,17 +10,20 @@ from peakloom.functions import peaks as P
 from peakloom.functions import vectors as V
 from peakloom.functions.binding import exploded, pos_exploded
 from peakloom.operators import dialects as D
+from peakloom.operators.conform import carbon, proton
 from peakloom.plans.registry import query
 from peakloom.plans.sql import RECORDS
 from peakloom.plans.views import spectra, table
+from peakloom.schema import MACCS_BITS
 
-FIT = RECORDS + """, over as (select distinct record_id from pk where nucleus = 'h' and n_j > 6), fit as (select * from pk where record_id not in (select record_id from over))
+FIT = RECORDS + """, over as (select distinct record_id from pk where nucleus = 'h' and n_j > 6
+  union select record_id from pk group by record_id, nucleus having count(*) > 60), fit as (select * from pk where record_id not in (select record_id from over))
 """
 
 
 def _batch(spark, sf_dir):
     """Records inside the size limits, as fixed-width columns."""
-    records = spectra(spark, sf_dir).filter(~P.has_too_many_j(F.col("h_nmr_peaks"), 6))
+    records = spectra(spark, sf_dir).filter(F.size(D.encoder_size_issues()) == 0)
     return records.select("record_id", "h_nmr_peaks", *[c.alias(n) for n, c in I.encoder_columns().items()])
 
 
@@ -51,6 +55,26 @@ def encoder_padding(spark, sf_dir):
         F.round(F.aggregate("c_shift", F.lit(0.0), lambda a, v: a + v), 10).alias("c_sum"))
 
 
+@query("encoder_rejects_long", """
+with p as (select l_partkey as part, count(*) filter (where l_linestatus = 'O') as h, count(*) filter (where l_linestatus <> 'O') as c, max(l_linenumber) as j from lineitem group by 1)
+select part, h, c, h <= 60 and c <= 60 and (j <= 6 or h = 0) as accepted, case when h <= 60 and c <= 60 and (j <= 6 or h = 0) then h + c end as known from p""")
+def encoder_rejects_long(spark, sf_dir):
+    """Long peak and coupling lists: a part's lines as one record, refused beyond the widths, else padded whole."""
+    is_h, j = F.col("l_linestatus") == "O", F.array_repeat(F.lit(1.0), F.max("l_linenumber").over(Window.partitionBy("l_partkey")))
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", F.when(is_h, proton(F.col("l_quantity"), j_values=j)).alias("h"),
+        F.when(~is_h, carbon(F.col("l_quantity"))).alias("c"))
+    records = lines.groupBy(F.col("l_partkey").alias("part")).agg(
+        F.collect_list("h").alias("h_nmr_peaks"), F.collect_list("c").alias("c_nmr_peaks"))
+    accepted = F.size(D.encoder_size_issues()) == 0
+    columns = I.encoder_columns()
+    known = sum(F.size(F.filter(columns[m], lambda x: x)) for m in ("h_peak_mask", "c_peak_mask"))
+    length = F.size(columns["h_shift"]) + F.size(columns["c_shift"]) - 120
+    return records.select(
+        "part", F.size("h_nmr_peaks").cast("bigint").alias("h"), F.size("c_nmr_peaks").cast("bigint").alias("c"),
+        accepted.alias("accepted"), F.when(accepted, known + length).cast("bigint").alias("known"))
+
+
 EXPANDABLE = RECORDS + """, bad as (select distinct record_id from pk where nucleus = 'h' and (n_members = 0 or (n_members is null and not coalesce(integration > 0, false)))),
 e as (select *, case when n_members = 2 then 2 else integration end as copies from pk where nucleus = 'h' and record_id not in (select record_id from bad)),
 eh as (select record_id, sum(copies)::bigint as n_h, sum(case when n_members = 2 then (shift - 0.5e0) + (shift + 0.5e0) else shift * integration end) as s_h from e group by 1),
@@ -73,18 +97,19 @@ def expanded_protons(spark, sf_dir):
         F.round(F.aggregate("s", F.lit(0.0), lambda a, v: a + v), 6).alias("shift_sum"))
 
 
-WIDTH = 160
-
-
-@query("sequence_features", EXPANDABLE + f"""
+@query("sequence_features", EXPANDABLE + """, w as (
+  select max(coalesce(n_h, 0) + coalesce(n_c, 0)) as width from recs left join eh using (record_id) left join ec using (record_id) where record_id not in (select record_id from bad))
 select r.record_id, coalesce(n_h, 0) + coalesce(n_c, 0) as length, round(coalesce(s_h, 0) + coalesce(s_c, 0), 10) as shift_sum, coalesce(n_h, 0)::double as count_sum,
-  coalesce(n_c, 0) as carbons, {WIDTH} - coalesce(n_h, 0) - coalesce(n_c, 0) as padding
-from recs r left join eh using (record_id) left join ec using (record_id)
-where r.record_id not in (select record_id from bad) and coalesce(n_h, 0) + coalesce(n_c, 0) <= {WIDTH}""")
+  coalesce(n_c, 0) as carbons, width - coalesce(n_h, 0) - coalesce(n_c, 0) as padding
+from w, recs r left join eh using (record_id) left join ec using (record_id)
+where r.record_id not in (select record_id from bad)""")
 def sequence_features(spark, sf_dir):
-    wide = _expandable(spark, sf_dir).select("record_id", *[c.alias(n) for n, c in I.sequence_columns(WIDTH).items()])
+    """Padded to the longest sequence of the table."""
+    records = _expandable(spark, sf_dir)
+    width = records.agg(F.max(I.sequence_columns(0)["sequence_length"])).first()[0] or 0
+    wide = records.select("record_id", *[c.alias(n) for n, c in I.sequence_columns(width).items()])
     total = lambda c, zero: F.aggregate(c, zero, lambda a, v: a + v)
-    return wide.filter(F.col("sequence_length") <= WIDTH).select(
+    return wide.select(
         "record_id", F.col("sequence_length").cast("bigint").alias("length"), F.round(total("shifts", F.lit(0.0)), 10).alias("shift_sum"),
         total("counts", F.lit(0.0)).alias("count_sum"), total("types", F.lit(0)).cast("bigint").alias("carbons"),
         F.size(F.filter("padding_mask", lambda m: m)).cast("bigint").alias("padding"))
@@ -187,20 +212,22 @@ def value_bins(spark, sf_dir):
 
 
 @query("unpacked_bits", """
-with b as (select vec_id, range as i, (vec_id * 7 + range * 13) % 251 as byte from embeddings, range(8))
-select vec_id, (i * 8 + k)::integer as position, ((byte >> k) & 1)::integer as bit from b, (select unnest(range(8)) as k) where (byte >> k) & 1 = 1""")
+with b as (select vec_id, range as i, (vec_id * 7 + range * 13) % 251 as byte from embeddings, range(256))
+select vec_id, count(*) as ones, sum((i * 8 + k) * (i * 8 + k + 1))::bigint as places from b, (select unnest(range(8)) as k) where (byte >> k) & 1 = 1 group by vec_id""")
 def unpacked_bits(spark, sf_dir):
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.lpad(F.hex((F.col("vec_id") * 7 + i * 13) % 251), 2, "0"))
+    pairs = F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.lpad(F.hex((F.col("vec_id") * 7 + i * 13) % 251), 2, "0"))
     packed = F.unhex(F.array_join(pairs, ""))
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.unpack_bits(packed, 8).alias("bits"))
-    return pos_exploded(rows, "vec_id", items="bits", name="bit").filter("bit = 1")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", V.unpack_bits(packed, 256).alias("bits"))
+    ones = pos_exploded(rows, "vec_id", items="bits", name="bit").filter("bit = 1")
+    place = F.col("position").cast("bigint")
+    return ones.groupBy("vec_id").agg(F.count("*").alias("ones"), F.sum(place * (place + 1)).alias("places"))
 
 
 @query("bit_text", """
-with t as (select doc_id, case when doc_id % 9 = 0 then '012' else lpad(bin(n_chars), 16, '0') end as s from documents where n_chars < 65536)
+with t as (select doc_id, case when doc_id % 9 = 0 then '012' else lpad(bin(n_chars), 166, '0') end as s from documents)
 select doc_id, case when doc_id % 9 = 0 then null else len(replace(s, '0', '')) end as ones from t""")
 def bit_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").filter("n_chars < 65536").select(
-        "doc_id", F.when(F.col("doc_id") % 9 == 0, "012").otherwise(F.lpad(F.bin("n_chars"), 16, "0")).alias("s"))
-    bits = V.bits_from_text(F.col("s"), 16)
+    rows = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(F.col("doc_id") % 9 == 0, "012").otherwise(F.lpad(F.bin("n_chars"), MACCS_BITS, "0")).alias("s"))
+    bits = V.bits_from_text(F.col("s"), MACCS_BITS)
     return rows.select("doc_id", F.aggregate(bits, F.lit(0), lambda a, b: a + b).cast("bigint").alias("ones"))

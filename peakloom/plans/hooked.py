@@ -18,14 +18,14 @@ from peakloom.plans.views import cache, doc_records, spectra, table
 def _count_lines(text):
     if "@" in text:
         return None
-    if len(text) > 20_000:
-        raise ValueError("too long")
+    if "&&&" in text:
+        raise ValueError("unreadable line")
     return {"n_lines": text.count("\n") + 1}
 
 
 @query("status_hook", """
-select 'doc-' || doc_id as record_id, case when doc_id % 23 = 0 then 'missing_smiles' when contains(text, '@') then 'invalid_smiles' when length(text) > 20000 then 'calculation_error' else 'ok' end as status,
-  case when doc_id % 23 <> 0 and not contains(text, '@') and length(text) <= 20000 then length(text) - length(replace(text, chr(10), '')) + 1 end as n_lines from documents""")
+select 'doc-' || doc_id as record_id, case when doc_id % 23 = 0 then 'missing_smiles' when contains(text, '@') then 'invalid_smiles' when contains(text, '&&&') then 'calculation_error' else 'ok' end as status,
+  case when doc_id % 23 <> 0 and not contains(text, '@') and not contains(text, '&&&') then length(text) - length(replace(text, chr(10), '')) + 1 end as n_lines from documents""")
 def status_hook(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("record_id"),
@@ -75,11 +75,11 @@ def _probe_rows(spark, sf_dir):
 def ridge_probe(spark, sf_dir):
     rows = _probe_rows(spark, sf_dir)
     return run_probe(rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0"), y="label", group="molecule",
-                     task="regression", folds=3, grid=[0.1, 10.0, 1000.0])
+                     task="regression")
 
 
 @query("logistic_probe")
 def logistic_probe(spark, sf_dir):
     rows = _probe_rows(spark, sf_dir)
     return run_probe(rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0"), y="positive", group="molecule",
-                     task="classification", folds=3, grid=[0.01, 1.0])
+                     task="classification")

@@ -70,6 +70,16 @@ def ranking_metrics_large(spark, sf_dir):
     return rounded(M.ranking_metrics(rows, "y", "score", ("flag",)))
 
 
+@query("ranking_metrics_null_group", """
+with rows as (select case when l_returnflag <> 'N' then l_returnflag end as flag, (l_linestatus = 'O')::integer as y, l_tax as score from lineitem),""" + ranking_sql("rows", "flag") + " select * from m")
+def ranking_metrics_null_group(spark, sf_dir):
+    """A null group is measured like any other."""
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"),
+        (F.col("l_linestatus") == "O").cast("int").alias("y"), F.col("l_tax").alias("score"))
+    return rounded(M.ranking_metrics(rows, "y", "score", ("flag",)))
+
+
 @query("multi_target_metrics", SCORES + """, rows as (select 'quality' as target, quality as y, score from sc union all select 'toxic', toxic, score_toxic from sc),"""
        + ranking_sql("rows", "target") + " select *, round(positives / support, 6) as prevalence from m")
 def multi_target_metrics(spark, sf_dir):

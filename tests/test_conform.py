@@ -17,24 +17,24 @@ def rich(spark, h, c=None, keep=False, smiles="CC"):
 
 
 def test_rich_mapping(spark):
-    df = rich(spark, [("1.20", None, "1.18", "1.22", "hept", "1", "7.2_2.1_")], [("18.3", "5", "6", "7")])
+    df = rich(spark, [("6.75", None, "6.5", "7", "HEPT ", "04", "_15.5__0.25_")], [("-3.5", "0.5", "1e2", " 9 ")])
     assert same_shape(df.drop("conform_issues").schema, CANONICAL)
     r = df.first()
     peak = r.h_nmr_peaks[0]
     assert (r.record_id, r.nmr_frequency, r.nmr_solvent) == ("lit:train:k", "400.0", None)
-    assert (peak.multiplicity, peak.multiplicity_raw, peak.j_values) == ("sept", "hept", [7.2, 2.1])
-    assert peak.range_half_span == pytest.approx(0.02)
-    assert r.c_nmr_peaks[0].asDict() == {"shift": 18.3, "integral": None, "intensity": None, "width": None}
-    kept = rich(spark, [], [("18.3", "5", "6", "7")], keep=True).first().c_nmr_peaks[0]
-    assert (kept.integral, kept.intensity, kept.width) == (5.0, 6.0, 7.0)
+    assert (peak.multiplicity, peak.multiplicity_raw, peak.j_values) == ("sept", "HEPT", [15.5, 0.25])
+    assert (peak.shift, peak.integration, peak.range_half_span) == (6.75, 4, 0.25)
+    assert r.c_nmr_peaks[0].asDict() == {"shift": -3.5, "integral": None, "intensity": None, "width": None}
+    kept = rich(spark, [], [("-3.5", "0.5", "1e2", " 9 ")], keep=True).first().c_nmr_peaks[0]
+    assert (kept.integral, kept.intensity, kept.width) == (0.5, 100.0, 9.0)
 
 
 def test_rich_point_range_and_null_modalities(spark):
-    peak = rich(spark, [("3.2", None, None, None, "p", "0", None)]).first().h_nmr_peaks[0]
-    assert (peak.multiplicity, peak.integration, peak.j_values) == ("quint", 0, [])
-    assert (peak.range_min, peak.range_max, peak.range_half_span) == (3.2, 3.2, 0.0)
-    middle = rich(spark, [(None, None, "1.0", "2.0", None, "2H", "_")]).first().h_nmr_peaks[0]
-    assert (middle.shift, middle.integration, middle.multiplicity) == (1.5, 2, None)
+    peak = rich(spark, [(None, "-0.125", None, None, "brd", "11.0 H", "")]).first().h_nmr_peaks[0]
+    assert (peak.shift, peak.multiplicity, peak.integration, peak.j_values) == (-0.125, "bd", 11, [])
+    assert (peak.range_min, peak.range_max, peak.range_half_span) == (-0.125, -0.125, 0.0)
+    middle = rich(spark, [(None, None, "-1.5", "4.75", " ", None, "__")]).first().h_nmr_peaks[0]
+    assert (middle.shift, middle.integration, middle.j_values) == (1.625, None, [])
     assert rich(spark, None).first().h_nmr_peaks == []
 
 
@@ -67,14 +67,16 @@ TOK = "id string, row_index long, split string, original_smiles string, smiles s
 
 
 def test_tokenised(spark):
-    text = '{"1HNMR": [[1.25, 0.05, "brd", "3H", []]], "13CNMR": [18.4, 58.3]}'
+    text = '{"13CNMR": [201.5, -7, 0.25], "1HNMR": [[8.5, 0.0, "p", "12H", [4.5, 0.5]], [-2, 0.75, null, "1H", []]]}'
     df = spark.createDataFrame([(None, 4, "test", None, "CC", text), ("7", 5, "test", "N", "CC", '{"13CNMR": null}')], TOK)
     a, b = C.conform_tokenised(df, "tok", "tok").orderBy("record_id").collect()[::-1]
     assert a.record_id == "tok:test:row-4:row-4" and b.record_id == "tok:test:7:row-5" and b.smiles == "N"
     peak = a.h_nmr_peaks[0]
-    assert (peak.multiplicity, peak.integration, peak.j_values) == ("bd", 3, [])
-    assert (peak.range_min, peak.range_max) == (pytest.approx(1.2), pytest.approx(1.3))
-    assert [p.shift for p in a.c_nmr_peaks] == [18.4, 58.3] and b.h_nmr_peaks == [] and b.c_nmr_peaks == []
+    assert (peak.multiplicity, peak.integration, peak.j_values) == ("quint", 12, [4.5, 0.5])
+    assert (peak.range_min, peak.range_max) == (8.5, 8.5)
+    second = a.h_nmr_peaks[1]
+    assert (second.shift, second.multiplicity, second.range_min, second.range_max) == (-2.0, None, -2.75, -1.25)
+    assert [p.shift for p in a.c_nmr_peaks] == [201.5, -7.0, 0.25] and b.h_nmr_peaks == [] and b.c_nmr_peaks == []
     assert a.conform_issues == b.conform_issues == []
 
 
@@ -99,12 +101,12 @@ ATOMS = "key binary, smiles string, canonical_smiles string, shifts array<double
 
 def test_atoms_are_grouped_in_first_seen_order(spark):
     df = spark.createDataFrame([(
-        bytearray(b"12"), "CC", None, [18.0, 20.0, 1.0, 1.2, 1.1, 9.9], [6, 6, 1, 1, 1, 8], [4, 4, 7, 7, 9, 1])], ATOMS)
+        bytearray(b"k-9"), "N", None, [5.5, 77.25, 300.0, 2.25, 3.75, 70.75, 5.0], [1, 6, 7, 1, 1, 6, 1], [30, 2, 5, 11, 11, 8, 30])], ATOMS)
     r = C.conform_atoms(df, "sim", "sim").first()
     first, second = r.h_nmr_peaks
-    assert (first.shift, first.integration, first.equivalence_class, first.member_shifts) == (pytest.approx(1.1), 2, 7, [1.0, 1.2])
-    assert (second.shift, second.integration, second.equivalence_class) == (1.1, 1, 9)
-    assert [p.shift for p in r.c_nmr_peaks] == [19.0] and r.record_id == "sim:12" and r.conform_issues == []
+    assert (first.shift, first.integration, first.equivalence_class, first.member_shifts) == (5.25, 2, 30, [5.5, 5.0])
+    assert (second.shift, second.integration, second.equivalence_class, second.member_shifts) == (3.0, 2, 11, [2.25, 3.75])
+    assert [p.shift for p in r.c_nmr_peaks] == [77.25, 70.75] and r.record_id == "sim:k-9" and r.conform_issues == []
 
 
 def test_routing(spark):
@@ -118,6 +120,17 @@ def test_routing(spark):
         C.route(C.conform_atoms(spark.createDataFrame([uneven], ATOMS), "s", "s"))[0].collect()
 
 
+def test_routing_refuses_what_breaks_the_schema(spark):
+    outside = rich(spark, [("10.0", None, "1.0", "2.0", None, None, None)])
+    with pytest.raises(Exception, match="range"):
+        C.route(outside)[0].collect()
+    nameless = spark.createDataFrame([(None, 0, "C", [1.0], None), (None, 1, "C", [1.0], None)],
+                                     "split string, row_index long, smiles string, h_shift array<double>, c_shift array<double>")
+    assert [r.record_id for r in C.conform_shifts(nameless, "s", "s").collect()] == [None, None]
+    with pytest.raises(Exception, match="non-empty"):
+        C.route(C.conform_shifts(nameless, "s", "s"))[0].collect()
+
+
 def test_key_hook_can_reject(spark):
     df = spark.createDataFrame([("t", 0, "abc", [1.0], None), ("t", 1, "bad", None, [2.0])],
                                "split string, row_index long, smiles string, h_shift array<double>, c_shift array<double>")

@@ -76,7 +76,7 @@ def test_split_files(spark, tmp_path):
 
 def test_embedding_and_property_guards(spark, tmp_path):
     rows = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "record_id string, embedding array<float>")
-    with pytest.raises(Exception, match="wrong dimension for b"):
+    with pytest.raises(Exception, match="unusable vector of b"):
         W.write_embeddings(rows, str(tmp_path / "e"), 2, {})
     twice = rows.filter("record_id = 'a'").unionByName(rows.filter("record_id = 'a'"))
     W.write_embeddings(twice, str(tmp_path / "f"), 2, {"model_name": "m"}, rejected=3)
@@ -119,8 +119,8 @@ def test_split_manifest_and_rejections(spark, tmp_path):
 
 
 def test_eight_decimals(spark):
-    df = spark.createDataFrame([(99.22496494748484, 1), (99.22496494748728, 2), (None, 3)], "x double, n int")
-    assert [r.x for r in W.eight_decimals(df).collect()] == ["99.22496495", "99.22496495", None]
+    df = spark.createDataFrame([(-0.000000015, 1), (2.5, 2), (None, 3), (1234567.123456785, 4)], "x double, n int")
+    assert [r.x for r in W.eight_decimals(df).collect()] == ["-0.00000002", "2.50000000", None, "1234567.12345679"]
 
 
 def test_reports_and_checksums(spark, tmp_path):
