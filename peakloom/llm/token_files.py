@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import byte_symbols
-from peakloom.llm.common import TOGETHER, WordCache, encode_runs, list_array, texts_of
+from peakloom.llm.common import TOGETHER, WordCache, list_array, texts_of
 
 BLOCK = 512
 #: Fixed values: (IDs per word, bits per ID) of selectors 2 to 15.
@@ -163,11 +163,6 @@ class Tokenizer:
     library encodes each new word. Texts with characters outside long-settled
     ranges go to the library whole, since pattern engines may know different
     Unicode versions there, and so do texts that hold a special token.
-
-    No word of the pattern reaches across a space unless other white space
-    comes before that space and white space or the end after it. Where that
-    does not occur, a text is cut at its spaces, and what stands between two
-    spaces is looked up as a whole, with the space before it.
     """
 
     SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -180,8 +175,6 @@ class Tokenizer:
         r"\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
     )
 
-    BRIDGE = regex.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark already runs one task per core
         from tokenizers import Tokenizer as Library
@@ -191,46 +184,20 @@ class Tokenizer:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.symbols = dict(enumerate(byte_symbols()))
-        self.words = WordCache(self._word, 50_000)
-        self.runs = WordCache(self._run)
+        self.words = WordCache(self._word)
 
     def _word(self, word: str) -> bytes:
         """IDs of one word by the library's model, which works on one symbol per byte."""
         symbols = word.encode().decode("latin-1").translate(self.symbols)
         return array("I", [t.id for t in self.library.model.tokenize(symbols)]).tobytes()
 
-    def _pieces(self, text: str) -> bytes:
-        return b"".join(map(self.words.__getitem__, self.PIECES.findall(text)))
-
     def _ids(self, text: str) -> bytes:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _run(self, run: str) -> bytes:
-        """IDs of a run with the space before it; letters alone, or before one mark, need no pattern."""
-        if run.isalpha():
-            return self._word(" " + run)
-        if run[-1:] in (".", ",") and run[:-1].isalpha():
-            return self._word(" " + run[:-1]) + self.words[run[-1]]
-        return self._pieces(" " + run)
-
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
-
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """IDs of each text."""
-        heads, tails = [], []
-        for text in texts:
-            tail = None
-            if (not text.isascii() and self.UNSETTLED.search(text)) or any(t in text for t in self.special):
-                head = self._ids(text)
-            elif self.BRIDGE.search(text):
-                head = self._pieces(text)
-            else:
-                start, space, rest = text.partition(" ")
-                head, tail = self._pieces(start), rest if space else None
-            heads.append(np.frombuffer(head, "<u4"))
-            tails.append(tail)
-        return [np.concatenate(x) for x in zip(heads, encode_runs(tails, self.runs.__getitem__), strict=True)]
+        if (not text.isascii() and self.UNSETTLED.search(text)) or any(t in text for t in self.special):
+            return np.frombuffer(self._ids(text), "<u4")
+        return np.frombuffer(b"".join(map(self.words.__getitem__, self.PIECES.findall(text))), "<u4")
 
 
 _TOKENIZERS: dict[str, Tokenizer] = {}
@@ -265,7 +232,7 @@ def write_token_files(
         for batch in batches:
             for begin in range(0, batch.num_rows, TOGETHER):
                 rows = batch.slice(begin, TOGETHER)
-                ids = [np.append(x, np.uint32(end_id)) for x in tok.encode_all(texts_of(rows.column(1)))]
+                ids = [np.append(x, np.uint32(end_id)) for x in map(tok.encode, texts_of(rows.column(1)))]
                 sizes = np.array([len(x) for x in ids], dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [rows.column(0), pa.array(sizes), pa.array(np.full(len(ids), number, np.int32)),
