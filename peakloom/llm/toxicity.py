@@ -80,7 +80,7 @@ def fit_toxicity(
     swap_weight: float = 4.0,
     l2: float = 1e-4,
     min_documents: int = 5,
-    steps: int = 150,
+    steps: int = 300,
 ) -> ToxicityModel:
     """Fit the model by accelerated gradient descent on a sample held in memory.
 
