@@ -96,12 +96,9 @@ def token_file_rows(spark, sf_dir):
         table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=0
     )
     rows = token_files.read_token_files(spark, folder).select(
-        "doc_id", "start", token_files.token_ids(F.col("payload")).alias("ids")
-    )
-    return rows.select(
-        "doc_id", "start", F.size("ids").cast("long").alias("n_tokens"),
-        token_files.ids_crc32(F.col("ids")).alias("ids_crc32"),
+        "doc_id", "start", token_files.payload_digest(F.col("payload")).alias("read")
     )
+    return rows.select("doc_id", "start", "read.n_tokens", "read.ids_crc32")
 
 
 TOP_K_SQL = """

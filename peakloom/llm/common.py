@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Sequence
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,13 @@ def labelled_sample(
     return [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), share
 
 
+def category_ranges(category: str) -> str:
+    """The characters below U+10000 of a general category, such as L, as ranges for a pattern's set."""
+    inside = groupby(range(0x10000), lambda c: unicodedata.category(chr(c)).startswith(category))
+    runs = [list(codes) for found, codes in inside if found]
+    return "".join(f"\\u{run[0]:04x}-\\u{run[-1]:04x}" for run in runs)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Python strings of a text column; null is the empty text."""
     return [t or "" for t in column.to_pylist()]

@@ -19,18 +19,19 @@ IDs before each part. Both are written by Spark's committing Parquet writer.
 from __future__ import annotations
 
 import os
+import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.llm.bpe import byte_symbols
-from peakloom.llm.common import TOGETHER, WordCache, list_array, texts_of
+from peakloom.llm.common import TOGETHER, WordCache, category_ranges, list_array, texts_of
 
 BLOCK = 512
 #: Fixed values: (IDs per word, bits per ID) of selectors 2 to 15.
@@ -161,16 +162,17 @@ class Tokenizer:
 
     Texts are cut into words by the published pattern of byte-level BPE; the
     library encodes each new word. Texts with characters outside long-settled
-    ranges go to the library whole, since pattern engines may know different
-    Unicode versions there, and so do texts that hold a special token.
+    ranges go to the library whole, since Unicode versions may differ there,
+    and so do texts that hold a special token.
     """
 
     SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-    PIECES = regex.compile(
-        rf"'(?:[stmd]|re|ve|ll)| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+"
+    LETTER, NUMBER = category_ranges("L"), category_ranges("N")
+    PIECES = re.compile(
+        rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^{SPACE}{LETTER}{NUMBER}]+"
         rf"|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
     )
-    UNSETTLED = regex.compile(
+    UNSETTLED = re.compile(
         r"[^\x00-\u036f\u0400-\u0523\u1e00-\u1eff\u2000-\u2064\u20a0-\u20b5\u2100-\u214d\u2190-\u21ff"
         r"\u3000-\u303f\u3041-\u3096\u30a0-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]"
     )
@@ -274,11 +276,22 @@ def token_ids(payload: Column) -> Column:
 
 def ids_crc32(ids: Column) -> Column:
     """Unsigned crc32 of IDs as little-endian unsigned 32-bit integers."""
-    import zlib
-
     @F.arrow_udf("long")
     def crc(column: pa.Array) -> pa.Array:
         offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).astype("<u4")
         return pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets, offsets[1:], strict=False)], pa.int64())
 
     return crc(ids)
+
+
+def payload_digest(payload: Column) -> Column:
+    """`n_tokens` and `ids_crc32` of the IDs that a payload decodes to; the IDs stay in the Python worker."""
+    @F.arrow_udf("struct<n_tokens: long, ids_crc32: long>")
+    def digest(column: pa.Array) -> pa.Array:
+        lists = [x.astype("<u4") for x in decode(column.to_pylist())]
+        return pa.StructArray.from_arrays(
+            [pa.array([len(x) for x in lists], pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in lists], pa.int64())],
+            ["n_tokens", "ids_crc32"],
+        )
+
+    return digest(payload)

@@ -100,6 +100,8 @@ def test_token_files(spark, tmp_path):
     assert [r.doc_id for r in found] == [None, 2, 2, 5, 5, 7, 9]
     assert [r.start for r in found] == [sum(map(len, want[:i])) for i in range(7)]
     assert [r.crc for r in found] == [zlib.crc32(np.array(x, "<u4").tobytes()) for x in want]
+    digests = read.select("start", token_files.payload_digest(F.col("payload")).alias("d")).orderBy("start").collect()
+    assert [tuple(r.d) for r in digests] == [(len(r.ids), r.crc) for r in found]
     token_files.write_token_files(docs.limit(0), f"{tmp_path}/none", BYTE)
     assert token_files.read_token_files(spark, f"{tmp_path}/none").collect() == []
 
