@@ -42,8 +42,14 @@ ESCAPE = 0
 PARTS = "doc_id long, n_tokens long, part int, before long, payload binary"
 
 
+#: Bits that each 16-bit value needs.
+SHORT_BITS = np.maximum(np.frexp(np.arange(1 << 16, dtype=np.float64))[1], 1).astype(np.uint8)
+
+
 def bit_lengths(values: np.ndarray) -> np.ndarray:
     """Bits that each unsigned value needs, at least one."""
+    if not len(values) or values.max() < len(SHORT_BITS):
+        return SHORT_BITS[values]
     bits = np.maximum(np.frexp(values.astype(np.float64))[1], 1).astype(np.uint8)
     large = values >= np.uint64(1 << 53)  # a double may round these up
     if large.any():
@@ -56,6 +62,7 @@ def _choices(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
     n = len(bits)
     chosen = np.zeros(n, dtype=np.uint8)  # the escape
     running, length = bits.copy(), 1
+    room = np.minimum(left, PACKINGS[0][0]).astype(np.uint8)
     for at in range(len(PACKINGS) - 1, -1, -1):
         count, width = PACKINGS[at]
         while length < count:  # running maximum over `count` values, grown by doubling where it can
@@ -63,7 +70,7 @@ def _choices(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
             if n > step:
                 running[: n - step] = np.maximum(running[: n - step], running[step:])
             length += step
-        chosen[(running <= width) & (left >= count)] = at + FIRST_SELECTOR
+        np.copyto(chosen, at + FIRST_SELECTOR, where=(running <= width) & (room >= count), casting="unsafe")
     return chosen
 
 
@@ -80,17 +87,13 @@ def encode(lists: list[np.ndarray]) -> list[bytes]:
     chosen = _choices(bit_lengths(values), left)
     counts = np.array([1, 0, *[c for c, _ in PACKINGS]])[chosen]
     # walk all blocks at once: word k of every block that has one
-    steps, owners, at, live = [], [], start.copy(), np.arange(len(start))
-    while len(live):
-        steps.append(at.copy())
-        owners.append(live)
+    begins, at, stop = np.zeros(len(values), dtype=bool), start, end
+    while len(at):
+        begins[at] = True
         at = at + counts[at]
-        more = at < end[live]
-        at, live = at[more], live[more]
-    position = np.concatenate(steps) if steps else np.zeros(0, np.int64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-    order = np.argsort(position, kind="stable")
-    position, owner = position[order], owner[order]
+        more = at < stop
+        at, stop = at[more], stop[more]
+    position = np.flatnonzero(begins)
     selector = chosen[position]
     width = 1 + (selector == ESCAPE)
     place = np.cumsum(width) - width
@@ -101,11 +104,11 @@ def encode(lists: list[np.ndarray]) -> list[bytes]:
             words[place[at] + 1] = values[position[at]]
             continue
         count, bits = PACKINGS[s - FIRST_SELECTOR]
-        shift = (np.arange(count) * bits).astype(np.uint64)
-        packed = np.bitwise_or.reduce(values[position[at][:, None] + np.arange(count)] << shift, axis=1)
-        words[place[at]] = packed | np.uint64(int(s) << 60)
-    per_block = np.bincount(owner, weights=width, minlength=len(start)).astype(np.int64)
-    block_start = np.cumsum(per_block) - per_block
+        packed, first_id = np.full(int(at.sum()), int(s) << 60, dtype=np.uint64), position[at]
+        for i in range(count):
+            packed |= values[first_id + i] << np.uint64(i * bits)
+        words[place[at]] = packed
+    block_start = place[np.searchsorted(position, start)]
     data, out = words.astype("<u8").tobytes(), []
     upto = np.concatenate([[0], np.cumsum(blocks)])
     ends = np.concatenate([block_start, [len(words)]])
@@ -186,7 +189,7 @@ class Tokenizer:
         self.library.no_padding()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.symbols = dict(enumerate(byte_symbols()))
-        self.words = WordCache(self._word)
+        self.words = WordCache(self._word, 400_000)
 
     def _word(self, word: str) -> bytes:
         """IDs of one word by the library's model, which works on one symbol per byte."""
