@@ -190,7 +190,7 @@ def quality_scores(spark, sf_dir):
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = docs.select("doc_id", quality.quality_score(F.col("text"), model).alias("score"))
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= model.at_cut).cast("int").alias("predicted")
     )
 
 

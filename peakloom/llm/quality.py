@@ -41,9 +41,20 @@ class QualityModel:
     slope: float
     at_cut: float
 
+    def raw(self, features: np.ndarray) -> np.ndarray:
+        """Weighted sum per row, added in one order so that a text has one value in every batch."""
+        total = np.zeros(len(features))
+        for j, weight in enumerate(self.weights):
+            total += (features[:, j] - self.mean[j]) / self.scale[j] * weight
+        return total
+
     def score(self, features: np.ndarray) -> np.ndarray:
-        raw = (features - self.mean) / self.scale @ self.weights
-        return sigmoid((raw - self.cut) * self.slope + math.log(self.at_cut / (1 - self.at_cut)))
+        """At or above `at_cut` exactly where the weighted sum is at or above `cut`, whatever rounding gives."""
+        if not self.weights.any():
+            return np.full(len(features), self.at_cut)
+        raw = self.raw(features)
+        found = sigmoid((raw - self.cut) * self.slope + math.log(self.at_cut / (1 - self.at_cut)))
+        return np.where(raw >= self.cut, np.maximum(found, self.at_cut), np.minimum(found, np.nextafter(self.at_cut, 0)))
 
 
 def statistics(text: str) -> list[float]:
@@ -96,7 +107,8 @@ def fit_quality(
 
     `share` is the share of good labels outside the balanced sample; the cut
     is the quantile of the reweighted scores that leaves this share above.
-    With one class only, or no rows, every text gets one constant score.
+    With one class only, or no rows, every text gets one constant score, which
+    is also the cut: such a model rejects nothing.
     """
     width = len(FEATURES)
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
