@@ -3,8 +3,9 @@
 Preference pairs set a well-rated document against a badly rated one. The
 chance that the first is preferred is the logistic function of the difference
 of two document scores, which are linear in a few text statistics; weights
-are fitted to the pairs. The cut between keep and reject is a quantile of the
-sample's scores: the share of badly rated documents.
+are fitted to the pairs of a bounded sample. The cut between keep and reject
+is a quantile of the scores of all documents: the share of badly rated ones
+among the labels.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from operator import eq
 
 import numpy as np
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import labelled_sample, sigmoid, texts_of
+from peakloom.llm.common import labelled_sample, sigmoid, staged, texts_of
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
 STOPS = re.compile(r"[.?](?:\s|$)")
@@ -143,9 +144,60 @@ def fit_quality(
 def train_quality(
     docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = 2000, max_chars: int = 20_000, **options
 ) -> QualityModel:
-    """Fit on at most `per_class` labelled documents of each class, chosen by hash."""
+    """Fit on at most `per_class` labelled documents of each class, chosen by hash; the cut is taken from all rows of `docs`."""
     texts, y, share = labelled_sample(docs, labels, "quality", trainable, per_class, max_chars)
-    return fit_quality(texts, y, share, **options)
+    model = fit_quality(texts, y, share, **options)
+    return replace(model, cut=quantile_cut(docs, model, share)) if model.weights.any() else model
+
+
+def quantile_cut(docs: DataFrame, model: QualityModel, share: float) -> float:
+    """The weighted sum that leaves `share` of all rows above, halfway between the two ranks it separates.
+
+    Every whole text counts, repeated, null and unlabelled ones too. The
+    ranks are exact.
+    """
+    @F.arrow_udf("long")
+    def ordered(column: pa.Array) -> pa.Array:
+        found = np.array([statistics(t) for t in texts_of(column)]).reshape(-1, len(FEATURES))
+        return pa.array(_ordered(model.raw(found)))
+
+    values = staged(docs.select(ordered(F.col("text")).alias("v")), "quality-scores")
+    n = values.count()
+    if not n:
+        return model.cut
+    at = max(0, min(math.ceil((1 - share) * n - 1e-9) - 1, n - 2))
+    low, through = value_at_rank(values, at)
+    high = low if through > at + 1 else values.filter(F.col("v") > low).agg(F.min("v")).first()[0]
+    below, above = _unordered(np.array([low, low if high is None else high])).tolist()
+    middle = (below + above) / 2
+    return middle if middle > below else above
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Signed integers in the order of finite doubles."""
+    bits = (values + 0.0).view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))
+
+
+def _unordered(bits: np.ndarray) -> np.ndarray:
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.float64)
+
+
+def value_at_rank(values: DataFrame, rank: int) -> tuple[int, int]:
+    """The long `v` with `rank` rows before it in order, and the number of rows up to and with it.
+
+    Histograms of 16 bits at a time, refined to the value itself; each sends
+    at most 65,536 counts to the driver.
+    """
+    before, prefix = 0, None
+    for shift in (48, 32, 16, 0):
+        inside = values if prefix is None else values.filter(F.shiftright("v", shift + 16) == prefix)
+        for r in sorted(inside.groupBy(F.shiftright("v", shift).alias("p")).count().collect()):
+            if before + r["count"] > rank:
+                prefix = r["p"]
+                break
+            before += r["count"]
+    return prefix, before + r["count"]
 
 
 def quality_score(text: Column, model: QualityModel) -> Column:
