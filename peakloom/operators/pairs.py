@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import keyed_random as R
 from peakloom.functions.text import seeded_score
 from peakloom.functions.vectors import bin_index
+from peakloom.operators.ranking import position_by_score
 
 
 BUCKET_ROWS = 4096
@@ -23,18 +24,26 @@ def with_blocks(rows: DataFrame, record_id: str, block_size: int, seed: int, dig
 
     Rows are spread over hash buckets, then cut into consecutive blocks inside
     each bucket. `digits` hex digits give 16**digits buckets; by default the
-    fewest that leave at most about BUCKET_ROWS rows in a bucket.
+    fewest that leave at most about BUCKET_ROWS rows in a bucket. With given
+    digits a block does not depend on the size of the table: rows are sorted
+    in finer buckets, whose offsets give the place in the whole bucket.
     """
-    if digits is None:
-        n, digits = rows.count(), 1
-        while 16**digits * BUCKET_ROWS < n:
-            digits += 1
+    n, fine = rows.count(), 1
+    while 16**fine * BUCKET_ROWS < n:
+        fine += 1
+    digits = fine if digits is None else digits
     score = seeded_score(F.col(record_id).cast("string"), seed)
     spread = rows.withColumn("_score", score).withColumn("_bucket", F.substring("_score", 1, digits))
-    inside = Window.partitionBy("_bucket").orderBy("_score", record_id)
-    n = F.row_number().over(inside) - 1
+    if fine > digits:
+        spread = spread.withColumn("_block_bucket", F.col("_bucket")).drop("_bucket", "_score")
+        placed = position_by_score(spread, F.coalesce(score, F.lit("")), [F.col(record_id)], by=("_block_bucket",), digits=fine)
+        placed = placed.withColumn("_n", F.col("position") - 1).withColumnRenamed("_block_bucket", "_bucket")
+        placed = placed.drop("position", "group_size").withColumn("_score", F.lit(None))
+    else:
+        inside = Window.partitionBy("_bucket").orderBy("_score", record_id)
+        placed = spread.withColumn("_n", F.row_number().over(inside) - 1)
     return (
-        spread.withColumn("_n", n)
+        placed
         .withColumn("block_id", F.concat_ws("-", "_bucket", F.floor(F.col("_n") / block_size).cast("string")))
         .withColumn("block_row", F.pmod("_n", F.lit(block_size)))
         .drop("_score", "_bucket", "_n")
