@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from peakloom.llm import bpe, decontaminate, pii, quality, sharding, simhash, token_files, topk, toxicity, url_rules
+from peakloom.llm import (
+    bpe, decontaminate, pii, quality, sharding, simhash, token_files, topk, toxicity, url_rules, whitening,
+)
 from peakloom.llm.common import id_remainder
 from peakloom.session import scratch_path
 
@@ -215,3 +217,8 @@ def with_digests(coded: DataFrame, path: str) -> DataFrame:
 def simhash_groups(spark, sf_dir):
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op12_whitening")
+def whitened_embeddings(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
