@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import (
-    bpe, decontaminate, pii, quality, sharding, simhash, token_files, topk, toxicity, url_rules, whitening,
+    bpe, decontaminate, pii, quality, ranked_search, sharding, simhash, token_files, topk, toxicity, url_rules, whitening,
 )
 from peakloom.llm.common import id_remainder
 from peakloom.session import scratch_path
@@ -219,6 +219,40 @@ def simhash_groups(spark, sf_dir):
     return groups.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+SEARCH_SQL = r"""
+WITH item AS (
+  SELECT row_number() OVER () AS row, item_id, w FROM (
+    SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                              '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, text FROM benchmark)),
+asked AS (SELECT row, item_id, term, count(*) AS repeats FROM (SELECT row, item_id, unnest(w) AS term FROM item) GROUP BY ALL),
+doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+totals AS (SELECT count(*) FILTER (len(w) > 0) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM doc),
+held AS (
+  SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(w) AS term FROM doc)
+  WHERE term IN (SELECT term FROM asked) GROUP BY rid, term),
+weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals),
+sums AS (
+  SELECT row, item_id, rid, CAST(sum(repeats * weighed.w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(doc.w) * n_docs) // n_terms)))) AS BIGINT) AS score
+  FROM asked JOIN weighed USING (term) JOIN held USING (term) JOIN doc USING (rid), totals
+  GROUP BY row, item_id, rid),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, doc_id) AS rank
+  FROM sums JOIN (SELECT rid, doc_id FROM doc) USING (rid) WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op11_ranked_search", SEARCH_SQL)
+def benchmark_search(spark, sf_dir):
+    return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 @query("op12_whitening")
 def whitened_embeddings(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
