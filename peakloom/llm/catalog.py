@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from peakloom.llm import (
-    bpe, decontaminate, pii, quality, ranked_search, sharding, simhash, token_files, topk, toxicity, url_rules, whitening,
+    bpe, decontaminate, mixing, pii, quality, ranked_search, sharding, simhash, token_files, topk, toxicity,
+    url_rules, whitening,
 )
 from peakloom.llm.common import id_remainder
 from peakloom.session import scratch_path
@@ -256,3 +257,61 @@ def benchmark_search(spark, sf_dir):
 @query("op12_whitening")
 def whitened_embeddings(spark, sf_dir):
     return whitening.whiten(table(spark, sf_dir, "embeddings"), 16)
+
+
+MIX_SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rid, doc_id, source,
+         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         md5('42:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))) AS place
+  FROM documents),
+src AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM doc GROUP BY source),
+weighed AS (SELECT *, CASE rank % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, 3 * s AS cap FROM src),
+total AS (SELECT CAST(coalesce(sum(s), 0) AS BIGINT) AS t FROM src),
+filled AS (
+  SELECT *, t - coalesce(sum(cap) OVER (ORDER BY cap / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS left_over,
+         sum(w) OVER (ORDER BY cap / w, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_from
+  FROM weighed, total),
+level AS (SELECT left_over, w_from FROM filled WHERE cap * w_from > w * left_over ORDER BY cap / w, rank LIMIT 1),
+aimed AS (
+  SELECT weighed.*, CASE WHEN level.w_from IS NULL OR cap * level.w_from <= w * level.left_over THEN CAST(cap AS DOUBLE)
+                         ELSE CAST(level.left_over AS DOUBLE) * w / CAST(level.w_from AS DOUBLE) END AS target,
+         greatest(32, CAST(ceil(t / 1073741824) AS BIGINT)) AS length
+  FROM weighed CROSS JOIN total LEFT JOIN level ON TRUE),
+cut AS (
+  SELECT *, CASE WHEN s > 0 THEN greatest(1, CAST(floor(s / CAST(length AS DOUBLE) + 0.5) AS BIGINT)) ELSE 0 END AS blocks FROM aimed),
+voting AS (SELECT *, CASE WHEN s > 0 THEN target * blocks / s ELSE 0 END AS votes FROM cut),
+house AS (SELECT (CAST(sum(floor(votes * 1024)) AS BIGINT) + 512) // 1024 AS seats FROM voting),
+bids AS (SELECT rank, votes / (2 * i + 1) AS bid FROM (SELECT rank, votes, unnest(range(0, 3 * blocks)) AS i FROM voting)),
+won AS (
+  SELECT rank, count(*) AS quota FROM (SELECT rank, row_number() OVER (ORDER BY bid DESC, rank) AS n FROM bids), house
+  WHERE n <= seats GROUP BY rank),
+plan AS (
+  SELECT voting.*, coalesce(quota, 0) AS quota, CASE WHEN blocks > 0 THEN 2147483659 % blocks END AS factor,
+         CASE WHEN blocks > 0 THEN CAST('0x' || substr(md5('42:' || rank), 1, 8) AS BIGINT) % blocks END AS shift
+  FROM voting LEFT JOIN won USING (rank)),
+laid AS (
+  SELECT rid, doc_id, size, plan.*, CAST(coalesce(sum(size) OVER (PARTITION BY doc.source ORDER BY place, size, rid
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first
+  FROM doc JOIN plan ON doc.source IS NOT DISTINCT FROM plan.source),
+edges AS (SELECT *, first + size AS past, s // greatest(blocks, 1) AS short, s % greatest(blocks, 1) AS longer FROM laid),
+reach AS (
+  SELECT *, CASE WHEN first < longer * (short + 1) THEN first // (short + 1)
+                 ELSE longer + (first - longer * (short + 1)) // greatest(short, 1) END AS a,
+            CASE WHEN past - 1 < longer * (short + 1) THEN (past - 1) // (short + 1)
+                 ELSE longer + (past - 1 - longer * (short + 1)) // greatest(short, 1) END AS b
+  FROM edges WHERE size > 0),
+pieces AS (SELECT *, (block * factor + shift) % blocks AS spot FROM (SELECT *, unnest(range(a, b + 1)) AS block FROM reach)),
+summed AS (
+  SELECT rid, sum(CASE WHEN quota > spot THEN (quota - spot + blocks - 1) // blocks ELSE 0 END
+                  * (least(past, (block + 1) * short + least(block + 1, longer)) - greatest(first, block * short + least(block, longer)))) AS taken
+  FROM pieces GROUP BY rid)
+SELECT doc_id, size, s AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
+FROM laid LEFT JOIN summed USING (rid)
+"""
+
+
+@query("op13_source_mixture", MIX_SQL)
+def weighted_mixture(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("by_shard")
