@@ -10,6 +10,7 @@ since rescanning would take quadratic time there.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 import unicodedata
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from peakloom.llm.common import TOGETHER, WordCache, encode_runs, list_array, texts_of
 
 LONG = 400
+#: Texts that are cut, encoded and digested together; few, since their decoded text is held as well.
+FEW = 256
 NO_RANK = 1 << 30
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -64,8 +67,9 @@ class WordBpe:
         marks = sorted(self.special, key=len, reverse=True)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
         self.names = pa.array([self.tokens.get(i) for i in range(max(self.tokens) + 1)], type=pa.string())
+        self.numbers = pa.array([str(i) for i in range(len(self.names))], type=pa.string())
         self.words = WordCache(self._word, 50_000)
-        self.runs = WordCache(self._run)
+        self.runs = WordCache(self._run, 120_000)
 
     def merge(self, word: bytes) -> list[int]:
         """IDs of one word."""
@@ -161,7 +165,10 @@ def loaded(path: str) -> WordBpe:
 
 
 def bpe_encode(text: Column, path: str) -> Column:
-    """IDs of each whole text as array<int>; empty for a null or empty text."""
+    """IDs of each whole text as array<int>; empty for a null or empty text.
+
+    Equal texts give equal lists; a text of any length is encoded whole.
+    """
     @F.arrow_udf("array<int>")
     def encode(column: pa.Array) -> pa.Array:
         coder, lists = loaded(path), []
@@ -173,6 +180,36 @@ def bpe_encode(text: Column, path: str) -> Column:
     return encode(text)
 
 
+def _digests(texts: pa.Array) -> pa.Array:
+    return pa.array([hashlib.sha256(t).hexdigest() for t in texts.cast(pa.binary()).to_pylist()], type=pa.string())
+
+
+def bpe_coded(text: Column, path: str, keep_ids: bool = True) -> Column:
+    """`ids` (if kept), `n_tokens`, `ids_sha256` and `decoded_sha256` of each whole text, which is encoded once.
+
+    The digests are those of the decimal IDs joined by one space and of the
+    text that they decode to. A null text counts as the empty one, whose digests
+    are those of the empty string. Equal texts give equal rows; a text of any
+    length is encoded whole, in batches of FEW texts.
+    """
+    fields = ["ids array<int>"] * keep_ids + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"]
+
+    @F.arrow_udf(", ".join(fields))
+    def coded(column: pa.Array) -> pa.Array:
+        coder, parts = loaded(path), []
+        for begin in range(0, max(1, len(column)), FEW):
+            lists = coder.encode_all(texts_of(column.slice(begin, FEW)))
+            flat, sizes = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32), [len(x) for x in lists]
+            numbers = pc.binary_join(list_array(coder.numbers.take(pa.array(flat)), sizes), " ")
+            ids = list_array(flat, sizes)
+            columns = [ids] * keep_ids + [pa.array(sizes, pa.int64()), _digests(numbers), _digests(coder.decode_all(ids))]
+            parts.append(pa.StructArray.from_arrays(columns, [f.split(" ")[0] for f in fields]))
+        pa.default_memory_pool().release_unused()  # workers live on between tasks and stages
+        return pa.concat_arrays(parts)
+
+    return coded(text)
+
+
 def bpe_decode(ids: Column, path: str) -> Column:
     """Text of each ID list; a null list is the empty text, null IDs are skipped."""
     @F.arrow_udf("string")

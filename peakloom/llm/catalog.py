@@ -193,25 +193,21 @@ def quality_scores(spark, sf_dir):
     model = quality.train_quality(docs, table(spark, sf_dir, "labels"), ~held_out)
     scored = docs.select("doc_id", quality.quality_score(F.col("text"), model).alias("score"))
     return scored.select(
-        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= model.at_cut).cast("int").alias("predicted")
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
     )
 
 
 @query("op9_word_bpe")
 def word_bpe(spark, sf_dir):
-    path = public_tokenizers.path("word_bpe_49k.json")
-    coded = table(spark, sf_dir, "documents").select("doc_id", bpe.bpe_encode(F.col("text"), path).alias("ids"))
-    return with_digests(coded, path).drop("ids")
-
-
-def with_digests(coded: DataFrame, path: str) -> DataFrame:
-    """Add the digests of `ids` and of the text that they decode to."""
-    decoded = coded.withColumn("_decoded", bpe.bpe_decode(F.col("ids"), path))
-    return decoded.withColumns({
-        "n_tokens": F.size("ids").cast("long"),
-        "ids_sha256": F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256),
-        "decoded_sha256": F.sha2(F.col("_decoded").cast("binary"), 256),
-    }).drop("_decoded")
+    return with_digests(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"), False)
+
+
+def with_digests(docs: DataFrame, path: str, keep_ids: bool = True) -> DataFrame:
+    """`text` replaced by its token IDs (if kept), their number, and the digests of the IDs and of what they decode to."""
+    found = ["ids"] * keep_ids + ["n_tokens", "ids_sha256", "decoded_sha256"]
+    kept = [c for c in docs.columns if c != "text"]
+    coded = docs.select(*kept, bpe.bpe_coded(F.col("text"), path, keep_ids).alias("_coded"))
+    return coded.select(*kept, *[f"_coded.{c}" for c in found])
 
 
 @query("op10_simhash")
