@@ -9,7 +9,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from peakloom.session import scratch_path
@@ -31,32 +31,40 @@ def id_remainder(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+#: Bytes of text that a labelled sample may have.
+SAMPLE_BYTES = 64 << 20
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, trainable: Column, per_class: int, max_chars: int
+    docs: DataFrame, labels: DataFrame, label: str, trainable: Column, per_class: int, max_bytes: int = SAMPLE_BYTES
 ) -> tuple[list[str], np.ndarray, float]:
     """Texts and labels of a bounded sample, and the share of label 1 among all trainable labels.
 
-    At most `per_class` documents of each class, chosen by a hash of doc_id;
-    null texts and texts longer than `max_chars` are not taken. The chosen
-    IDs (at most twice `per_class`) are broadcast, so documents do not move.
+    Of each class at most `per_class` labelled IDs that have a text are chosen
+    by a hash of doc_id. Their texts are taken whole, long ones too, in the
+    order of that hash while they have at most `max_bytes` together; the first
+    of each class is taken in any case. The chosen IDs (at most twice
+    `per_class`) are broadcast, so documents do not move.
     """
     known = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & trainable).select(
         "doc_id", F.col(label).cast("int").alias("label")
     )
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
+    written = docs.filter(F.col("text").isNotNull())
+    usable = known.join(written.select("doc_id"), "doc_id", "left_semi")
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = [known.filter(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
+    chosen = [usable.filter(F.col("label") == c).orderBy(*order).limit(per_class) for c in (0, 1)]
     rows = (
-        docs.select("doc_id", "text")
-        .filter(F.length("text") <= max_chars)
-        .join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
-        .orderBy(*order, "label", "text")
-        .limit(2 * per_class)
-        .select("text", "label")
-        .collect()
+        written.select("doc_id", "text").join(F.broadcast(chosen[0].unionAll(chosen[1])), "doc_id")
+        .orderBy(*order, "label", "text").limit(2 * per_class)
     )
+    before = Window.orderBy(*order, "label", "text").rowsBetween(Window.unboundedPreceding, 0)
+    of_class = Window.partitionBy("label").orderBy(*order, "text")
+    sized = rows.withColumn("total", F.sum(F.octet_length("text")).over(before)).withColumn("place", F.row_number().over(of_class))
+    sample = sized.filter((F.col("total") <= max_bytes) | (F.col("place") == 1)).orderBy(*order, "label", "text")
+    found = sample.select("text", "label").collect()
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    return [r["text"] for r in rows], np.array([r["label"] for r in rows], dtype=np.int64), share
+    return [r["text"] for r in found], np.array([r["label"] for r in found], dtype=np.int64), share
 
 
 def category_ranges(category: str) -> str:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import labelled_sample, sigmoid, staged, texts_of
+from peakloom.llm.common import SAMPLE_BYTES, labelled_sample, sigmoid, staged, texts_of
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
 STOPS = re.compile(r"[.?](?:\s|$)")
@@ -33,7 +33,11 @@ FEATURES = (
 
 @dataclass(frozen=True)
 class QualityModel:
-    """Weights per statistic; `cut` is the score quantile that separates rejects."""
+    """Weights per statistic; `cut` is the score quantile that separates rejects.
+
+    Scores at or above `at_cut` are kept. A model without weights gives every
+    text the score `constant`, which is not below it.
+    """
 
     mean: np.ndarray
     scale: np.ndarray
@@ -41,6 +45,7 @@ class QualityModel:
     cut: float
     slope: float
     at_cut: float
+    constant: float
 
     def raw(self, features: np.ndarray) -> np.ndarray:
         """Weighted sum per row, added in one order so that a text has one value in every batch."""
@@ -52,7 +57,7 @@ class QualityModel:
     def score(self, features: np.ndarray) -> np.ndarray:
         """At or above `at_cut` exactly where the weighted sum is at or above `cut`, whatever rounding gives."""
         if not self.weights.any():
-            return np.full(len(features), self.at_cut)
+            return np.full(len(features), self.constant)
         raw = self.raw(features)
         found = sigmoid((raw - self.cut) * self.slope + math.log(self.at_cut / (1 - self.at_cut)))
         return np.where(raw >= self.cut, np.maximum(found, self.at_cut), np.minimum(found, np.nextafter(self.at_cut, 0)))
@@ -108,14 +113,15 @@ def fit_quality(
 
     `share` is the share of good labels outside the balanced sample; the cut
     is the quantile of the reweighted scores that leaves this share above.
-    With one class only, or no rows, every text gets one constant score, which
-    is also the cut: such a model rejects nothing.
+    With one class only, or no rows, every text gets one constant score, the
+    smoothed share of good labels but not less than `at_cut`: such a model
+    rejects nothing.
     """
     width = len(FEATURES)
     good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
     if not len(good) or not len(bad):
         base = (len(good) + 1) / (len(good) + len(bad) + 2)
-        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, base)
+        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), 0.0, 1.0, at_cut, max(base, at_cut))
     x = np.array([statistics(t) for t in texts])
     mean, scale = x.mean(axis=0), x.std(axis=0)
     scale[scale < 1e-9] = 1.0
@@ -138,14 +144,17 @@ def fit_quality(
     at = min(int(np.searchsorted(below, 1 - share - 1e-9)), len(raw) - 2)
     cut = float((raw[order[at]] + raw[order[at + 1]]) / 2)
     spread = float(np.median(np.abs(raw - cut)))
-    return QualityModel(mean, scale, w, cut, 4.0 / max(spread, 1e-9), at_cut)
+    return QualityModel(mean, scale, w, cut, 4.0 / max(spread, 1e-9), at_cut, at_cut)
 
 
 def train_quality(
-    docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = 2000, max_chars: int = 20_000, **options
+    docs: DataFrame, labels: DataFrame, trainable: Column, per_class: int = 2000, max_bytes: int = SAMPLE_BYTES, **options
 ) -> QualityModel:
-    """Fit on at most `per_class` labelled documents of each class, chosen by hash; the cut is taken from all rows of `docs`."""
-    texts, y, share = labelled_sample(docs, labels, "quality", trainable, per_class, max_chars)
+    """Fit on at most `per_class` labelled documents of each class and `max_bytes` of text, chosen by hash.
+
+    The cut is taken from all rows of `docs`.
+    """
+    texts, y, share = labelled_sample(docs, labels, "quality", trainable, per_class, max_bytes)
     model = fit_quality(texts, y, share, **options)
     return replace(model, cut=quantile_cut(docs, model, share)) if model.weights.any() else model
 

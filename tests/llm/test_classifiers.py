@@ -1,5 +1,6 @@
 """Toxicity and quality: fits, calibration, counterfactual swaps and odd rows."""
 
+import math
 import random
 
 import numpy as np
@@ -83,12 +84,49 @@ def test_sample_is_bounded_and_skips_held_out(spark):
                                  "doc_id long, text string, label int")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(None, 1), (5, None)], "doc_id long, toxic int")
     trainable = id_remainder(F.col("doc_id"), 4) != 2
-    texts, y, share = labelled_sample(docs, labels, "toxic", trainable, 5, 100)
+    texts, y, share = labelled_sample(docs, labels, "toxic", trainable, 5)
     assert len(texts) == 10 and sorted(y) == [0] * 5 + [1] * 5 and 0 < share < 1
     held = {r[0] for r in docs.filter(id_remainder(F.col("doc_id"), 4) == 2).select("text").collect()}
     assert not held & set(texts)
 
 
+def test_sample_takes_long_texts_whole_and_stays_under_its_bytes(spark):
+    docs = spark.createDataFrame([(i, f"{i} " + "long " * 8000) for i in range(20)] + [(20, None), (21, "short")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 10)) for i in range(22)] + [(99, 0)], "doc_id long, toxic int")
+    texts, y, _ = labelled_sample(docs, labels, "toxic", F.lit(True), 100)
+    assert len(texts) == 21 and max(map(len, texts)) > 20_000
+    few, y, _ = labelled_sample(docs, labels, "toxic", F.lit(True), 100, max_bytes=200_000)
+    assert 4 <= len(few) <= 6 and {0, 1} == set(y) and set(few) <= set(texts)
+    one, y, _ = labelled_sample(docs, labels, "toxic", F.lit(True), 100, max_bytes=1)
+    assert sorted(y) == [0, 1]
+    # null texts and labels without a document leave their class's places to others
+    assert sorted(labelled_sample(docs, labels, "toxic", F.col("doc_id") >= 20, 1)[1]) == [1]
+
+
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_scores_of_a_table_from_the_fitted_model(spark, module):
+    """Every row again in plain Python from the model's weights."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    train = toxicity.train_toxicity if module is toxicity else quality.train_quality
+    model = train(docs, labels, id_remainder(F.col("doc_id"), 4) != 2)
+    for r in module.classify(docs.select("doc_id", "text"), model).collect():
+        if module is toxicity:
+            z = model.bias + sum(w for m, w in model.weights.items() if m in toxicity.marks(r.text or ""))
+        else:
+            x = quality.statistics(r.text or "")
+            raw = sum((v - m) / s * w for v, m, s, w in zip(x, model.mean, model.scale, model.weights))
+            z = (raw - model.cut) * model.slope + math.log(0.3 / 0.7)
+        score = 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
+        assert abs(r.score - score) < 1e-9 and r.predicted == int(r.score >= 0.3)
+
+
+def test_fold_losses_prefer_options_that_generalise():
+    texts, labels = made(n=240)
+    good, bad = toxicity.fold_losses(texts, labels, [{"steps": 60}, {"steps": 60, "l2": 1e4}])
+    assert good < bad
+
+
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_odd_rows_keep_their_place(spark, module):
     texts, labels = made(n=80)
