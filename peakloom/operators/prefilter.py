@@ -46,25 +46,29 @@ def _is_set(bitmap: Column, position: Column) -> Column:
     return F.coalesce(F.call_function("shiftright", byte, (at % 8).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
 
 
-def may_match(large: DataFrame, keys: DataFrame, columns: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Rows of `large` whose key may be among the distinct `keys`; all rows if the bitmap would be too large.
+def flagged(large: DataFrame, keys: DataFrame, columns: list[str], name: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Add the boolean column `name`: whether a row's key may be among the distinct `keys`; all true if the bitmap would be too large.
 
     `keys` is counted and read once for the bitmap, so it should be a written
-    table. Rows with a null key column count like any other value. The columns
-    of `large` come back unchanged.
+    table. A null in a key column counts like any other value.
     """
     bits = bitmap_bits(keys.count(), max_bytes)
     if bits is None:
-        return large
+        return large.withColumn(name, F.lit(True))
     pieces = key_bitmap(keys, columns, bits)
-    rows = large
+    rows, every = large, F.lit(True)
     for i, seed in enumerate(SEEDS):
-        position = _position([F.col(c) for c in columns], seed, bits)
-        piece = pieces.select(F.col("piece").alias(f"__piece{i}"), F.col("bitmap").alias(f"__bitmap{i}"))
-        rows = rows.withColumn(f"__at{i}", position)
-        rows = rows.join(F.broadcast(piece), F.expr(f"__at{i} div {PIECE}") == F.col(f"__piece{i}"), "left_outer")
-        rows = rows.filter(_is_set(F.col(f"__bitmap{i}"), F.col(f"__at{i}"))).drop(f"__at{i}", f"__piece{i}", f"__bitmap{i}")
-    return rows
+        at, piece, bitmap = (f"{name}_{part}{i}" for part in ("at", "piece", "bitmap"))
+        rows = rows.withColumn(at, _position([F.col(c) for c in columns], seed, bits))
+        found = pieces.select(F.col("piece").alias(piece), F.col("bitmap").alias(bitmap))
+        rows = rows.join(F.broadcast(found), F.call_function("div", F.col(at), F.lit(PIECE)) == F.col(piece), "left_outer")
+        every = every & _is_set(F.col(bitmap), F.col(at))
+    return rows.select(*[large[c] for c in large.columns], every.alias(name))
+
+
+def may_match(large: DataFrame, keys: DataFrame, columns: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Rows of `large` whose key may be among the distinct `keys`, with the columns as they were."""
+    return flagged(large, keys, columns, "__may_match", max_bytes).filter("__may_match").drop("__may_match")
 
 
 def keep_matching(large: DataFrame, keys: DataFrame, columns: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:

@@ -106,7 +106,7 @@ def stratified_quota(
     """
     total = molecules.agg(F.sum("records")).scalar() if total_records is None else F.lit(total_records)
     ranked = position_by_score(
-        molecules, seeded_score(F.col(key), seed), [F.col(key)], by=("stratum",), digits=2
+        molecules, seeded_score(F.col(key), seed), [F.col(key)], by=("stratum",)
     )
     n = F.col("group_size").cast("double")
     split, upper = None, F.lit(0).cast("bigint")
@@ -123,7 +123,7 @@ def grouped_holdout(rows: DataFrame, key: str, fraction: float, seed: int, label
     keys = rows.groupBy(key).agg(
         *([F.concat_ws("-", F.min(label).cast("string"), F.max(label).cast("string")).alias("_class")] if by else [F.count("*").alias("_n")])
     )
-    ranked = position_by_score(keys, seeded_score(F.col(key).cast("string"), seed), [F.col(key)], by=by, digits=2)
+    ranked = position_by_score(keys, seeded_score(F.col(key).cast("string"), seed), [F.col(key)], by=by)
     n = F.col("group_size")
     held = F.greatest(F.bround(n.cast("double") * F.lit(fraction), 0).cast("bigint"), F.lit(1))
     return ranked.select(
@@ -182,7 +182,7 @@ def mix_sources(records: DataFrame, weights: dict[str, float], size: int, seed:
     whole_cycles = repeated.filter(F.col("copy_no") <= full)
     order = R.digest(seed, "mix", F.col(source), F.col("record_id"))
     last_cycle = position_by_score(
-        repeated.filter(F.col("copy_no") > full), order, [F.col("record_id")], by=(source,), digits=2,
+        repeated.filter(F.col("copy_no") > full), order, [F.col("record_id")], by=(source,),
         at_most=F.col("_quota") - full * F.col("_n"),
     )
     columns = [*records.columns, "copy_no"]
