@@ -8,10 +8,12 @@ from pyspark.sql import types as T
 from peakloom.operators import hooks as H
 from peakloom.operators.conform import conform_shifts
 from peakloom.operators.dialects import dialect_issues
-from peakloom.operators.probe import run_probe
+from peakloom.operators.folds import fold_shares, group_folds
+from peakloom.operators.probe import fold_moments, prepared, run_probe
 from peakloom.plans.features import TOK_OK
 from peakloom.plans.registry import query
 from peakloom.plans.sql import DOCS
+from peakloom.plans.sql import group_folds as group_folds_sql
 from peakloom.plans.views import cache, doc_records, spectra, table
 
 
@@ -83,3 +85,37 @@ def logistic_probe(spark, sf_dir):
     rows = _probe_rows(spark, sf_dir)
     return run_probe(rows.filter("vec_id % 4 <> 0"), rows.filter("vec_id % 4 = 0"), y="positive", group="molecule",
                      task="classification")
+
+
+FOLD_GROUPS = """select 'm' || (vec_id // 2) as key, count(*) filter (where not coalesce(label < 5, false)) as v0,
+  count(*) filter (where coalesce(label < 5, false)) as v1 from embeddings group by 1"""
+
+
+@query("stratified_group_folds", group_folds_sql(FOLD_GROUPS, 5, 42) + "select key, fold from folds")
+def stratified_group_folds(spark, sf_dir):
+    return group_folds(_probe_rows(spark, sf_dir).withColumnRenamed("molecule", "key"), "key", 5, 42, "positive")
+
+
+GRAM_GROUPS = "select 'm' || (vec_id // 2) as key, 0::bigint as v0, count(*) as v1 from embeddings group by 1"
+
+
+@query("probe_gram_sums", group_folds_sql(GRAM_GROUPS, 5, 42) + """,
+z as (
+  select vec_id, fold, list_concat([1e0], [cast(x as double) for x in embedding], [cast(label as double)]) as z
+  from embeddings join folds on key = 'm' || (vec_id // 2)),
+cells as (select fold, z, i, unnest(range(i, len(z))) as j from (select fold, z, unnest(range(0, len(z))) as i from z))
+select fold, cast(i as integer) as i, cast(j as integer) as j, round(sum(z[i + 1] * z[j + 1]), 6) as total from cells group by all""")
+def probe_gram_sums(spark, sf_dir):
+    """Sums of products per fold, from which the ridge search fits and scores every model."""
+    rows = _probe_rows(spark, sf_dir)
+    width = len(rows.select("embedding").first()["embedding"])
+    sums = fold_moments(prepared(rows, "label", "molecule", group_folds(rows, "molecule", 5, 42)), width)
+    return sums.withColumn("total", F.round("total", 6))
+
+
+@query("probe_fold_shares", group_folds_sql(FOLD_GROUPS, 5, 42) + """
+select fold, case when label < 5 then 1 else 0 end as positive, count(*) as rows, count(distinct key) as groups
+from embeddings join folds on key = 'm' || (vec_id // 2) group by 1, 2""")
+def probe_fold_shares(spark, sf_dir):
+    rows = _probe_rows(spark, sf_dir)
+    return fold_shares(rows, group_folds(rows, "molecule", 5, 42, "positive"), "molecule", "positive")

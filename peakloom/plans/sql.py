@@ -82,6 +82,45 @@ CACHE = """
 with cache as (select 'v-' || vec_id as record_id, vec_id, embedding, label from embeddings)
 """
 
+def group_folds(groups: str, folds: int, seed: int) -> str:
+    """Views that end in `folds (key, fold)`, from `groups (key, v0, v1)`: rows of each of two classes per group.
+
+    The text begins a recursive list of views.
+    """
+    each = f"range(0, {folds})"
+    return f"""
+with recursive groups as ({groups}),
+ranked as (
+  select *, row_number() over (partition by v0, v1 order by substr(sha256('{seed}' || chr(0) || key), 1, 16), key) as position,
+    count(*) over (partition by v0, v1) as m
+  from groups),
+strata as (select v0, v1, count(*) as m from groups group by all),
+totals as (
+  select sum(v0 * m)::hugeint as t0, sum(v1 * m)::hugeint as t1, coalesce(sum(v0 * (m // {folds})), 0)::hugeint as d0,
+    coalesce(sum(v1 * (m // {folds})), 0)::hugeint as d1 from strata),
+rests as (
+  select v0, v1, rest, row_number() over (order by v0 + v1 desc, v0 desc, v1 desc, rest) as n
+  from (select v0, v1, unnest(range(0, m % {folds})) as rest from strata)),
+dealt as (
+  select 0::bigint as n, list_transform({each}, f -> d0) as a, list_transform({each}, f -> d1) as b, 0::bigint as v0, 0::bigint as v1,
+    0::bigint as rest, -1::bigint as fold
+  from totals
+  union all
+  select n, list_transform({each}, f -> a[f + 1] + case when f = fold then v0 else 0 end),
+    list_transform({each}, f -> b[f + 1] + case when f = fold then v1 else 0 end), v0, v1, rest, fold
+  from (
+    select r.n, d.a, d.b, r.v0, r.v1, r.rest, best.f as fold
+    from dealt d join rests r on r.n = d.n + 1, lateral (
+      select f from (select unnest({each}) as f), totals
+      order by r.v0 * (t0 - {folds} * d.a[f + 1]) * greatest(t1, 1) + r.v1 * (t1 - {folds} * d.b[f + 1]) * greatest(t0, 1) desc,
+        d.a[f + 1] + d.b[f + 1], f limit 1) best)),
+folds as (
+  select key, cast(case when position <= m - m % {folds} then (position - 1) % {folds} else fold end as integer) as fold
+  from ranked left join (select v0, v1, rest, fold from dealt where n > 0) d
+    on d.v0 = ranked.v0 and d.v1 = ranked.v1 and d.rest = position - 1 - (m - m % {folds}))
+"""
+
+
 LONG_METRICS = """
 with lm as (
   select l_returnflag as representation, l_linestatus as probe, l_linenumber as seed,
