@@ -30,6 +30,13 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"could not publish {target}")
 
 
+def delete(spark: SparkSession, uri: str) -> None:
+    """Remove a file or folder, if there is one."""
+    fs, path = _path(spark, uri)
+    if fs.exists(path):
+        fs.delete(path, True)
+
+
 def make_parent(spark: SparkSession, uri: str) -> None:
     fs, path = _path(spark, uri)
     fs.mkdirs(path.getParent())

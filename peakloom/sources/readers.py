@@ -11,18 +11,19 @@ from peakloom.operators.overlap import union_all
 from peakloom.operators.validate import first_invalid_property
 from peakloom.schema import CANONICAL, SCHEMA_VERSION, same_shape
 from peakloom.sources import manifest as M
+from peakloom.sources.publish import manifest_of, resolve
 
 ROW_ORDER = ["input_file", "row_index"]
 
 
 def read_canonical(spark: SparkSession, path: str, toolkit_version: bool = False) -> DataFrame:
     """A canonical table; refuses another schema, version or missing toolkit version."""
-    entries = M.read_manifest(spark, path)
+    entries = manifest_of(spark, path)
     if entries.get("canonical_schema_version") != SCHEMA_VERSION:
         raise ValueError(f"{path} is not a version {SCHEMA_VERSION} table")
     if toolkit_version and not entries.get("toolkit_version"):
         raise ValueError(f"{path} does not name its toolkit version")
-    found = spark.read.parquet(path)
+    found = spark.read.parquet(resolve(spark, path))
     if not same_shape(found.schema, CANONICAL):
         raise ValueError(f"{path} does not have the canonical schema")
     return found
@@ -32,7 +33,7 @@ def read_compatible(spark: SparkSession, paths: list[str]) -> list[DataFrame]:
     """Several canonical tables that were made by one toolkit version."""
     if not paths:
         raise ValueError("no input tables")
-    versions = {M.read_manifest(spark, p).get("toolkit_version") for p in paths}
+    versions = {manifest_of(spark, p).get("toolkit_version") for p in paths}
     if len(versions) != 1:
         raise ValueError(f"the inputs come from different toolkit versions: {sorted(map(str, versions))}")
     return [read_canonical(spark, p, toolkit_version=True) for p in paths]
@@ -48,7 +49,7 @@ def read_records(spark: SparkSession, paths: list[str], ordered: bool = False) -
     """Records of one or more Parquet tables, reduced to the known fields."""
     parts = []
     for path in paths:
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(resolve(spark, path))
         if "record_id" not in df.columns:
             raise ValueError(f"{path} has no record_id")
         known = [f.name for f in CANONICAL.fields if f.name in df.columns]
@@ -189,8 +190,8 @@ def require_unique(df: DataFrame, column: str, what: str) -> None:
 
 def read_embeddings(spark: SparkSession, path: str, ids_only: bool = False) -> tuple[DataFrame, dict]:
     """An embedding cache and its metadata; record IDs must be unique."""
-    metadata = M.read_manifest(spark, path)
-    df = spark.read.parquet(path).select("record_id", *([] if ids_only else ["embedding"]))
+    metadata = manifest_of(spark, path)
+    df = spark.read.parquet(resolve(spark, path)).select("record_id", *([] if ids_only else ["embedding"]))
     require_unique(df, "record_id", path)
     return df, metadata
 

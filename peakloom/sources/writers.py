@@ -1,7 +1,8 @@
 """Writers: canonical tables, filtered copies, cohorts, analytics and audits.
 
-Every table is written to a staging folder and published by rename after its
-row counts agree; a failing stage publishes nothing.
+Every table is written to a staging folder and published after its row counts
+agree; a failing stage publishes nothing. Outputs that belong together are
+published together (`sources/publish.py`), each with its manifest.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ from peakloom.operators.clean import CleaningPolicy, audit, failed_reasons, reas
 from peakloom.schema import CANONICAL, SCHEMA_VERSION
 from peakloom.session import cut_lineage
 from peakloom.sources import manifest as M
+from peakloom.sources.publish import Move, publish, recover
 
 
 def _stage(df: DataFrame, target: str, overwrite: bool, rows_per_file: int | None, partition_by=()) -> str:
     spark = df.sparkSession
-    if M.exists(spark, target) and not overwrite:
-        raise FileExistsError(target)
+    _ready(spark, target, overwrite)
     staging = target.rstrip("/") + ".staging"
     writer = df.write.mode("overwrite").option("compression", "zstd")
     if rows_per_file:
@@ -31,11 +32,11 @@ def _stage(df: DataFrame, target: str, overwrite: bool, rows_per_file: int | Non
     return staging
 
 
-def _publish(spark: SparkSession, staging: str, target: str) -> None:
-    fs, path = M._path(spark, target)
-    if fs.exists(path):
-        fs.delete(path, True)
-    M.rename(spark, staging, target)
+def _ready(spark: SparkSession, target: str, overwrite: bool) -> None:
+    """Finish what an earlier writer of the target left undone, and refuse to replace it unasked."""
+    recover(spark, target)
+    if M.exists(spark, target) and not overwrite:
+        raise FileExistsError(target)
 
 
 def _rows(spark: SparkSession, path: str) -> int:
@@ -48,11 +49,10 @@ def write_canonical(df: DataFrame, target: str, source: str, converter: str, too
     spark = df.sparkSession
     staging = _stage(df.to(CANONICAL), target, overwrite, rows_per_file)
     n = _rows(spark, staging)
-    _publish(spark, staging, target)
-    M.write_manifest(spark, target, {
+    publish(spark, [Move(staging, target, {
         "canonical_schema_version": SCHEMA_VERSION, "source_dataset": source,
         "converter": converter, "toolkit_version": toolkit_version, "rows": n,
-    }, overwrite=True)
+    })])
     return n
 
 
@@ -63,8 +63,7 @@ def write_filtered(df: DataFrame, ids: DataFrame, target: str, keep: bool, step:
     kept = df.join(ids.select("record_id").distinct(), "record_id", "left_semi" if keep else "left_anti")
     staging = _stage(kept.select(*df.columns), target, overwrite, None)
     n = _rows(spark, staging)
-    _publish(spark, staging, target)
-    M.write_manifest(spark, target, M.extended(earlier or {}, step, inputs, {"output_records": n}), overwrite=True)
+    publish(spark, [Move(staging, target, M.extended(earlier or {}, step, inputs, {"output_records": n}))])
     return n
 
 
@@ -95,10 +94,8 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
     if counts["input_records"] != counts["output_records"] + counts["removed_records"]:
         raise RuntimeError(f"the row counts do not add up: {counts}")
     reasons = {r["reason"]: r["records"] for r in reason_counts(removals).collect()}
-    for staging, target in ((removed_staging, removed), (cleaned_staging, cleaned)):
-        _publish(spark, staging, target)
-        M.write_manifest(spark, target, M.extended(
-            earlier or {}, "clean", inputs, counts, reasons=reasons), overwrite=True)
+    lineage = M.extended(earlier or {}, "clean", inputs, counts, reasons=reasons)
+    publish(spark, [Move(removed_staging, removed, lineage), Move(cleaned_staging, cleaned, lineage)])
     return {**counts, "reasons": reasons}
 
 
@@ -109,8 +106,7 @@ def write_cohorts(expanded: DataFrame, records: DataFrame, labels_target: str, r
     parts = ["endpoint", "split"]
     labelled = records.join(expanded.select("record_id", *parts), "record_id")
     staging = _stage(labelled, records_target, overwrite, None, parts)
-    if M.exists(spark, labels_target) and not overwrite:
-        raise FileExistsError(labels_target)
+    _ready(spark, labels_target, overwrite)
     label_staging = labels_target.rstrip("/") + ".staging"
     expanded.write.mode("overwrite").partitionBy(*parts).csv(label_staging, header=True)
     found = {k: spark.read.format(f).options(header="true").load(p).groupBy(*parts).count()
@@ -119,8 +115,7 @@ def write_cohorts(expanded: DataFrame, records: DataFrame, labels_target: str, r
         found["labels"].withColumnRenamed("count", "b"), parts, "full_outer").filter("not (a <=> b)")
     if unequal.limit(1).count():
         raise RuntimeError("label and record counts differ in a cohort")
-    _publish(spark, staging, records_target)
-    _publish(spark, label_staging, labels_target)
+    publish(spark, [Move(staging, records_target), Move(label_staging, labels_target)])
     return _rows(spark, records_target)
 
 
@@ -137,8 +132,7 @@ def write_aligned_splits(records: DataFrame, sidecar: DataFrame, assignment: Dat
         counts[goal] = {r["split"]: r["count"] for r in rows}
     if counts[target] != counts[sidecar_target]:
         raise RuntimeError(f"records and side table differ after the split: {counts}")
-    for staging, goal in staged:
-        _publish(spark, staging, goal)
+    publish(spark, [Move(staging, goal) for staging, goal in staged])
     return counts[target]
 
 
@@ -174,9 +168,8 @@ def write_embeddings(embedded: DataFrame, target: str, dimension: int, metadata:
     staging = _stage(checked.select("record_id", F.col("embedding").cast("array<float>").alias("embedding")),
                      target, overwrite, None)
     n = _rows(spark, staging)
-    _publish(spark, staging, target)
-    M.write_manifest(spark, target, {
-        **metadata, "dimension": dimension, "accepted_records": n, "rejected_records": rejected}, overwrite=True)
+    publish(spark, [Move(staging, target, {
+        **metadata, "dimension": dimension, "accepted_records": n, "rejected_records": rejected})])
     return n
 
 
