@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from peakloom.functions import peaks as P
 from peakloom.functions.binding import exploded
 from peakloom.operators.overlap import union_all
+from peakloom.operators.quantiles import exact_quantiles
 from peakloom.schema import C_RAW_AUDIT_RANGE, H_CLEAN_RANGE, MAX_PEAKS
 
 MISSING_LABEL = "<missing>"
@@ -204,13 +205,13 @@ def first_rows(df: DataFrame, columns: list[str], n: int, order: list[str]) -> D
 
 
 def plot_ranges(sample: DataFrame, by: str, value: str, whiskers: float = 2.5) -> DataFrame:
-    """Values of a bounded sample near the joint quartiles, counted per group.
+    """Values near the joint quartiles, counted per group.
 
-    The range reaches `whiskers` interquartile ranges beyond the quartiles. The
-    exact percentile is meant for samples of a fixed number of rows per group.
+    The range reaches `whiskers` interquartile ranges beyond the quartiles,
+    which are exact for tables of any size.
     """
-    quartiles = sample.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    low, high = F.col("q")[0], F.col("q")[1]
+    quartiles = exact_quantiles(sample, value, [0.25, 0.75])
+    low, high = F.col("quantiles")[0], F.col("quantiles")[1]
     reach = F.lit(float(whiskers)) * (high - low)
     bounds = quartiles.select(F.struct((low - reach).alias("lower"), (high + reach).alias("upper")))
     bounded = sample.withColumn("_q", bounds.scalar())

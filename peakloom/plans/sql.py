@@ -102,12 +102,12 @@ rests as (
   select v0, v1, rest, row_number() over (order by v0 + v1 desc, v0 desc, v1 desc, rest) as n
   from (select v0, v1, unnest(range(0, m % {folds})) as rest from strata)),
 dealt as (
-  select 0::bigint as n, list_transform({each}, f -> d0) as a, list_transform({each}, f -> d1) as b, 0::bigint as v0, 0::bigint as v1,
+  select 0::bigint as n, [d0 for f in {each}] as a, [d1 for f in {each}] as b, 0::bigint as v0, 0::bigint as v1,
     0::bigint as rest, -1::bigint as fold
   from totals
   union all
-  select n, list_transform({each}, f -> a[f + 1] + case when f = fold then v0 else 0 end),
-    list_transform({each}, f -> b[f + 1] + case when f = fold then v1 else 0 end), v0, v1, rest, fold
+  select n, [a[f + 1] + case when f = fold then v0 else 0 end for f in {each}],
+    [b[f + 1] + case when f = fold then v1 else 0 end for f in {each}], v0, v1, rest, fold
   from (
     select r.n, d.a, d.b, r.v0, r.v1, r.rest, best.f as fold
     from dealt d join rests r on r.n = d.n + 1, lateral (
