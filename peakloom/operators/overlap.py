@@ -3,6 +3,8 @@
 Matching is exact equality of a key column. Key lists are made distinct before
 they meet the large side, so the large side is the only one that can be skewed;
 its join is a left semi or anti join, which adaptive execution splits at hot keys.
+Where one side is far smaller, `near_keys` takes the rows of the large side that
+cannot match out of it first, so that only matches and few others are shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from peakloom.functions.text import connectivity_key
+from peakloom.operators.prefilter import may_match
+from peakloom.session import cut_lineage
 
 
 def _some_key(df: DataFrame, key: str) -> DataFrame:
@@ -29,6 +33,12 @@ def first_listed(comparisons: list[DataFrame], key: str) -> DataFrame:
     return union_all(tagged).groupBy(key).agg(F.min("first_table").alias("first_table"))
 
 
+def near_keys(tables: list[DataFrame], small: DataFrame, key: str) -> list[DataFrame]:
+    """The tables' rows that may share a key with `small`, whose distinct keys are written once and turned into a bitmap."""
+    listed = cut_lineage(_some_key(small, key).distinct())
+    return [may_match(t.filter(F.col(key).isNotNull()), listed, [key]) for t in tables]
+
+
 def decontaminate(benchmark: DataFrame, comparisons: list[DataFrame], key: str) -> DataFrame:
     """Benchmark rows whose key occurs in none of the comparison tables."""
     if not comparisons:
@@ -36,8 +46,10 @@ def decontaminate(benchmark: DataFrame, comparisons: list[DataFrame], key: str)
     return benchmark.join(first_listed(comparisons, key).select(key), key, "left_anti")
 
 
-def matched_keys(table: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
-    """The distinct candidate keys that occur in a large table."""
+def matched_keys(table: DataFrame, candidates: DataFrame, key: str, prefilter: bool = False) -> DataFrame:
+    """The distinct candidate keys that occur in a large table, whose other rows `prefilter` keeps from being shuffled."""
+    if prefilter:
+        table = near_keys([table], candidates, key)[0]
     return _some_key(candidates, key).distinct().join(_some_key(table, key), key, "left_semi")
 
 
@@ -134,6 +146,27 @@ def identity_index(records: DataFrame, key: str, text: str, row_no: str) -> Data
     )
 
 
+def index_rows(records: DataFrame, key: str, text: str, row_no: str, parts: int) -> DataFrame:
+    """The identity index in the form that `merge_index` keeps: with the first row's number, and a partition by key hash."""
+    grouped = records.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count("*").alias("record_count"), F.min(F.struct(F.col(row_no).alias("row_no"), F.col(text).alias("text"))).alias("_first"))
+    return _indexed(grouped, key, parts)
+
+
+def _indexed(grouped: DataFrame, key: str, parts: int) -> DataFrame:
+    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(parts)).cast("int")
+    return grouped.select(
+        key, connectivity_key(F.col(key)).alias("connectivity"), F.col("_first.text").alias("representative"),
+        F.col("_first.row_no").alias("first_row"), "record_count", part.alias("part"))
+
+
+def merged_index(index: DataFrame, batch: DataFrame, key: str, parts: int) -> DataFrame:
+    """Two indexes in one: counts added up, the representative with the smaller row number kept."""
+    first = F.struct(F.col("first_row").alias("row_no"), F.col("representative").alias("text"))
+    both = index.select(key, "record_count", first.alias("_first")).unionAll(batch.select(key, "record_count", first.alias("_first")))
+    return _indexed(both.groupBy(key).agg(F.sum("record_count").alias("record_count"), F.min("_first").alias("_first")), key, parts)
+
+
 def identity_totals(records: DataFrame, key: str) -> DataFrame:
     per_key = records.groupBy(key).agg(F.count("*").alias("n"))
     known = F.col(key).isNotNull()

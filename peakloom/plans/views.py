@@ -144,7 +144,8 @@ def doc_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Sources whose documents are not in the record pool that labels are matched to.
+# Sources whose documents are not in the record pool that labels are matched to. The pool and the labels below are
+# fixtures in which some keys must stay without a match; `all_labels` and the queries named `_whole` cover every document.
 OUTSIDE_SOURCES = ("src1", "src7", "src13")
 
 
@@ -165,6 +166,18 @@ def prop_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def all_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A property row for every document; the third that `prop_labels` leaves out has a null label."""
+    docs = table(spark, sf_dir, "documents")
+    known = F.when(F.col("doc_id") % 4 < 2, (F.col("doc_id") % 2).cast("string")).otherwise(
+        F.concat((F.col("doc_id") % 2).cast("string"), F.lit(".00")))
+    return docs.select(
+        F.col("lang").alias("endpoint"),
+        F.when(F.col("doc_id") % 5 == 0, "test").otherwise("train_val").alias("split"),
+        text_key(F.col("text")).alias("key"), F.when(F.col("doc_id") % 3 != 0, known).alias("label"), F.col("doc_id").alias("row_no"),
+    )
+
+
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Binary labels with a score that has many ties."""
     return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(
