@@ -7,7 +7,7 @@ published together (`sources/publish.py`), each with its manifest.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,17 +19,25 @@ from peakloom.sources import manifest as M
 from peakloom.sources.publish import Move, publish, recover
 
 
-def _stage(df: DataFrame, target: str, overwrite: bool, rows_per_file: int | None, partition_by=()) -> str:
-    spark = df.sparkSession
+def _stage(df: DataFrame, target: str, overwrite: bool, rows_per_file: int | None = None, partition_by=()) -> tuple[str, int]:
+    """Write beside the target; the folder and its rows.
+
+    Rows are counted as they are written and again in the footers of the files;
+    a difference fails the stage. Only the successful attempt of a task counts.
+    """
+    spark, seen = df.sparkSession, Observation()
     _ready(spark, target, overwrite)
     staging = target.rstrip("/") + ".staging"
-    writer = df.write.mode("overwrite").option("compression", "zstd")
+    writer = df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").option("compression", "zstd")
     if rows_per_file:
         writer = writer.option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(staging)
-    return staging
+    written, computed = _rows(spark, staging), seen.get["rows"]
+    if written != computed:
+        raise RuntimeError(f"{computed} rows were computed for {target}, and {written} are in its files")
+    return staging, written
 
 
 def _ready(spark: SparkSession, target: str, overwrite: bool) -> None:
@@ -40,6 +48,7 @@ def _ready(spark: SparkSession, target: str, overwrite: bool) -> None:
 
 
 def _rows(spark: SparkSession, path: str) -> int:
+    """Rows of the files, from their footers: no column is read."""
     return spark.read.parquet(path).count()
 
 
@@ -47,8 +56,7 @@ def write_canonical(df: DataFrame, target: str, source: str, converter: str, too
                     rows_per_file: int | None = None, overwrite: bool = False) -> int:
     """Write a canonical table and its manifest; returns the row count."""
     spark = df.sparkSession
-    staging = _stage(df.to(CANONICAL), target, overwrite, rows_per_file)
-    n = _rows(spark, staging)
+    staging, n = _stage(df.to(CANONICAL), target, overwrite, rows_per_file)
     publish(spark, [Move(staging, target, {
         "canonical_schema_version": SCHEMA_VERSION, "source_dataset": source,
         "converter": converter, "toolkit_version": toolkit_version, "rows": n,
@@ -61,8 +69,7 @@ def write_filtered(df: DataFrame, ids: DataFrame, target: str, keep: bool, step:
     """Copy the rows whose record ID is (or is not) listed, with lineage."""
     spark = df.sparkSession
     kept = df.join(ids.select("record_id").distinct(), "record_id", "left_semi" if keep else "left_anti")
-    staging = _stage(kept.select(*df.columns), target, overwrite, None)
-    n = _rows(spark, staging)
+    staging, n = _stage(kept.select(*df.columns), target, overwrite)
     publish(spark, [Move(staging, target, M.extended(earlier or {}, step, inputs, {"output_records": n}))])
     return n
 
@@ -77,7 +84,7 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
     """
     spark = records.sparkSession
     audited = cut_lineage(audit(records, policy))
-    removed_staging = _stage(removals_of_audit(audited), removed, overwrite, None)
+    removed_staging, n_removed = _stage(removals_of_audit(audited), removed, overwrite)
     removals = spark.read.parquet(removed_staging)
     # the filter is repeated rather than joined: only duplicates need a join
     kept = (
@@ -85,12 +92,8 @@ def write_cleaned(records: DataFrame, cleaned: str, removed: str, inputs: list[s
         .join(removals.filter("duplicate_of is not null").select("record_id"), "record_id", "left_anti")
         .select(*records.columns)
     )
-    cleaned_staging = _stage(kept, cleaned, overwrite, None)
-    counts = {
-        "input_records": audited.count(),
-        "output_records": _rows(spark, cleaned_staging),
-        "removed_records": removals.count(),
-    }
+    cleaned_staging, n_kept = _stage(kept, cleaned, overwrite)
+    counts = {"input_records": audited.count(), "output_records": n_kept, "removed_records": n_removed}
     if counts["input_records"] != counts["output_records"] + counts["removed_records"]:
         raise RuntimeError(f"the row counts do not add up: {counts}")
     reasons = {r["reason"]: r["records"] for r in reason_counts(removals).collect()}
@@ -105,7 +108,7 @@ def write_cohorts(expanded: DataFrame, records: DataFrame, labels_target: str, r
     spark = expanded.sparkSession
     parts = ["endpoint", "split"]
     labelled = records.join(expanded.select("record_id", *parts), "record_id")
-    staging = _stage(labelled, records_target, overwrite, None, parts)
+    staging, n = _stage(labelled, records_target, overwrite, partition_by=parts)
     _ready(spark, labels_target, overwrite)
     label_staging = labels_target.rstrip("/") + ".staging"
     expanded.write.mode("overwrite").partitionBy(*parts).csv(label_staging, header=True)
@@ -116,7 +119,7 @@ def write_cohorts(expanded: DataFrame, records: DataFrame, labels_target: str, r
     if unequal.limit(1).count():
         raise RuntimeError("label and record counts differ in a cohort")
     publish(spark, [Move(staging, records_target), Move(label_staging, labels_target)])
-    return _rows(spark, records_target)
+    return n
 
 
 def write_aligned_splits(records: DataFrame, sidecar: DataFrame, assignment: DataFrame, target: str,
@@ -126,7 +129,7 @@ def write_aligned_splits(records: DataFrame, sidecar: DataFrame, assignment: Dat
     staged, counts = [], {}
     for df, goal in ((records, target), (sidecar, sidecar_target)):
         tagged = df.join(assignment.select(key, "split"), key).select(*df.columns, "split")
-        staged.append((_stage(tagged, goal, overwrite, None, ["split"]), goal))
+        staged.append((_stage(tagged, goal, overwrite, partition_by=["split"])[0], goal))
     for staging, goal in staged:
         rows = spark.read.parquet(staging).groupBy("split").count().collect()
         counts[goal] = {r["split"]: r["count"] for r in rows}
@@ -165,9 +168,8 @@ def write_embeddings(embedded: DataFrame, target: str, dimension: int, metadata:
     wrong = F.raise_error(F.concat(F.lit("unusable vector of "), F.coalesce("record_id", F.lit("<null>")))).cast("boolean")
     sound = F.coalesce(is_valid_vector(F.col("embedding"), dimension), F.lit(False))
     checked = embedded.filter(F.when(sound, True).otherwise(wrong))
-    staging = _stage(checked.select("record_id", F.col("embedding").cast("array<float>").alias("embedding")),
-                     target, overwrite, None)
-    n = _rows(spark, staging)
+    vectors = checked.select("record_id", F.col("embedding").cast("array<float>").alias("embedding"))
+    staging, n = _stage(vectors, target, overwrite)
     publish(spark, [Move(staging, target, {
         **metadata, "dimension": dimension, "accepted_records": n, "rejected_records": rejected})])
     return n

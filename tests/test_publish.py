@@ -87,3 +87,25 @@ def test_outputs_are_not_replaced_unasked(spark, records, tmp_path):
     with pytest.raises(FileExistsError):
         writers.write_cleaned(made(records, 2), cleaned, removed, ["a"])
     assert spark.read.parquet(cleaned).count() == 1
+
+
+def test_a_lost_row_fails_the_stage(spark, records, tmp_path, monkeypatch):
+    cleaned, removed = f"{tmp_path}/cleaned", f"{tmp_path}/removed"
+    counted = writers._rows
+
+    def lossy(spark, path):  # a part file is gone before the files are counted
+        if path.startswith(cleaned):
+            next(p for p in (tmp_path / "cleaned.staging").iterdir() if p.name.startswith("part-")).unlink()
+        return counted(spark, path)
+
+    monkeypatch.setattr(writers, "_rows", lossy)
+    with pytest.raises(RuntimeError, match="rows were computed"):
+        writers.write_cleaned(made(records, 6).repartition(4), cleaned, removed, ["a"])
+    assert not P.published(spark, cleaned) and not P.published(spark, removed)
+    monkeypatch.undo()
+    assert writers.write_cleaned(made(records, 6).repartition(4), cleaned, removed, ["a"])["output_records"] == 6
+
+
+def test_empty_outputs_are_counted(spark, records, tmp_path):
+    assert writers.write_canonical(records([]), f"{tmp_path}/none", "s", "c") == 0
+    assert writers.write_embeddings(spark.createDataFrame([], "record_id string, embedding array<float>"), f"{tmp_path}/e", 3, {}) == 0
