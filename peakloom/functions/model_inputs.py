@@ -79,6 +79,31 @@ def encoder_columns(width: int = MAX_PEAKS, j_width: int = MAX_J_VALUES) -> dict
     }
 
 
+def proton_inputs(width: int = MAX_PEAKS, j_width: int = MAX_J_VALUES) -> Column:
+    """The proton fields of `encoder_columns` as one array of structs, built in a single pass over the peaks.
+
+    For consumers that read peak by peak. A longer list fails the job.
+    """
+    zero = F.lit(0.0)
+    no_j = F.array().cast("array<double>")
+
+    def entry(shift, integration, multiplicity, j, half, known, present) -> Column:
+        return F.struct(
+            shift.alias("shift"), integration.alias("integration"), multiplicity.alias("multiplicity"), j.alias("j_values"),
+            half.alias("range_half_span"), F.lit(known).alias("peak_mask"), present.alias("availability"))
+
+    def of(p: Column) -> Column:
+        present = F.array(*[p[n].isNotNull() for n in ("integration", "multiplicity", "j_values", "range_half_span")])
+        j = let(F.coalesce(p["j_values"], no_j), lambda v: F.struct(
+            padded(v, j_width, zero).alias("values"), mask(F.size(v), j_width).alias("mask")))
+        return entry(p["shift"], F.coalesce(p["integration"].cast("double"), zero), multiplicity_id(p["multiplicity"]), j,
+                     F.coalesce(p["range_half_span"], zero), True, present)
+
+    blank_j = F.struct(F.array_repeat(zero, j_width).alias("values"), F.array_repeat(F.lit(False), j_width).alias("mask"))
+    blank = entry(zero, zero, F.lit(0), blank_j, zero, False, F.array_repeat(F.lit(False), 4))
+    return padded(F.transform("h_nmr_peaks", of), width, blank)
+
+
 def sequence_columns(width: int) -> dict[str, Column]:
     """One shift sequence, protons first: shifts, counts, types and padding mask.
 

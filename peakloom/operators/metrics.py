@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from peakloom.functions.text import is_finite
 from peakloom.functions.vectors import bin_index
-from peakloom.operators.ranking import average_rank, totals_before, value_buckets
+from peakloom.operators.ranking import average_rank, totals_before, with_value_buckets
 
 
 def regression_metrics(rows: DataFrame, y: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -63,12 +63,10 @@ def ranking_metrics(rows: DataFrame, y: str, score: str, by: tuple[str, ...] = (
     """
     lost = F.raise_error(F.lit("a row has no score")).cast("double")
     scored = rows.withColumn("_score", F.coalesce(F.col(score).cast("double"), lost))
-    distinct = scored.agg(F.approx_count_distinct("_score").alias("n")).first()["n"]
-    buckets = max(buckets, min(8192, distinct // SCORES_PER_BUCKET))
     tied = scored.groupBy(*by, "_score").agg(
         F.count_if(F.col(y) == 1).alias("p"), F.count_if(F.col(y) == 0).alias("n")
     )
-    bucketed = value_buckets(scored.select("_score"), "_score", buckets).transform(tied)
+    bucketed = with_value_buckets(scored, tied, "_score", buckets, SCORES_PER_BUCKET)
     ranked = totals_before(
         bucketed, "_bucket", [F.col("_score")],
         {"pos": F.col("p"), "neg": F.col("n")}, by,

@@ -7,9 +7,10 @@ each bucket its offset, and the ordering inside a bucket runs in parallel.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.ml.feature import QuantileDiscretizer
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,14 +98,28 @@ def position_by_score(
     )
 
 
-def value_buckets(rows: DataFrame, column: str, buckets: int = 128):
-    """A fitted stage that adds `_bucket`, order-preserving by approximate quantiles.
+MOST_BUCKETS = 8192
 
-    Fitting reads the column once and keeps a sketch of bounded size.
+
+def with_value_buckets(rows: DataFrame, reduced: DataFrame, column: str, least: int, per_bucket: int) -> DataFrame:
+    """`reduced` with `_bucket`, order-preserving buckets of a column by approximate quantiles of `rows`.
+
+    There are `least` buckets, or more where there are over `per_bucket`
+    distinct values for each. One pass reads the column for both questions and
+    keeps sketches of bounded size; only columns of very many values take a
+    second one for finer quantiles.
     """
-    return QuantileDiscretizer(
-        numBuckets=buckets, inputCol=column, outputCol="_bucket", relativeError=0.003
-    ).fit(rows)
+    def cuts(n: int) -> Column:
+        return F.percentile_approx(column, [i / n for i in range(1, n)], 3 * n)
+
+    found = rows.agg(F.approx_count_distinct(column).alias("n"), cuts(least).alias("cuts")).first()
+    wanted = min(MOST_BUCKETS, found["n"] // per_bucket)
+    splits = rows.agg(cuts(wanted).alias("cuts")).first()["cuts"] if wanted > least else found["cuts"]
+    inner = sorted({s for s in splits or [] if math.isfinite(s)})
+    if not inner:
+        return reduced.withColumn("_bucket", F.lit(0.0))
+    stage = Bucketizer(splits=[-math.inf, *inner, math.inf], inputCol=column, outputCol="_bucket", handleInvalid="keep")
+    return stage.transform(reduced)
 
 
 def average_rank(by: list[str], value: str, descending: Column | bool = True) -> Column:

@@ -32,15 +32,15 @@ select record_id, i::integer as position, shift, coalesce(integration, 0)::doubl
   round(coalesce(n_j * j_value, 0), 6) as j_sum, coalesce(half, 0) as half_span, (integration is not null)::integer + (mult is not null)::integer * 2 + (n_j is not null)::integer * 4 + (half is not null)::integer * 8 as available
 from ids""")
 def encoder_protons(spark, sf_dir):
-    names = ["h_shift", "h_integration", "h_multiplicity", "h_j_values", "h_range_half_span", "h_peak_mask", "h_j_mask", "h_availability"]
-    rows = pos_exploded(_batch(spark, sf_dir), "record_id", items=F.arrays_zip(*names), name="p")
-    bits = [F.get("p.h_availability", F.lit(k)).cast("int") * (1 << k) for k in range(4)]
-    j_sum = F.aggregate("p.h_j_values", F.lit(0.0), lambda a, v: a + v)
-    return rows.filter("p.h_peak_mask").select(
-        "record_id", "position", F.col("p.h_shift").alias("shift"), F.col("p.h_integration").alias("integration"),
-        F.col("p.h_multiplicity").alias("multiplicity"),
-        F.size(F.filter("p.h_j_mask", lambda m: m)).cast("bigint").alias("j_known"), F.round(j_sum, 6).alias("j_sum"),
-        F.col("p.h_range_half_span").alias("half_span"), (bits[0] + bits[1] + bits[2] + bits[3]).alias("available"))
+    records = spectra(spark, sf_dir).filter(F.size(D.encoder_size_issues()) == 0)
+    rows = pos_exploded(records, "record_id", items=I.proton_inputs(), name="p").filter("p.peak_mask")
+    bits = [F.get("p.availability", F.lit(k)).cast("int") * (1 << k) for k in range(4)]
+    j_sum = F.aggregate("p.j_values.values", F.lit(0.0), lambda a, v: a + v)
+    return rows.select(
+        "record_id", "position", F.col("p.shift").alias("shift"), F.col("p.integration").alias("integration"),
+        F.col("p.multiplicity").alias("multiplicity"),
+        F.size(F.filter("p.j_values.mask", lambda m: m)).cast("bigint").alias("j_known"), F.round(j_sum, 6).alias("j_sum"),
+        F.col("p.range_half_span").alias("half_span"), (bits[0] + bits[1] + bits[2] + bits[3]).alias("available"))
 
 
 @query("encoder_padding", FIT + """
