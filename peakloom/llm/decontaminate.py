@@ -5,9 +5,12 @@ one. Two texts that share WINDOW words in a row share a kept k-gram inside
 them, at the same place. Kept k-grams of the documents are joined with those
 of the benchmark, and each hit is extended word by word to both sides, which
 also confirms it. Since a shared window reaches at most WINDOW - K words past
-a k-gram in it, the extension is bounded, and a hit is decided in the row where
-it is found: neither texts nor word lists are shuffled. Items shorter than a
-window are looked up whole. DataFrame functions only.
+a k-gram in it, the extension is bounded: a fingerprint row carries the few
+words around it and decides its hit alone. Neither texts nor word lists are
+copied or shuffled, and the work is linear in the length of a text. If the
+benchmark has few fingerprints, documents look theirs up in a set before they
+become rows. Items shorter than a window are looked up whole. DataFrame
+functions only.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ WINDOW = 10
 K = 5
 #: Fingerprint rows of a benchmark up to this many are broadcast; more are joined by a shuffle on the hash.
 BROADCAST_PRINTS = 200_000
+#: Up to so many, documents look them up in a set before they become rows.
+LISTED_PRINTS = 20_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -140,23 +145,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     benchmark gives no hits. Other columns are not read.
     """
     index, lengths = benchmark_prints(benchmark)
-    few = index.limit(BROADCAST_PRINTS + 1).count() <= BROADCAST_PRINTS
-    itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("hash"), F.lit(-1).alias("n")))
+    number = index.limit(max(BROADCAST_PRINTS, LISTED_PRINTS) + 1).count()
+    itself = F.array(F.struct(
+        F.lit(-1).alias("pos"), F.lit(None).cast("bigint").alias("hash"), F.size("words").alias("n"),
+        F.lit(None).cast("array<string>").alias("near")))
     read = docs.select(
         F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text"),
         words(F.col(text)).alias("words"),
     )
-    # the first entry stands for the row itself, so that rows without a hit come through
-    rows = exploded(
-        read, "_key", "_text", "words", items=F.concat(itself, prints(F.col("words"), lengths)), name="p"
-    ).select("_key", "_text", "words", "p.pos", "p.hash", "p.n")
-    rows = rows.withColumn("n_words", F.when(F.col("pos") < 0, F.size("words")))
-    if few:  # the words stay where they are; only rows with a hit look at them
-        joined = rows.join(F.broadcast(index), "hash", "left")
-        first, past = _span(lambda j: F.get("words", F.col("pos") + j))
-    else:
-        joined = rows.withColumn("near", _near("words", F.col("pos"))).drop("words").join(index, "hash", "left")
-        first, past = _span(lambda j: F.get("near", F.lit(j + WINDOW - K)))
+    found = prints(F.col("words"), lengths)
+    if number <= LISTED_PRINTS:  # so many hashes at most are read here
+        listed = [r["hash"] for r in index.select("hash").distinct().collect()]
+        found = F.filter(found, lambda x: x["hash"].isin(listed))
+    near = F.transform(found, lambda x: F.struct(
+        x["pos"].alias("pos"), x["hash"].alias("hash"), x["n"].alias("n"), _near("words", x["pos"]).alias("near")))
+    # the first entry stands for the row itself, so that rows without a hit come through; it has the number of words
+    rows = exploded(read, "_key", "_text", items=F.concat(itself, near), name="p").select(
+        "_key", "_text", "p.pos", "p.hash", "p.n", "p.near", F.when(F.col("p.pos") < 0, F.col("p.n")).alias("n_words"))
+    joined = rows.join(F.broadcast(index) if number <= BROADCAST_PRINTS else index, "hash", "left")
+    first, past = _span(lambda j: F.get("near", F.lit(j + WINDOW - K)))
     hit = F.when(F.col("n") == F.col("item_n"), first)
     found = joined.select(
         "_key", "_text", "n_words", F.when(F.col("n_words").isNull(), hit).alias("first"), past.alias("past"), "item_id"

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 
@@ -48,8 +49,10 @@ def case(seed):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("broadcast", [True, False])
-def test_equals_direct_search(spark, seed, broadcast, monkeypatch):
+@pytest.mark.parametrize("listed,broadcast", [(True, True), (False, True), (False, False), (True, False)])
+def test_equals_direct_search(spark, seed, listed, broadcast, monkeypatch):
+    if not listed:
+        monkeypatch.setattr(decontaminate, "LISTED_PRINTS", 0)
     if not broadcast:
         monkeypatch.setattr(decontaminate, "BROADCAST_PRINTS", 0)
     docs, items = case(seed)
@@ -74,3 +77,20 @@ def test_long_text_and_plan(spark):
     found = decontaminate.contamination(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert [(r.n_words, r.n_hit) for r in found.collect()] == [(120_012, 12)]
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", found._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("listed", [20_000, 0])
+def test_time_grows_with_the_text_not_its_square(spark, listed, monkeypatch):
+    """Many distinct words, so that every window keeps other fingerprints; a passage at the end is found."""
+    monkeypatch.setattr(decontaminate, "LISTED_PRINTS", listed)
+    draw, item = random.Random(6), " ".join(f"q{i}" for i in range(14))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    seconds = []
+    for n in (1000, 250_000, 500_000):
+        text = " ".join(f"w{draw.randrange(10**7)}" for _ in range(n)) + " " + item
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        begun = time.perf_counter()
+        found = decontaminate.contamination(docs, items).collect()
+        seconds.append(time.perf_counter() - begun)
+        assert [(r.n_words, r.n_hit) for r in found] == [(n + 14, 14)]
+    assert seconds[2] < 3 * seconds[1] + 5
