@@ -63,7 +63,8 @@ def flagged(large: DataFrame, keys: DataFrame, columns: list[str], name: str, ma
         found = pieces.select(F.col("piece").alias(piece), F.col("bitmap").alias(bitmap))
         rows = rows.join(F.broadcast(found), F.call_function("div", F.col(at), F.lit(PIECE)) == F.col(piece), "left_outer")
         every = every & _is_set(F.col(bitmap), F.col(at))
-    return rows.select(*[large[c] for c in large.columns], every.alias(name))
+    columns_kept = [F.col("`" + c.replace("`", "``") + "`") for c in large.columns]
+    return rows.select(*columns_kept, every.alias(name))
 
 
 def may_match(large: DataFrame, keys: DataFrame, columns: list[str], max_bytes: int = MAX_BYTES) -> DataFrame:
