@@ -79,6 +79,17 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+#: Texts of a batch that are Python objects at the same time.
+FEW = 256
+
+
+def by_slices(column: pa.Array, compute: Callable[[pa.Array], pa.Array]) -> pa.Array:
+    """`compute` of a few rows at a time, so that a worker never holds a whole batch as Python objects."""
+    parts = [compute(column.slice(begin, FEW)) for begin in range(0, max(1, len(column)), FEW)]
+    pa.default_memory_pool().release_unused()  # workers live on between tasks and stages
+    return pa.concat_arrays(parts)
+
+
 def list_array(values: np.ndarray | pa.Array, lengths: Sequence[int] | np.ndarray) -> pa.Array:
     """An Arrow list column from its flat values and the length of each list."""
     offsets = np.zeros(len(lengths) + 1, dtype=np.int32)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import texts_of
+from peakloom.llm.common import by_slices, texts_of
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "login")
@@ -156,23 +156,30 @@ def redacted(text: str, spans: Iterable[tuple[str, int, int]]) -> str:
 
 def pii_spans(text: Column) -> Column:
     """All spans of each whole text; none for a null or empty text."""
-    @F.arrow_udf(SPANS)
-    def spans(column: pa.Array) -> pa.Array:
+    kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+
+    def found(column: pa.Array) -> pa.Array:
         rows = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t)] for t in texts_of(column)]
-        kind = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
         return pa.array(rows, type=pa.list_(kind))
 
+    @F.arrow_udf(SPANS)
+    def spans(column: pa.Array) -> pa.Array:
+        return by_slices(column, found)
+
     return spans(text)
 
 
 def redact(text: Column) -> Column:
     """Each text with its personal data replaced; a null text stays null."""
-    @F.arrow_udf("string")
-    def clean(column: pa.Array) -> pa.Array:
+    def replaced(column: pa.Array) -> pa.Array:
         return pa.array(
             [None if t is None else redacted(t, find_spans(t)) for t in column.to_pylist()], type=pa.string()
         )
 
+    @F.arrow_udf("string")
+    def clean(column: pa.Array) -> pa.Array:
+        return by_slices(column, replaced)
+
     return clean(text)
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import SAMPLE_BYTES, labelled_sample, sigmoid, staged, texts_of
+from peakloom.llm.common import by_slices, SAMPLE_BYTES, labelled_sample, sigmoid, staged, texts_of
 
 SYMBOLS = re.compile(r"[^\w\s.,;:'\"()?-]")
 STOPS = re.compile(r"[.?](?:\s|$)")
@@ -165,11 +165,14 @@ def quantile_cut(docs: DataFrame, model: QualityModel, share: float) -> float:
     Every whole text counts, repeated, null and unlabelled ones too. The
     ranks are exact.
     """
-    @F.arrow_udf("long")
-    def ordered(column: pa.Array) -> pa.Array:
+    def bits(column: pa.Array) -> pa.Array:
         found = np.array([statistics(t) for t in texts_of(column)]).reshape(-1, len(FEATURES))
         return pa.array(_ordered(model.raw(found)))
 
+    @F.arrow_udf("long")
+    def ordered(column: pa.Array) -> pa.Array:
+        return by_slices(column, bits)
+
     values = staged(docs.select(ordered(F.col("text")).alias("v")), "quality-scores")
     n = values.count()
     if not n:
@@ -211,12 +214,15 @@ def value_at_rank(values: DataFrame, rank: int) -> tuple[int, int]:
 
 def quality_score(text: Column, model: QualityModel) -> Column:
     """Score of each whole text, 0 to 1; a null text scores as the empty one."""
-    @F.arrow_udf("double")
-    def score(column: pa.Array) -> pa.Array:
+    def scored(column: pa.Array) -> pa.Array:
         if not len(column):
             return pa.array([], type=pa.float64())
         return pa.array(model.score(np.array([statistics(t) for t in texts_of(column)])))
 
+    @F.arrow_udf("double")
+    def score(column: pa.Array) -> pa.Array:
+        return by_slices(column, scored)
+
     return score(text)
 
 
