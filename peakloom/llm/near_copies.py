@@ -1,7 +1,10 @@
 """Groups of texts that share at least 0.8 of their five-word shingles.
 
-Similarity is the Jaccard coefficient of the sets of word shingles. Of each
-text 288 minimum hashes are taken. Six at a time they are a band, and texts
+Similarity is the Jaccard coefficient of the sets of word shingles. Each text
+has a SimHash fingerprint of its shingles, and fingerprints that anchors link
+(`simhash.links`, at most four differing bits) are candidates. Texts of
+similarity 0.8 differ in up to about 17 bits, further than anchors reach, so
+minimum hashes find the others. Of each text 288 minimum hashes are taken. Six at a time they are a band, and texts
 that agree in one of the 48 bands are candidates: two texts of similarity s
 share no band with probability (1 - s**6)**48, which is below one in a million
 at 0.8. Candidates are compared by one byte of every minimum hash, and those
@@ -12,7 +15,7 @@ below POSSIBLE with a probability under one in a million as well.
 Only distinct texts are compared, and they are known by row numbers. Bands with
 more than one text are gone through in sorted streams. Pairs of texts are never
 rows: a band gives the links of a spanning forest of its possible links, and
-the connected texts of all bands are a cluster. The texts of a cluster are then
+the texts that bands and fingerprints connect are a cluster. The texts of a cluster are then
 sent to one place, each once, where an inverted list of their shingles gives
 the exact similarity of every pair that shares any; links of 0.8 or more are
 again reported as a spanning forest. Crowded bands and large clusters are cut
@@ -29,7 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from peakloom.llm.common import list_array, staged, texts_of
+from peakloom.llm import simhash
+from peakloom.llm.common import by_slices, list_array, staged
 from peakloom.llm.components import components
 from peakloom.operators.prefilter import may_match
 
@@ -70,7 +74,11 @@ def _hashes(data: bytes) -> np.ndarray:
 
 def minimums(data: bytes) -> np.ndarray:
     """The least value of each of HASHES hash functions over a text's shingles."""
-    hashes = (_hashes(data) >> np.uint64(32)).astype(np.uint32)
+    return _least(_hashes(data))
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes >> np.uint64(32)).astype(np.uint32)
     least = np.full(HASHES, (1 << 32) - 1, dtype=np.uint32)
     for i in range(0, len(hashes), 1024):
         least = np.minimum(least, ((hashes[i : i + 1024, None] ^ _MASKS) * _FACTORS).min(axis=0))
@@ -88,20 +96,25 @@ def band_keys(least: np.ndarray) -> np.ndarray:
 
 
 def signature(text: Column) -> Column:
-    """`keys` of the bands and `bytes`, one of every minimum hash."""
-    @F.arrow_udf("keys array<long>, bytes binary")
-    def signed(column: pa.Array) -> pa.Array:
-        known: dict[bytes, np.ndarray] = {}
+    """`keys` of the bands, `bytes`, one of every minimum hash, and the SimHash fingerprint `fp` of the shingles."""
+    def signs(column: pa.Array) -> pa.Array:
+        known: dict[bytes, tuple[np.ndarray, int]] = {}
         found = []
         for data in column.cast(pa.binary()).to_pylist():
             data = data or b""
             if data not in known:
-                known[data] = minimums(data)
+                hashes = _hashes(data)
+                known[data] = _least(hashes), simhash.majority(hashes)
             found.append(known[data])
-        least = np.array(found, dtype=np.uint32).reshape(-1, HASHES)
+        least = np.array([x for x, _ in found], dtype=np.uint32).reshape(-1, HASHES)
         keys = list_array(band_keys(least).ravel(), [BANDS] * len(least))
         low = pa.array([row.tobytes() for row in least.astype(np.uint8)], type=pa.binary())
-        return pa.StructArray.from_arrays([keys, low], ["keys", "bytes"])
+        prints = pa.array([fp for _, fp in found], type=pa.int64())
+        return pa.StructArray.from_arrays([keys, low, prints], ["keys", "bytes", "fp"])
+
+    @F.arrow_udf("keys array<long>, bytes binary, fp long")
+    def signed(column: pa.Array) -> pa.Array:
+        return by_slices(column, signs)
 
     return signed(text)
 
@@ -202,6 +215,15 @@ def _possible_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     return _streamed(batches, compare)
 
 
+def _printed_links(marked: DataFrame) -> DataFrame:
+    """Links `a, b` from the first text of every group of linked fingerprints to its others."""
+    prints = marked.filter(F.col("fp").isNotNull()).select("rid", "fp")
+    roots = components(simhash.links(prints.select("fp").distinct())).withColumnRenamed("node", "fp")
+    rooted = staged(prints.join(roots, "fp", "left").select("rid", F.coalesce("root", "fp").alias("root")), "copies-prints")
+    firsts = rooted.groupBy("root").agg(F.min("rid").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return rooted.join(firsts, "root").filter("rid > a").select("a", F.col("rid").alias("b"))
+
+
 def _clusters(marked: DataFrame, crowd: int) -> DataFrame:
     """`rid, group` of every text with a possible link: the same group for all that possible links connect."""
     posted = marked.select(F.explode("keys").alias("group"), "rid")
@@ -209,7 +231,7 @@ def _clusters(marked: DataFrame, crowd: int) -> DataFrame:
     bands = posted.join(shared.select("group", _tiles(F.col("n"), crowd).alias("_tiles")), "group")
     signed = staged(bands.join(marked.select("rid", "bytes"), "rid"), "copies-bands")
     links = _tiled(signed, F.col("_tiles"), "bytes").mapInArrow(_possible_links, "a long, b long")
-    roots = staged(components(links), "copies-clusters")
+    roots = staged(components(links.unionAll(_printed_links(marked))), "copies-clusters")
     firsts = roots.select(F.col("root").alias("rid"), F.col("root").alias("group")).distinct()
     return roots.select(F.col("node").alias("rid"), F.col("root").alias("group")).unionAll(firsts)
 
@@ -281,7 +303,7 @@ def near_copies(docs: DataFrame, text: str = "text", crowd: int = CROWD) -> Data
     the text column is read; an empty table gives no rows.
     """
     signed = docs.select(text_id(F.col(text)).alias("tid"), F.when(F.col(text).isNotNull(), signature(F.col(text))).alias("s"))
-    distinct = signed.select("tid", "s.keys", "s.bytes").dropDuplicates(["tid"])
+    distinct = signed.select("tid", "s.keys", "s.bytes", "s.fp").dropDuplicates(["tid"])
     marked = staged(distinct.withColumn("rid", F.monotonically_increasing_id()), "copies-rows")
     links = _confirmed(_clusters(marked, crowd), marked, docs, text, crowd)
     roots = components(links).withColumnRenamed("node", "rid")

@@ -50,7 +50,11 @@ def fingerprint(text: str) -> int:
         starts = np.concatenate([[0], ends[:-1] + 1])
         spans = zip(starts[: 1 - SHINGLE or None].tolist(), ends[SHINGLE - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8")
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype="<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes, as a signed 64-bit integer; zero without hashes."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
         bits = np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from peakloom.llm import near_copies
@@ -142,3 +143,22 @@ def test_repeated_and_null_ids_lose_copies_only(spark):
     assert left.columns == docs.columns
     assert sorted(map(tuple, left.collect()), key=repr) == sorted(
         [(1, x, "en", "a", 1), (5, y, "en", "c", 1), (None, z, "en", "e", 1), (7, None, "en", "h", 1), (8, "", "en", "j", 1)], key=repr)
+
+
+def test_linked_fingerprints_are_candidates(spark):
+    """Texts that share no band, but whose fingerprints anchors link, come to one cluster."""
+    rows = [(rid, [100 + rid], bytes(near_copies.HASHES), fp) for rid, fp in ((1, 0), (2, 0), (3, 0b1111), (4, 0b11111111), (5, -1), (6, -1))]
+    marked = spark.createDataFrame([*rows, (7, None, None, None)], "rid long, keys array<long>, bytes binary, fp long")
+    found = {}
+    for r in near_copies._clusters(marked, near_copies.CROWD).collect():
+        found.setdefault(r.group, set()).add(r.rid)
+    assert sorted(map(sorted, found.values())) == [[1, 2, 3, 4], [5, 6]]
+
+
+def test_signature_has_the_fingerprint_of_five_word_shingles(spark):
+    text = "One two three four five six seven two three four five six seven eight"
+    row = spark.createDataFrame([(text,), ("",)], "text string").select(near_copies.signature(F.col("text")).alias("s")).select("s.*").collect()
+    hashes = near_copies._hashes(text.encode())
+    assert len(hashes) == 10 and len(near_copies.shingles(text)) == 8
+    bits = [sum(int(h) >> b & 1 for h in hashes) * 2 > len(hashes) for b in range(64)]
+    assert [row[0].fp & (1 << 64) - 1, row[1].fp] == [sum(1 << b for b in range(64) if bits[b]), 0]
