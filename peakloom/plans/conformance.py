@@ -225,9 +225,9 @@ select 'accepted' as side, record_id, null as reason from t where cust % 103 <>
 union all select 'rejected', record_id, 'missing_structure' from t where cust % 103 <> 0 and cust % 5 = 0 and cust % 10 <> 0""")
 def conform_atom_routing(spark, sf_dir):
     landing = atom_landing(spark, sf_dir).filter(F.size("shifts") == F.size("equivalence_classes"))
-    accepted, rejected = C.route(C.conform_atoms(landing, "atoms", "atoms"))
-    return accepted.select(F.lit("accepted").alias("side"), "record_id", F.lit(None).cast("string").alias("reason")).unionByName(
-        rejected.select(F.lit("rejected").alias("side"), "record_id", "reason"))
+    rows = C.routed(C.conform_atoms(landing, "atoms", "atoms"))
+    side = F.when(F.col("reason").isNull(), "accepted").otherwise("rejected")
+    return rows.select(side.alias("side"), "record_id", "reason")
 
 
 @query("conform_shift_lists", ORDER_SQL + """

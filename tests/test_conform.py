@@ -144,3 +144,12 @@ def test_multiplicity(spark):
     cases = [(None, None), (" D ", "d"), ("HEPT", "sept"), ("<unk>", "<unk>"), ("weird", "<unk>"), ("", "<unk>")]
     df = spark.createDataFrame(cases, "x string, want string")
     assert df.filter(~normalize_multiplicity(F.col("x")).eqNullSafe(F.col("want"))).count() == 0
+
+
+def test_routing_judges_a_row_once(spark):
+    """The rules stand once in the plan of each side; filters and lists of codes do not repeat them."""
+    good = ([1.0, 2.0], [1, 1], [0, 0])
+    df = C.conform_atoms(spark.createDataFrame([(b"a", "C", None, *good), (b"b", " ", None, *good)], ATOMS), "s", "s")
+    for side in C.route(df):
+        assert side._jdf.queryExecution().optimizedPlan().toString().count("invalid_record_id") == 1
+    assert [(r.record_id, r.reason) for r in C.routed(df).orderBy("record_id").collect()] == [("s:a", None), ("s:b", "missing_structure")]
