@@ -34,12 +34,11 @@ def conform_new_files(
     )
 
     def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()  # both outputs read it; it holds files_per_batch files
+        # both outputs read the files; kept in memory, a file's rows would be one block many times its size
         accepted, rejected = route(batch)
         # a folder per batch: a repeated batch replaces its own output
         accepted.write.mode("overwrite").option("compression", "zstd").parquet(f"{accepted_path}/batch={epoch}")
         rejected.write.mode("overwrite").json(f"{rejected_path}/batch={epoch}")
-        batch.unpersist()
 
     query = (
         conform(stream)
