@@ -35,10 +35,13 @@ def first_text(*candidates: Column) -> Column:
 
 
 def normalize_multiplicity(c: Column) -> Column:
-    """Vocabulary label, `<unk>` for a label outside it, null for no label."""
-    known = {**{m: m for m in MULTIPLICITIES}, **MULTIPLICITY_ALIASES}
-    label = F.try_element_at(literal_map(known), F.lower(strip(c)))
-    return F.coalesce(label, F.when(c.isNotNull(), F.lit(UNKNOWN_MULTIPLICITY)))
+    """Vocabulary label, `<unk>` for a label outside it, null for no label.
+
+    The labels are in lower case, so a text that is one already is not converted.
+    """
+    known = literal_map({**{m: m for m in MULTIPLICITIES}, **MULTIPLICITY_ALIASES})
+    as_given, folded = (F.try_element_at(known, text) for text in (c, F.lower(strip(c))))
+    return F.coalesce(as_given, folded, F.when(c.isNotNull(), F.lit(UNKNOWN_MULTIPLICITY)))
 
 
 def is_finite(c: Column) -> Column:

@@ -32,7 +32,7 @@ def _peak_lists(flat, h, c):
 
 def rich_landing(spark, sf_dir) -> DataFrame:
     """Text fields as such a release writes them, with some unreadable places."""
-    flat, line, defect = line_peaks(spark, sf_dir), F.col("line_no"), F.col("defect")
+    flat, line, defect = line_peaks(spark, sf_dir, by_order=True), F.col("line_no"), F.col("defect")
     text = F.col("shift").cast("string")
     ranged = line.isin(2, 7)
     h = F.struct(
@@ -110,7 +110,7 @@ def conform_simulated_carbons(spark, sf_dir):
 
 def tokenised_landing(spark, sf_dir) -> DataFrame:
     """JSON texts with five-part proton tuples."""
-    flat, line, defect = line_peaks(spark, sf_dir), F.col("line_no"), F.col("defect")
+    flat, line, defect = line_peaks(spark, sf_dir, by_order=True), F.col("line_no"), F.col("defect")
     j = F.concat(F.lit("["), F.coalesce(F.array_join(F.transform("j_values", lambda x: x.cast("string")), ","), F.lit("")), F.lit("]"))
     label = F.coalesce(F.concat(F.lit('"'), F.col("mraw"), F.lit('"')), F.lit("null"))
     half = F.when(line == 3, "null").when(defect == 1, "-0.5").otherwise(F.col("w").cast("string"))
@@ -170,10 +170,10 @@ def conform_tokenised_carbons(spark, sf_dir):
 
 def atom_landing(spark, sf_dir) -> DataFrame:
     """Parallel atom arrays: hydrogens, carbons and some oxygens."""
-    flat = line_peaks(spark, sf_dir)
+    flat = line_peaks(spark, sf_dir, by_order=True)
     number = F.when(F.col("line_no") == 7, 8).when(F.col("nucleus") == "h", 1).otherwise(6)
     atom = F.struct(F.col("w"), F.col("shift"), number.alias("z"), F.col("eq_class").alias("k"), F.col("integral"), F.col("width"), F.col("defect"))
-    grouped = flat.repartition("ok").groupBy("ok").agg(F.sort_array(F.collect_list(atom)).alias("a"))
+    grouped = flat.select("ok", atom.alias("atom")).groupBy("ok").agg(F.sort_array(F.collect_list("atom")).alias("a"))
     empty = F.array().cast("array<struct<w:double,shift:double,z:int,k:bigint,integral:double,width:double,defect:bigint>>")
     atoms = F.coalesce("a", empty)
     k = F.transform(atoms, lambda a: a["k"])
@@ -233,7 +233,7 @@ def conform_atom_routing(spark, sf_dir):
 @query("conform_shift_lists", ORDER_SQL + """
 select 'plain:' || split || ':' || o.ok as record_id, nucleus, shift from o join lp on o.ok = lp.ok""")
 def conform_shift_lists(spark, sf_dir):
-    lists = _peak_lists(line_peaks(spark, sf_dir), F.col("shift"), F.col("shift"))
+    lists = _peak_lists(line_peaks(spark, sf_dir, by_order=True), F.col("shift"), F.col("shift"))
     landing = _orders(spark, sf_dir).join(lists, "ok", "left").select(
         "split", F.col("ok").alias("row_index"), F.col("structure").alias("smiles"),
         F.col("h_peaks").alias("h_shift"), F.col("c_peaks").alias("c_shift"))

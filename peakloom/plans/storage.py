@@ -158,7 +158,7 @@ from o left join lp on o.ok = lp.ok where o.ok % 6 <> 0 group by 1""")
 def incremental_conformance(spark, sf_dir):
     """Landing files conformed as a bounded stream; unreadable structures are set aside."""
     landing, done, refused, state = (scratch_path(spark, n) for n in ("landing", "accepted", "rejected", "state"))
-    lists = _peak_lists(line_peaks(spark, sf_dir), F.col("shift"), F.col("shift"))
+    lists = _peak_lists(line_peaks(spark, sf_dir, by_order=True), F.col("shift"), F.col("shift"))
     rows = _orders(spark, sf_dir).join(lists, "ok", "left").select(
         "split", F.col("ok").alias("row_index"), F.when(F.col("ok") % 6 != 0, F.col("structure")).alias("smiles"),
         F.col("h_peaks").alias("h_shift"), F.col("c_peaks").alias("c_shift"))

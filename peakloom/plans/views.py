@@ -23,13 +23,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 RAW_LABELS = {1: "s", 2: " D ", 3: "p", 4: "brd", 5: "hept", 6: "xyz"}
 
 
-def line_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item with all peak fields, flat."""
+def line_peaks(spark: SparkSession, sf_dir: str, by_order: bool = False) -> DataFrame:
+    """One row per line item with all peak fields, flat.
+
+    `by_order` brings the lines of an order into one task, as `collected` needs
+    them. The narrow source rows move; the peak fields are made afterwards.
+    """
     line, defect = F.col("l_linenumber"), F.col("l_suppkey") % 50
     is_h = F.col("l_linestatus") == "O"
     shift = F.when(is_h, F.col("l_quantity") * 0.5625 - 6.0).otherwise(F.col("l_extendedprice") / 256.0 - 60.0)
     raw = F.coalesce(*[F.when(line == n, F.lit(label)) for n, label in RAW_LABELS.items()])
-    lines = table(spark, sf_dir, "lineitem").select(
+    source = table(spark, sf_dir, "lineitem")
+    lines = (source.repartition("l_orderkey") if by_order else source).select(
         F.col("l_orderkey").alias("ok"),
         F.when(is_h, "h").otherwise("c").alias("nucleus"),
         shift.alias("shift"),
@@ -73,14 +78,16 @@ def order_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def collected(flat: DataFrame, key: str, h: Column, c: Column) -> DataFrame:
     """The proton and carbon structs of each key as sorted arrays.
 
-    A record is one row, so its peaks have to fit one row. The flat rows are
-    spread by key first: lists gain nothing from partial aggregation, and the
-    lists are then built in all tasks.
+    A record is one row, so its peaks have to fit one row. The flat rows come
+    spread by key (`line_peaks` with `by_order`): lists gain nothing from partial
+    aggregation, and the lists are then built in all tasks. The structs stand in
+    a projection of their own, which runs as generated code; inside the
+    aggregate they would be interpreted.
     """
-    return flat.repartition(key).groupBy(key).agg(
-        F.sort_array(F.collect_list(F.when(F.col("nucleus") == "h", h))).alias("h_peaks"),
-        F.sort_array(F.collect_list(F.when(F.col("nucleus") == "c", c))).alias("c_peaks"),
-    )
+    made = flat.select(
+        key, F.when(F.col("nucleus") == "h", h).alias("h"), F.when(F.col("nucleus") == "c", c).alias("c"))
+    return made.groupBy(key).agg(
+        F.sort_array(F.collect_list("h")).alias("h_peaks"), F.sort_array(F.collect_list("c")).alias("c_peaks"))
 
 
 def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +99,7 @@ def spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
         equivalence_class=F.col("eq_class"), member_shifts=F.col("members"),
     )
     c = carbon(F.col("shift"), integral=F.col("integral"), intensity=F.col("intensity"), width=F.col("width"))
-    peaks = collected(line_peaks(spark, sf_dir), "ok", h, c)
+    peaks = collected(line_peaks(spark, sf_dir, by_order=True), "ok", h, c)
 
     def less_annotated(p):
         for name in ("integration", "multiplicity_raw", "multiplicity"):
