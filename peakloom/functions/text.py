@@ -12,6 +12,8 @@ from peakloom.schema import MULTIPLICITIES, MULTIPLICITY_ALIASES, UNKNOWN_MULTIP
 WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
 # Number shapes accepted by the source readers.
 DECIMAL_TEXT = r"^[-+]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][-+]?\d+)?$"
+# Most numbers: no white space, no exponent and too short to overflow.
+PLAIN_TEXT = r"\A[-+]?\d{1,200}(?:\.\d*)?\z"
 COUNT_TEXT = r"^(\d+)(?:\.0+)?\s*[Hh]?$"
 J_NUMBER = r"([-+]?(?:\d+(?:\.\d*)?|\.\d+))"
 
@@ -52,7 +54,8 @@ def is_finite(c: Column) -> Column:
 def finite_double(c: Column) -> Column:
     """The finite number written in a text column, else null."""
     value = let(strip(c), lambda text: F.when(text.rlike(DECIMAL_TEXT), text.try_cast("double")))
-    return let(value, lambda v: F.when(is_finite(v), v))
+    other = let(value, lambda v: F.when(is_finite(v), v))
+    return F.when(c.rlike(PLAIN_TEXT), c.try_cast("double")).otherwise(other)
 
 
 def unreadable_number(c: Column) -> Column:
@@ -66,7 +69,7 @@ def non_negative_integer(c: Column) -> Column:
 
 
 def unreadable_integer(c: Column) -> Column:
-    return optional_text(c).isNotNull() & non_negative_integer(c).isNull()
+    return non_negative_integer(c).isNull() & optional_text(c).isNotNull()
 
 
 def j_values_from_text(c: Column) -> Column:

@@ -176,20 +176,24 @@ def conform_rich(
 def _tokenised_numbers(x: Column) -> Column:
     """The parsed parts of one [shift, half span, label, integration, J list]."""
     j_text = F.get(x, F.lit(4))
+    read = F.transform(F.from_json(j_text, "array<string>"), X.finite_double)
     return F.struct(
         X.finite_double(F.get(x, F.lit(0))).alias("shift"),
         X.finite_double(F.get(x, F.lit(1))).alias("half"),
-        X.optional_text(F.get(x, F.lit(2))).alias("label"),
-        F.transform(F.from_json(j_text, "array<string>"), X.finite_double).alias("j"),
+        F.when(j_text == "[]", F.array().cast("array<double>")).otherwise(read).alias("j"),
     )
 
 
 def _tokenised_proton(x: Column, n: Column) -> Column:
+    return let(X.optional_text(F.get(x, F.lit(2))), lambda label: _labelled_proton(x, n, label))
+
+
+def _labelled_proton(x: Column, n: Column, label: Column) -> Column:
     return proton(
         n["shift"],
         integration=X.non_negative_integer(F.get(x, F.lit(3))),
-        multiplicity_raw=n["label"],
-        multiplicity=X.normalize_multiplicity(n["label"]),
+        multiplicity_raw=label,
+        multiplicity=X.normalize_multiplicity(label),
         j_values=X.j_values_from_array(n["j"]),
         range_min=n["shift"] - n["half"],
         range_max=n["shift"] + n["half"],
@@ -224,7 +228,22 @@ def parse_tokenised(text: Column) -> Column:
 def _lost_list(name: str) -> Column:
     """The text holds a list that the parser could not read as one."""
     given = F.get_json_object("tokenized_input", f"$.{name}")
-    return given.isNotNull() & F.col("_spectra")[name].isNull()
+    return F.col("_spectra")[name].isNull() & given.isNotNull()
+
+
+def _not_json() -> Column:
+    """The text is no JSON object.
+
+    The parser gives a list only if it has read the whole object, so the text is
+    read again only without a list, or where it may hold a number that the
+    parser takes but JSON lacks.
+    """
+    text, spectra = F.col("tokenized_input"), F.col("_spectra")
+    unread = spectra["1HNMR"].isNull() & spectra["13CNMR"].isNull()
+    lenient = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("INF")) | F.contains(text, F.lit("Infinity"))
+    brace = F.lit("{")
+    is_object = F.startswith(text, brace) | F.startswith(F.ltrim(text, F.lit(X.WHITESPACE)), brace)
+    return ~F.coalesce(is_object, F.lit(False)) | ((unread | lenient) & F.get_json_object(text, "$").isNull())
 
 
 def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=identity_structure) -> DataFrame:
@@ -249,12 +268,10 @@ def conform_tokenised(landing: DataFrame, source: str, prefix: str, structure=id
         "h_nmr_peaks": F.transform(h, lambda z: _tokenised_proton(z["raw"], z["n"])),
         "c_nmr_peaks": F.transform(c, lambda s: carbon(X.finite_double(s))),
     }
-    is_object = F.startswith(X.strip(F.col("tokenized_input")), F.lit("{"))
-    unreadable = ~F.coalesce(is_object, F.lit(False)) | F.get_json_object("tokenized_input", "$").isNull()
     issues = joined(
         missing,
         present(
-            issue(unreadable, "invalid_json", F.lit("tokenized_input"), "must be a JSON object"),
+            issue(_not_json(), "invalid_json", F.lit("tokenized_input"), "must be a JSON object"),
             issue(_lost_list("1HNMR"), "invalid_peak_list", F.lit("h_nmr_peaks"), "must be a list of lists"),
             issue(_lost_list("13CNMR"), "invalid_peak_list", F.lit("c_nmr_peaks"), "must be a list"),
         ),

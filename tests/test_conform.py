@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from peakloom.functions import text as X
 from peakloom.functions.text import normalize_multiplicity
 from peakloom.operators import conform as C
 from peakloom.operators.hooks import key_hook
@@ -153,3 +154,35 @@ def test_routing_judges_a_row_once(spark):
     for side in C.route(df):
         assert side._jdf.queryExecution().optimizedPlan().toString().count("invalid_record_id") == 1
     assert [(r.record_id, r.reason) for r in C.routed(df).orderBy("record_id").collect()] == [("s:a", None), ("s:b", "missing_structure")]
+
+
+REREAD_CASES = [
+    ('{"1HNMR": [], "x": NaN}', ["invalid_json"]), ('{"13CNMR": [1], "x": -INF}', ["invalid_json"]),
+    ('{"1HNMR": [[1, 0.5, "NaN", "1H", []]], "13CNMR": []}', []), ('{"1HNMR": [], "13CNMR": [1]', ["invalid_json"]),
+    ('{"1HNMR": [], "13CNMR": {"a": 1}}', ["invalid_peak_list"]), (' {"13CNMR": []}', ["invalid_json"]), (' \n{"13CNMR": []}', []),
+    ('[{"13CNMR": []}]', ["invalid_json"]), ("{}", []), ('{"13CNMR": null, "1HNMR": null}', []),
+]
+
+
+def test_tokenised_text_is_read_again_only_without_lists(spark):
+    df = spark.createDataFrame([(None, i, "t", None, "CC", text) for i, (text, _) in enumerate(REREAD_CASES)], TOK)
+    out = C.conform_tokenised(df, "t", "t")
+    for row in out.collect():
+        index = int(row.record_id.rsplit("-", 1)[1])
+        assert [i.code for i in row.conform_issues] == REREAD_CASES[index][1], REREAD_CASES[index]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AND isnotnull(get_json_object(") == 2  # the second operand: most rows do not come to it
+    assert plan.count("AND isnull(get_json_object(") == 1
+
+
+NUMBERS = {"1": 1.0, "-2.50": -2.5, "+3.": 3.0, ".5": 0.5, "1e2": 100.0, " 4\n": 4.0, "5\u0085": 5.0, " 6": 6.0, "9" * 400: None,
+           "1" * 200: float("1" * 200), "7\n8": None, "1d": None, "NaN": None, "1e999": None, "": None, "٣": None, "0x1": None}
+
+
+def test_plain_numbers_read_like_others(spark):
+    df = spark.createDataFrame([(t,) for t in [*NUMBERS, None]], "t string")
+    got = {r.t: r.v for r in df.select("t", X.finite_double(F.col("t")).alias("v")).collect()}
+    assert got == {**NUMBERS, None: None}
+    texts = {"2H": False, "": False, " ": False, "x": True, "-1": True, None: False, "99999999999999999999": True}
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert {r.t: r.v for r in df.select("t", X.unreadable_integer(F.col("t")).alias("v")).collect()} == texts
