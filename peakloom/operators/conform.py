@@ -234,12 +234,12 @@ def _lost_list(name: str) -> Column:
 def _not_json() -> Column:
     """The text is no JSON object.
 
-    The parser gives a list only if it has read the whole object, so the text is
-    read again only without a list, or where it may hold a number that the
-    parser takes but JSON lacks.
+    Over a fault inside one list the parser may still give the other, so the text
+    is read again unless both lists are there, or where it may hold a number that
+    the parser takes but JSON lacks.
     """
     text, spectra = F.col("tokenized_input"), F.col("_spectra")
-    unread = spectra["1HNMR"].isNull() & spectra["13CNMR"].isNull()
+    unread = spectra["1HNMR"].isNull() | spectra["13CNMR"].isNull()
     lenient = F.contains(text, F.lit("NaN")) | F.contains(text, F.lit("INF")) | F.contains(text, F.lit("Infinity"))
     brace = F.lit("{")
     is_object = F.startswith(text, brace) | F.startswith(F.ltrim(text, F.lit(X.WHITESPACE)), brace)

@@ -164,6 +164,13 @@ REREAD_CASES = [
 ]
 
 
+def test_broken_list_beside_a_read_one_is_no_json(spark):
+    broken = ['{"13CNMR": [1], "1HNMR": [[1, foo]]}', '{"13CNMR": [1], "1HNMR": [+1]}', '{"13CNMR": [1], "1HNMR": [[1 2, "s", 1, []]]}']
+    df = spark.createDataFrame([(None, i, "t", None, "CC", text) for i, text in enumerate(broken)], TOK)
+    out = C.conform_tokenised(df, "t", "t").collect()
+    assert len(out) == 3 and all("invalid_json" in [i.code for i in r.conform_issues] for r in out)
+
+
 def test_tokenised_text_is_read_again_only_without_lists(spark):
     df = spark.createDataFrame([(None, i, "t", None, "CC", text) for i, (text, _) in enumerate(REREAD_CASES)], TOK)
     out = C.conform_tokenised(df, "t", "t")
