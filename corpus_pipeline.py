@@ -2,7 +2,8 @@
 
 Each stage works on all rows that the one before it kept, and its result is
 written as Parquet and read back before the next one begins. All stages but
-the last return the columns of `documents`. Empty tables pass through.
+the last return the columns of `documents`. Empty tables pass through. Stages
+with Python functions bound the session's Arrow batches (`bound_batches`).
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from peakloom.llm import decontaminate, near_copies, pii, quality
 from peakloom.llm.catalog import with_digests
-from peakloom.llm.common import id_remainder, staged
+from peakloom.llm.common import bound_batches, id_remainder, staged
 from peakloom.operators.prefilter import flagged
 
 TOKENIZER = "word_bpe_49k.json"
@@ -39,6 +40,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     whole, repeated rows alike. Labels of one class only, or none, reject
     nothing. An empty table stays empty; other columns pass through unread.
     """
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train_quality(docs, labels, id_remainder(F.col("doc_id"), 5) != 0)
     return docs.filter(quality.quality_score(F.col("text"), model) >= GOOD)
@@ -53,6 +55,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     are texts without words; very long texts are compared whole. Only rows that
     are in a group, or repeated, are moved.
     """
+    bound_batches(spark)
     groups = near_copies.near_copies(docs)
     digest = near_copies.text_id(F.col("text"))
     keys = staged(docs.select("doc_id", digest.alias("tid")).groupBy("tid", "doc_id").agg(F.count("*").alias("n")), "copies-keys")
@@ -97,6 +100,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text stays null, an empty one empty; very long texts are redacted
     whole and repeated rows alike. `n_chars`, if present, is counted anew.
     """
+    bound_batches(spark)
     clean = docs.withColumn("text", pii.redact(F.col("text")))
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
@@ -109,6 +113,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is encoded like the empty one, to no IDs; very long texts are
     encoded whole and repeated rows alike. Other columns are left out.
     """
+    bound_batches(spark)
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     return with_digests(docs.select(*kept, "text"), public_tokenizers.path(TOKENIZER))
 

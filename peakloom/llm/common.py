@@ -9,7 +9,7 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from peakloom.session import scratch_path
@@ -79,6 +79,22 @@ def texts_of(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+#: The session's limit for an Arrow batch, and the bytes that a batch of texts has by `bound_batches`.
+BATCH_LIMIT, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Send rows to Python workers in batches of about BATCH_BYTES, unless the session has a limit of its own.
+
+    Spark's 10,000 rows are tens of megabytes of text, which the JVM and each
+    worker hold in several copies and hardly give back. The limit stays set,
+    as a plan is only made when its rows are wanted. A longer text goes into a
+    batch whole; results do not depend on batches.
+    """
+    if spark.conf.get(BATCH_LIMIT, None) is None:
+        spark.conf.set(BATCH_LIMIT, BATCH_BYTES)
+
+
 #: Texts of a batch that are Python objects at the same time.
 FEW = 256
 

@@ -5,6 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from peakloom.llm import common, near_copies, pii, quality
 
 
@@ -35,3 +36,26 @@ def test_functions_work_by_slices(monkeypatch, module, function):
     found = work(pa.array(texts)).to_pylist()
     assert max(sizes) == common.FEW and sum(sizes) == 600
     assert found[300:310] == work(pa.array(texts[300:310])).to_pylist()
+
+
+@pytest.mark.parametrize("stage", ["quality", "near_duplicates", "pii", "bpe"])
+def test_stages_bound_the_batches_of_python_workers(spark, stage):
+    @F.arrow_udf("struct<rows:long,bytes:long>")
+    def batch(column: pa.Array) -> pa.Array:
+        n = len(column)
+        return pa.StructArray.from_arrays([pa.array([n] * n), pa.array([column.nbytes] * n)], ["rows", "bytes"])
+
+    long_text = F.when(F.col("doc_id") == 77, F.repeat(F.lit("long "), 2_000_000))
+    other_text = F.concat(F.col("doc_id").cast("string"), F.repeat(F.lit(" word"), 600))
+    docs = spark.range(0, 8000, 1, 1).withColumnRenamed("id", "doc_id").withColumn("text", F.coalesce(long_text, other_text))
+    spark.conf.unset(common.BATCH_LIMIT)
+    try:
+        dict(corpus_pipeline.STAGES)[stage](spark, docs.limit(5), "/root/testdata/sf0.001")
+        found = docs.select("doc_id", batch(F.col("text")).alias("b")).select("doc_id", "b.*").collect()
+        assert len(found) == 8000 and max(r.rows for r in found) * 3000 < 2 * common.BATCH_BYTES
+        assert max(r.bytes for r in found) < 10_000_000 + 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_LIMIT, 1 << 20)
+        common.bound_batches(spark)
+        assert int(spark.conf.get(common.BATCH_LIMIT)) == 1 << 20  # a limit of the session's own stays
+    finally:
+        spark.conf.unset(common.BATCH_LIMIT)
